@@ -214,17 +214,17 @@ def _cards(spark, sf):
     return explorer.topic_cards(order, topic_label_table(spark, titles, {1: "most documents"}))
 
 
-CARDS_SQL = with_views("r2", LANG_SQL + f"""
+CARDS_BODY = f"""
 SELECT {ORDER_SQL}, topic, CASE topic WHEN 0 THEN 'German' WHEN 1 THEN 'English' WHEN 2 THEN 'Spanish' END AS title,
-       CASE topic WHEN 1 THEN 'most documents' END AS description FROM mass""")
+       CASE topic WHEN 1 THEN 'most documents' END AS description FROM mass"""
 
 
-@query("tm_topic_cards", CARDS_SQL)
+@query("tm_topic_cards", with_views("r2", LANG_SQL + CARDS_BODY))
 def tm_topic_cards(spark, sf):
     return _cards(spark, sf)
 
 
-@query("join_topic_order", CARDS_SQL.replace("AS title,", "AS title, topic - 1 AS below,"))
+@query("join_topic_order", with_views("r2", LANG_SQL + CARDS_BODY.replace(" FROM mass", ", topic - 1 AS below FROM mass")))
 def join_topic_order(spark, sf):
     return _cards(spark, sf).withColumn("below", F.col("topic") - 1)
 
