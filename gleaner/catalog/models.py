@@ -163,8 +163,7 @@ terms AS (SELECT *, term_freq / sum(term_freq) OVER () AS p_term FROM terms0)"""
 
 def lang_docs(spark, sf):
     lang = (F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("category_keyword")) - 1).cast("int")
-    docs = r2(spark, sf).select("seq", lang.alias("lang"), tx.topic_tokens(F.col("text")).alias("tokens"))
-    docs = filters.min_tokens(docs)
+    docs = filters.with_tokens(r2(spark, sf).select("seq", lang.alias("lang"), "text"), tx.topic_tokens(F.col("text")))
     theta = F.array(*[F.when(F.col("lang") == t, 0.7).otherwise(0.1) for t in range(4)])
     return docs.withColumns({"theta": theta, "doc_len": F.size("tokens")})
 
@@ -251,7 +250,7 @@ def tm_saliency(spark, sf):
 @query("tm_relevance", with_views("r2", LANG_SQL + """
 , grid AS (SELECT unnest(range(0, 101)) / 100 AS lam),
 rel AS (
-  SELECT topic, lam, term, round(lam * ln(weight) + (1 - lam) * ln(weight / p_term), 9) AS r
+  SELECT topic, lam, term, floor((lam * ln(weight) + (1 - lam) * ln(weight / p_term)) * 1e9 + 0.5) / 1e9 AS r
   FROM freq JOIN terms USING (term), grid)
 SELECT topic, round(lam, 2) AS "lambda", term, CAST(row_number() OVER w AS INTEGER) AS rank,
        round(r, 6) + 0.0 AS relevance
@@ -341,8 +340,9 @@ def fitted(spark, sf):
     if key not in _FITTED:
         docs = r2(spark, sf).select(
             F.col("seq").alias("review_id"), "product_id", "category_keyword", "rating", "submission_time",
-            F.col("text").alias("full_text"), tx.topic_tokens(F.col("text")).alias("tokens"))
-        docs = write_stage(filters.min_tokens(docs), scratch_path(spark, "corpus"))
+            F.col("text").alias("full_text"))
+        docs = filters.with_tokens(docs, tx.topic_tokens(F.col("full_text")))
+        docs = write_stage(docs, scratch_path(spark, "corpus"))
         model = jobs.select_topics(docs, k_values=[4, 5], passes=5)
         _FITTED[key] = (docs, model, write_stage(jobs.assign_topics(docs, model), scratch_path(spark, "assigned")))
     return _FITTED[key]

@@ -82,7 +82,7 @@ def fn_is_short(spark, sf):
 
 
 @query("fn_snippet", with_views("r2", """
-SELECT seq, concat(substr(text, 1, 180), '...') AS always, substr(text, 1, 120) AS plain,
+SELECT seq, substr(text, 1, 180) || '...' AS always, substr(text, 1, 120) AS plain,
        CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 80), '...') ELSE text END AS cut FROM r2"""))
 def fn_snippet(spark, sf):
     text = F.col("text")
@@ -257,7 +257,7 @@ vocab AS (
 
 
 def corpus(spark, sf):
-    return filters.min_tokens(_docs(spark, sf))
+    return filters.with_tokens(r2(spark, sf).select("seq", "text"), tx.topic_tokens(F.col("text"))).drop("text")
 
 
 @query("agg_doc_freq", with_views("r2", DOCS_SQL + " SELECT term, df, tf FROM vocab"))

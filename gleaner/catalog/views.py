@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.operators.scoring import add_class_columns
 from gleaner.functions.scores import rating_sentiment
+from gleaner.sources.scan import read_table
+from gleaner.sources.tables import event_table
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
          "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -24,7 +26,7 @@ EVENT_ROWS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", text_heavy=name in ("documents", "pages"))
 
 
 def r1(spark: SparkSession, sf_dir: str, rating: bool = False, product: bool = False) -> DataFrame:
@@ -97,8 +99,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession) -> DataFrame:
-    rows = [(dt.date.fromisoformat(d), label) for d, label in EVENT_ROWS]
-    return spark.createDataFrame(rows, "event_date date, event_label string")
+    rows = [(d, label, None, None) for d, label in EVENT_ROWS]
+    return event_table(spark, rows).select("event_date", "event_label")
 
 
 # --- the same views in SQL ----------------------------------------------------------------------

@@ -73,7 +73,8 @@ def relevance(freq: DataFrame, lambdas=None, n: int = K.RELEVANT_TERMS,
     scored = base.withColumn("lambda", F.explode(F.array(*[F.lit(float(x)) for x in grid]))).withColumn(
         "relevance", F.col("lambda") * F.col("logprob") + (1 - F.col("lambda")) * F.col("loglift"))
     if digits is not None:
-        scored = scored.withColumn("relevance", F.round("relevance", digits))
+        unit = 10.0 ** digits
+        scored = scored.withColumn("relevance", F.floor(F.col("relevance") * unit + 0.5) / unit)
     return top_n_per_group(scored, ["topic", "lambda"], [F.desc("relevance"), F.col("term")], n, rank="rank")
 
 

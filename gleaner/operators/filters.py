@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner import constants as K
 from gleaner.functions import dates, scores, text as tx
@@ -30,6 +30,17 @@ def confident_negative(df: DataFrame, threshold: float = K.CONFIDENCE_THRESHOLD,
     return df.filter(scores.is_confident_negative(F.col("pred"), F.col("confidence"), threshold, strict))
 
 
+def with_tokens(df: DataFrame, tokens: Column, at_least: int = K.MIN_TOKENS,
+                name: str = "tokens") -> DataFrame:
+    """Adds a computed token column and drops rows with too few tokens.
+
+    Unpacking a one-element array computes the tokens once per row. As a plain column and filter,
+    Spark would push the filter below the column and tokenise every text twice.
+    """
+    long_enough = F.filter(F.array(tokens), lambda t: F.size(t) >= at_least)
+    return df.select("*", F.explode(long_enough).alias(name))
+
+
 def min_tokens(df: DataFrame, column: str = "tokens", at_least: int = K.MIN_TOKENS) -> DataFrame:
     return df.filter(F.size(column) >= at_least)
 

@@ -22,7 +22,8 @@ def stratified_sample(df: DataFrame, key: Column, n: int = K.SAMPLES_PER_STAR,
 
     A first pass over stratum and key alone counts rows per hash range and finds the range in
     which the n-th smallest hash lies. Only rows up to that range (about n) are then shuffled and
-    ranked, so a stratum with a third of all rows costs no more than a small one.
+    ranked, so a stratum with a third of all rows costs no more than a small one. ``key`` should
+    be unique: equal keys share a hash and are told apart by ``tie_break`` only.
     """
     hashed = df.filter(F.col(stratum).isNotNull()).withColumn("_hash", sample_hash(key, seed))
     hashed = hashed.withColumn("_range", F.substring("_hash", 1, _PREFIX))
@@ -31,9 +32,11 @@ def stratified_sample(df: DataFrame, key: Column, n: int = K.SAMPLES_PER_STAR,
     # First range whose running count reaches n; the last range when the stratum is smaller.
     cut = (counts.withColumn("_before", running - F.col("_n")).filter(F.col("_before") < n)
            .groupBy(stratum).agg(F.max("_range").alias("_cut")))
-    near = hashed.join(cut, stratum).filter(F.col("_range") <= F.col("_cut"))
+    # One map entry per stratum, handed to the scan as a scalar: no join, no shuffle of the rows.
+    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(stratum, "_cut")))).scalar()
+    near = hashed.filter(F.col("_range") <= F.try_element_at(cuts, F.col(stratum)))
     order = [F.col("_hash"), *(tie_break or [])]
     picked = top_n_per_group(near, [stratum], order, n)
     if shuffle:
         picked = picked.orderBy(F.md5(F.concat(F.lit("order:"), F.col("_hash"))))
-    return picked.drop("_hash", "_range", "_cut")
+    return picked.drop("_hash", "_range")

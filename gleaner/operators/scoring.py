@@ -65,14 +65,13 @@ def score_with_model(df: DataFrame, text: str, loader: Callable[[], Predict],
 def lexicon_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, scale: float = 1.0) -> DataFrame:
     """Scores from a term table (term, w_negative, w_neutral, w_positive).
 
-    Logits are the mean weights over all words of the text. Words are counted per document before
-    the join, and the sums per document combine map-side.
+    Logits are the mean weights over all words of the text. The sums per document combine
+    map-side; a lexicon too big to broadcast is met by a sort-merge join with skew splitting.
     """
     words = df.select(key, F.explode_outer(raw_tokens(F.col(text))).alias("term"))
-    per_term = words.groupBy(key, "term").agg(F.count("term").alias("n"))
-    weights = per_term.join(lexicon, "term", "left")
-    sums = weights.groupBy(key).agg(F.sum("n").alias("_n"), *[
-        F.sum(F.col("n") * F.coalesce(F.col(f"w_{c}"), F.lit(0))).alias(f"_{c}") for c in K.LABELS])
+    weights = words.join(lexicon, "term", "left")
+    sums = weights.groupBy(key).agg(F.count("term").alias("_n"), *[
+        F.sum(F.coalesce(F.col(f"w_{c}"), F.lit(0))).alias(f"_{c}") for c in K.LABELS])
     z = [F.coalesce(F.try_divide(F.col(f"_{c}") * scale, F.col("_n")), F.lit(0.0)) for c in K.LABELS]
     return add_class_columns(sums, *z).select(
         key, "pred_idx", "pred", "prob_negative", "prob_neutral", "prob_positive", "confidence", "score")

@@ -15,7 +15,7 @@ from gleaner import constants as K, schemas
 from gleaner.functions import dates, scores, text as tx
 from gleaner.operators import (aggregates, coherence, explorer, filters, joins, metrics, ranking, sampling,
                                scoring, temporal, topics, vocabulary)
-from gleaner.sources import requests, responses, sinks
+from gleaner.sources import requests, responses, sinks, tables
 from gleaner.sources.csv_files import INGEST_ORDER
 
 
@@ -121,12 +121,11 @@ def topic_corpus(scored: DataFrame, stopwords: list[str] | None = None, lexicon:
     negatives = filters.confident_negative(scored, threshold)
     words = K.stopword_set() if stopwords is None else stopwords
     if lexicon is None:
-        docs = negatives.withColumn("tokens", tx.topic_tokens(F.col("full_text"), words))
-    else:
-        plain = negatives.withColumn("tokens", tx.topic_tokens(F.col("full_text"), words, lemmatise=False))
-        lemmas = vocabulary.lemmatize_with_lexicon(plain, lexicon, key)
-        docs = negatives.join(lemmas, key).withColumn("tokens", tx.drop_short_and_stop(F.col("tokens"), words))
-    return filters.min_tokens(docs, "tokens", min_tokens)
+        return filters.with_tokens(negatives, tx.topic_tokens(F.col("full_text"), words), min_tokens)
+    plain = negatives.select(key, tx.topic_tokens(F.col("full_text"), words, lemmatise=False).alias("tokens"))
+    lemmas = vocabulary.lemmatize_with_lexicon(plain, lexicon, key).withColumnRenamed("tokens", "_lemmas")
+    docs = filters.with_tokens(negatives.join(lemmas, key), tx.drop_short_and_stop(F.col("_lemmas"), words), min_tokens)
+    return docs.drop("_lemmas")
 
 
 def select_topics(docs: DataFrame, k_values=K.K_VALUES, min_df: int = K.VOCAB_MIN_DF,
@@ -137,7 +136,7 @@ def select_topics(docs: DataFrame, k_values=K.K_VALUES, min_df: int = K.VOCAB_MI
     """
     spark = docs.sparkSession
     terms = [r["term"] for r in vocabulary.vocabulary(docs, min_df=min_df).select("term").collect()]
-    term_table = spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
+    term_table = tables.term_table(spark, terms)
     corpus = vocabulary.vectorise(docs, terms).select(key, "tokens", "features").persist()
     try:
         fits = {}
@@ -148,7 +147,7 @@ def select_topics(docs: DataFrame, k_values=K.K_VALUES, min_df: int = K.VOCAB_MI
             fits[k] = (model, phi, mean)
     finally:
         corpus.unpersist()
-    sweep = spark.createDataFrame([(k, f[2]) for k, f in fits.items()], "k int, coherence double")
+    sweep = tables.local_table(spark, [(k, f[2]) for k, f in fits.items()], schemas.struct(k="int", coherence="double"))
     chosen = topics.best_k(sweep).first()["k"]
     return {"sweep": sweep, "k": chosen, "model": fits[chosen][0], "phi": fits[chosen][1],
             "terms": term_table, "term_list": terms}

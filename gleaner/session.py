@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def get_session(app_name: str = "gleaner", master: str | None = None,
@@ -45,10 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    local = tempfile.mkdtemp(prefix="gleaner-")
-    spark.conf.set(CHECKPOINT_KEY, local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="gleaner-")
+        spark.sparkContext.setCheckpointDir(_LOCAL_DIRS[app])
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
