@@ -33,9 +33,11 @@ def _class_columns(df, *keys):
 
 def letter_model():
     """Stand-in for a network: logits from the share of three letters in the whole text."""
-    def predict(texts, max_tokens):
-        return [[t.count(c) * 30.0 / max(len(t), 1) for c in "eao"] for t in texts]
-    return predict
+    def loader():
+        def predict(texts, max_tokens):
+            return [[t.count(c) * 30.0 / max(len(t), 1) for c in "eao"] for t in texts]
+        return predict
+    return loader  # a closure, so it reaches the workers by value
 
 
 def _letters_sql(name: str, source: str, column: str) -> str:
@@ -48,13 +50,13 @@ def _letters_sql(name: str, source: str, column: str) -> str:
 @query("ml_batch_score", with_views("r2", ", " + _letters_sql("s", "r2", "text") + f" SELECT seq, {CLASS_SQL} FROM s"))
 def ml_batch_score(spark, sf):
     docs = r2(spark, sf).select("seq", "text")
-    return _class_columns(scoring.score_with_model(docs, "text", letter_model), "seq")
+    return _class_columns(scoring.score_with_model(docs, "text", letter_model()), "seq")
 
 
 @query("pipe_score_full", with_views("clean", ", " + _letters_sql("s", "clean", "full_text")
                                      + f" SELECT review_id, rating_sentiment, {CLASS_SQL} FROM s"))
 def pipe_score_full(spark, sf):
-    scored = jobs.score_full(cleaned(spark, sf), jobs.model_scorer(letter_model))
+    scored = jobs.score_full(cleaned(spark, sf), jobs.model_scorer(letter_model()))
     return _class_columns(scored, "review_id", "rating_sentiment")
 
 
@@ -67,7 +69,7 @@ SAMPLE_SQL = """, sampled AS (
 @query("ml_validate", with_views("clean", SAMPLE_SQL + """
 SELECT review_id, rating, rating_sentiment, pred, round(confidence, 6) AS confidence FROM r1s"""))
 def ml_validate(spark, sf):
-    out = jobs.validate(cleaned(spark, sf), jobs.model_scorer(letter_model, K.SAMPLE_BATCH), per_star=100)
+    out = jobs.validate(cleaned(spark, sf), jobs.model_scorer(letter_model(), K.SAMPLE_BATCH), per_star=100)
     return rounded(out["sample"].select("review_id", "rating", "rating_sentiment", "pred", "confidence"), "confidence")
 
 
@@ -77,7 +79,7 @@ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
 UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
   CAST(sum(support) AS BIGINT) FROM classes"""))
 def pipe_validate(spark, sf):
-    out = jobs.validate(cleaned(spark, sf), jobs.model_scorer(letter_model, K.SAMPLE_BATCH), per_star=100,
+    out = jobs.validate(cleaned(spark, sf), jobs.model_scorer(letter_model(), K.SAMPLE_BATCH), per_star=100,
                         store=scratch_path(spark, "sample"))
     kept = out["report"].filter(~F.col("label").isin("accuracy", "weighted avg"))
     return rounded(kept, "precision", "recall", "f1")
@@ -136,7 +138,7 @@ SELECT s.seq, s.text, s.pred FROM s"""))
 def join_predictions(spark, sf):
     # Predictions come back on their own rows: text and class must still belong together.
     docs = r2(spark, sf).select("seq", "text").repartition("seq")
-    return scoring.score_with_model(docs, "text", letter_model).select("seq", "text", "pred")
+    return scoring.score_with_model(docs, "text", letter_model()).select("seq", "text", "pred")
 
 
 # --- tables of a topic model that SQL can recompute ----------------------------------------------
