@@ -114,8 +114,7 @@ def search_responses(spark, sf):
     body = F.to_json(F.struct(
         F.transform("l", lambda x: x["p"]).alias("products"),
         F.struct(F.when(F.col("kw_pos") == 1, F.size("l")).alias("total_record_count")).alias("controls")))
-    parsed = grouped.select("kw_pos", "category_keyword", "page", responses.parse_search(body).alias("r"))
-    return parsed.select("kw_pos", "category_keyword", "page", "r.*")
+    return responses.parse_text(grouped, body, schemas.SEARCH_RESPONSE, ["kw_pos", "category_keyword", "page"])
 
 
 SEARCH_SQL = """
@@ -164,8 +163,7 @@ def review_responses(spark, sf):
         F.collect_list(review).alias("Results"))
     total = F.when(F.size("Results") > 5, F.size("Results")).alias("TotalResults")
     body = F.to_json(F.struct("Results", total))
-    return grouped.select("category_keyword", "page", responses.parse_reviews(body).alias("r")).select(
-        "category_keyword", "page", "r.*")
+    return responses.parse_text(grouped, body, schemas.REVIEW_RESPONSE, ["category_keyword", "page"])
 
 
 REVIEWS_SQL = """

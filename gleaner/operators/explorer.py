@@ -5,7 +5,7 @@ phi is (topic, term_id, term, weight); theta is (doc key, topic, p). Both are lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner import constants as K
 from gleaner.operators.ranking import rank_rows, top_n_per_group
@@ -59,23 +59,62 @@ def saliency(freq: DataFrame, n: int = K.RELEVANT_TERMS) -> DataFrame:
     return scored.orderBy(F.desc("saliency"), "term").limit(n)
 
 
+def _relevance_at(lam) -> Column:
+    return lam * F.col("logprob") + (1 - lam) * F.col("loglift")
+
+
+def _lower_bounds(base: DataFrame, marks: list[float], n: int) -> DataFrame:
+    """One map: topic -> for each interval between marks, a value its n-th best never falls below.
+
+    Relevance is linear in lambda, so each of the n best terms at a mark stays, all over a
+    neighbouring interval, at or above the smaller of its two end values.
+    """
+    at_marks = F.array(*[F.struct(F.lit(i).alias("m"), _relevance_at(F.lit(x)).alias("r")) for i, x in enumerate(marks)])
+    best = top_n_per_group(base.select("topic", "term", "logprob", "loglift", F.inline(at_marks)),
+                           ["topic", "m"], [F.desc("r"), F.col("term")], n)
+    ends = F.array(*[F.struct(F.lit(j).alias("j"), F.least(_relevance_at(F.lit(x)), _relevance_at(F.lit(y))).alias("low"))
+                     for j, (x, y) in enumerate(zip(marks, marks[1:]))])
+    lows = (best.select("topic", "m", F.inline(ends)).filter((F.col("j") == F.col("m")) | (F.col("j") == F.col("m") - 1))
+            .groupBy("topic", "m", "j").agg(F.count(F.lit(1)).alias("have"), F.min("low").alias("low"))
+            .filter(F.col("have") == n))
+    per_topic = lows.groupBy("topic").agg(F.array(*[
+        F.max(F.when(F.col("j") == j, F.col("low"))) for j in range(len(marks) - 1)]).alias("bounds"))
+    return per_topic.agg(F.map_from_entries(F.collect_list(F.struct("topic", "bounds"))))
+
+
 def relevance(freq: DataFrame, lambdas=None, n: int = K.RELEVANT_TERMS,
               digits: int | None = None) -> DataFrame:
     """Top terms per topic and lambda: lambda*log(phi) + (1-lambda)*log(phi/p_term).
 
-    Lambda runs over 0, 0.01 .. 1 unless given; its values are exploded in place. ``digits`` rounds
-    before ranking, so that equal terms tie and sort by name.
+    Lambda runs over 0, 0.01 .. 1 unless given; its values are exploded in place. A long grid is
+    first solved at every tenth value, which bounds the values between from below: terms under the
+    bound leave before the sort and cannot be among the best. ``digits`` rounds before ranking, so
+    that equal terms tie and sort by name.
     """
-    grid = [i / 100 for i in range(101)] if lambdas is None else list(lambdas)
+    grid = [i / 100 for i in range(101)] if lambdas is None else sorted(float(x) for x in lambdas)
+    marks = sorted({*grid[::10], grid[-1]})
     base = freq.join(overall_frequency(freq), "term").filter(F.col("weight") > 0).select(
         "topic", "term", F.log("weight").alias("logprob"),
         F.log(F.col("weight") / F.col("p_term")).alias("loglift"))
-    scored = base.withColumn("lambda", F.explode(F.array(*[F.lit(float(x)) for x in grid]))).withColumn(
-        "relevance", F.col("lambda") * F.col("logprob") + (1 - F.col("lambda")) * F.col("loglift"))
+    # The table is small but grows a hundredfold here: deal it out first, or it would sit in the
+    # one partition that adaptive execution merged it into.
+    parts = min(base.sparkSession.sparkContext.defaultParallelism, 200)
+    steps = [(x, max(j for j, m in enumerate(marks[:-1]) if m <= x) if len(marks) > 1 else 0) for x in grid]
+    spread = base.repartition(parts, "term")
+    prune = len(grid) > 2 * len(marks)
+    if prune:
+        bounds = F.try_element_at(_lower_bounds(base, marks, n).scalar(), F.col("topic"))
+        spread = spread.withColumn("_bounds", bounds)
+    scored = spread.select("*", F.inline(F.array(*[
+        F.struct(F.lit(x).alias("lambda"), F.lit(j).alias("_j")) for x, j in steps])))
+    scored = scored.withColumn("relevance", _relevance_at(F.col("lambda")))
+    if prune:
+        bound = F.get("_bounds", F.col("_j"))
+        scored = scored.filter(bound.isNull() | (F.col("relevance") >= bound - 1e-6)).drop("_bounds")
     if digits is not None:
         unit = 10.0 ** digits
         scored = scored.withColumn("relevance", F.floor(F.col("relevance") * unit + 0.5) / unit)
-    return top_n_per_group(scored, ["topic", "lambda"], [F.desc("relevance"), F.col("term")], n, rank="rank")
+    return top_n_per_group(scored.drop("_j"), ["topic", "lambda"], [F.desc("relevance"), F.col("term")], n, rank="rank")
 
 
 def token_table(freq: DataFrame, min_count: float = 0.5) -> DataFrame:

@@ -13,11 +13,12 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def get_session(app_name: str = "gleaner", master: str | None = None,
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Session with UTC, AQE and skew-join handling on.
 
-    On a cluster leave ``master`` and ``shuffle_partitions`` unset: spark-submit supplies the
-    first, and AQE coalesces from ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``.
+    On a cluster leave the last three unset: spark-submit supplies master and memory, and AQE
+    coalesces from ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``. In local mode
+    the driver's memory is the memory of all tasks.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -26,10 +27,16 @@ def get_session(app_name: str = "gleaner", master: str | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Streaming state beyond the heap: the duplicate check keeps one entry per recent id.
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

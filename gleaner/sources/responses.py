@@ -21,12 +21,13 @@ def with_keyword(schema: T.StructType) -> T.StructType:
     return T.StructType(schemas.ASKED.fields + schema.fields)
 
 
-def parse_search(json: Column) -> Column:
-    return F.from_json(json, schemas.SEARCH_RESPONSE)
+def parse_text(df: DataFrame, json: Column, schema: T.StructType, keep: list[str]) -> DataFrame:
+    """Responses that landed as a text column.
 
-
-def parse_reviews(json: Column) -> Column:
-    return F.from_json(json, schemas.REVIEW_RESPONSE)
+    Unpacking a one-element array parses each text once; as a plain column, the filter Spark adds
+    for a later explode would be pushed below it and parse every text again.
+    """
+    return df.select(*keep, F.inline(F.array(F.from_json(json, schema))))
 
 
 def flatten_search(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:

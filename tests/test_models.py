@@ -156,6 +156,24 @@ def test_explorer_tables_against_brute_force(spark, model, rows):
     assert spark.read.json(f"{path}/topics").count() == 2 and os.path.isdir(f"{path}/topics")
 
 
+def test_relevance_bounds_lose_no_term(spark):
+    random.seed(11)
+    data = [(t, f"w{i}", random.choice([0.001, 0.002, random.random()])) for t in range(3) for i in range(90) if random.random() < 0.7]
+    phi = spark.createDataFrame(data, "topic int, term string, weight double")
+    mass = spark.createDataFrame([(0, 5.0, 0.5), (1, 3.0, 0.3), (2, 2.0, 0.2)], "topic int, mass double, proportion double")
+    freq = explorer.term_frequency(phi, mass).cache()
+    whole = explorer.relevance(freq, n=7).collect()
+    single = {}
+    for lam in (0.0, 0.01, 0.05, 0.1, 0.37, 0.6, 0.99, 1.0):  # one value alone is never pruned
+        for r in explorer.relevance(freq, [lam], n=7).collect():
+            single[r["topic"], lam, r["rank"]] = (r["term"], r["relevance"])
+    assert len(whole) == 3 * 101 * 7
+    got = {(r["topic"], r["lambda"], r["rank"]): (r["term"], r["relevance"]) for r in whole}
+    assert {k: got[k] for k in single} == single
+    few = explorer.relevance(freq.filter("term < 'w15'"), n=30)
+    assert few.count() == 101 * freq.filter("term < 'w15'").count()  # fewer terms than n: all stay
+
+
 # --- scoring ------------------------------------------------------------------------------------
 
 def word_model():
@@ -178,7 +196,7 @@ def test_batch_score_stays_on_its_row(spark):
         assert r["prob_negative"] + r["prob_neutral"] + r["prob_positive"] == pytest.approx(1.0)
         assert r["confidence"] == max(r["prob_negative"], r["prob_neutral"], r["prob_positive"])
         assert r["score"] == pytest.approx(r["prob_positive"] - r["prob_negative"])
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1  # one call per row, whatever columns are read
     assert "score" not in scoring.score_with_model(df, "t", word_model(), with_score=False, batch_size=2).columns
 
