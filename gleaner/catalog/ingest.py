@@ -111,6 +111,7 @@ def search_responses(spark, sf):
     page = F.floor(F.col("product_uid") / 60).cast("int").alias("page")
     grouped = p.groupBy("kw_pos", "category_keyword", page).agg(
         F.array_sort(F.collect_list(F.struct(F.col("product_uid").alias("at"), product.alias("p")))).alias("l"))
+    # At most sixty products each, as product keys are unique.
     body = F.to_json(F.struct(
         F.transform("l", lambda x: x["p"]).alias("products"),
         F.struct(F.when(F.col("kw_pos") == 1, F.size("l")).alias("total_record_count")).alias("controls")))
@@ -144,8 +145,11 @@ def pipe_discover(spark, sf):
 
 
 def review_responses(spark, sf):
-    """Review responses, one per product type and run of sixteen orders."""
-    df = r1(spark, sf, rating=True, product=True)
+    """Review responses: per product type, the reviews among one hundred neighbouring rows.
+
+    A response holds at most one hundred reviews whatever the keys of the table look like.
+    """
+    df = r1(spark, sf, rating=True, product=True, numbered=True)
     secondary = F.when(F.col("l_returnflag") != "N", F.struct(
         F.struct(F.col("l_quantity").alias("Value")).alias("Quality"),
         F.when(F.col("l_returnflag") == "A", F.struct(F.col("l_tax").alias("Value"))).alias("Value")))
@@ -159,11 +163,10 @@ def review_responses(spark, sf):
         (F.col("l_linestatus") == "O").alias("IsRecommended"), F.col("l_discount").alias("Helpfulness"),
         F.when(F.col("l_linestatus") == "F", F.col("l_linestatus")).alias("CampaignId"),
         (F.col("l_suppkey") > 50).alias("IsSyndicated"))
-    grouped = df.groupBy("category_keyword", F.floor(F.col("l_orderkey") / 16).cast("int").alias("page")).agg(
+    grouped = df.groupBy("category_keyword", F.floor(F.col("row_no") / 100).alias("chunk")).agg(
         F.collect_list(review).alias("Results"))
-    total = F.when(F.size("Results") > 5, F.size("Results")).alias("TotalResults")
-    body = F.to_json(F.struct("Results", total))
-    return responses.parse_text(grouped, body, schemas.REVIEW_RESPONSE, ["category_keyword", "page"])
+    body = F.to_json(F.struct("Results", F.size("Results").alias("TotalResults")))
+    return responses.parse_text(grouped, body, schemas.REVIEW_RESPONSE, ["category_keyword"])
 
 
 REVIEWS_SQL = """
@@ -191,7 +194,12 @@ SELECT 'reviews', category_keyword, CAST(l_orderkey // 16 AS INTEGER),
 def src_page_totals(spark, sf):
     search = responses.search_total(search_responses(spark, sf)).select(
         F.lit("search").alias("source"), "category_keyword", "page", "total")
-    reviews = responses.review_total(review_responses(spark, sf)).select(
+    # Only the counters of the review responses: one per product type and run of sixteen orders.
+    page = F.floor(F.col("l_orderkey") / 16).cast("int").alias("page")
+    counters = r1(spark, sf, product=True).groupBy("category_keyword", page).agg(F.count(F.lit(1)).alias("n"))
+    body = F.to_json(F.struct(F.when(F.col("n") > 5, F.col("n")).alias("TotalResults")))
+    counters = responses.parse_text(counters, body, schemas.REVIEW_RESPONSE, ["category_keyword", "page"])
+    reviews = responses.review_total(counters).select(
         F.lit("reviews").alias("source"), "category_keyword", "page", F.col("total").cast("string").alias("total"))
     return search.unionByName(reviews)
 

@@ -29,9 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet", text_heavy=name in ("documents", "pages"))
 
 
-def r1(spark: SparkSession, sf_dir: str, rating: bool = False, product: bool = False) -> DataFrame:
-    """Reviews. ``rating`` and ``product`` add the joins that bring these columns."""
+def r1(spark: SparkSession, sf_dir: str, rating: bool = False, product: bool = False,
+       numbered: bool = False) -> DataFrame:
+    """Reviews. ``rating`` and ``product`` add the joins that bring these columns; ``numbered``
+    adds a row number given at the scan, where it is the same whenever a task is run again."""
     df = table(spark, sf_dir, "lineitem")
+    if numbered:
+        df = df.withColumn("row_no", F.monotonically_increasing_id())
     if rating:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -46,6 +50,8 @@ def r1(spark: SparkSession, sf_dir: str, rating: bool = False, product: bool = F
     if rating:
         stars = F.substring("o_orderpriority", 1, 1).cast("double")
         columns.append(F.when(F.col("l_linenumber") != 7, stars).alias("rating"))
+    if numbered:
+        columns.append(F.col("row_no"))
     if product:
         columns += [F.col("p_name").alias("product_name"), F.col("p_type").alias("category_keyword")]
     return df.select(*columns)

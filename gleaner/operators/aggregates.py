@@ -42,15 +42,17 @@ def quantile_clip(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last one is closed on the right.
 
-    Works on the counts per distinct value. Bins without rows are not listed.
+    Works on the counts per distinct value. Bins without rows are not listed. A single value lies
+    in the middle of a range of length 1.
     """
     counts = value_counts(df, column)
-    low = counts.agg(F.min(column).cast("double")).scalar()
-    high = counts.agg(F.max(column).cast("double")).scalar()
-    width = (high - low) / bins
-    place = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1))
-    binned = counts.select(F.coalesce(place, F.lit(0)).cast("int").alias("bin"), "n",
-                           low.alias("low"), width.alias("width"))
+    low, high = F.min(column).cast("double"), F.max(column).cast("double")
+    low, high = F.when(low == high, low - 0.5).otherwise(low), F.when(low == high, high + 0.5).otherwise(high)
+    edges = counts.agg(F.struct(low.alias("low"), ((high - low) / bins).alias("width"))).scalar()
+    ranged = counts.withColumn("_edges", edges).select(
+        column, "n", F.col("_edges.low").alias("low"), F.col("_edges.width").alias("width"))
+    place = F.least(F.floor((F.col(column) - F.col("low")) / F.col("width")), F.lit(bins - 1))
+    binned = ranged.select(place.cast("int").alias("bin"), "n", "low", "width")
     return (binned.groupBy("bin", "low", "width").agg(F.sum("n").alias("n"))
             .select("bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_left"),
                     (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_right"), "n"))

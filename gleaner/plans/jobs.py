@@ -68,7 +68,7 @@ def clean(raw: DataFrame, order: list | None = None, start: str = K.WINDOW_START
 
 
 def clean_reports(cleaned: DataFrame) -> dict[str, DataFrame]:
-    """Summary and the data of the five overview figures."""
+    """Summary and the data of the five overview figures; pass the clean table as written to disk."""
     return {
         "summary": aggregates.summary(cleaned),
         "rating_share": aggregates.value_shares(cleaned, "rating"),
@@ -160,6 +160,10 @@ def assign_topics(docs: DataFrame, fitted: dict) -> DataFrame:
         "doc_len", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).drop("features")
 
 
+EXEMPLAR_COLUMNS = ["dominant_topic", "topic_size", "rank", "topic_probability", "review_id", "category_keyword",
+                    "rating", "snippet"]
+
+
 def topic_reports(assigned: DataFrame, fitted: dict, titles: dict[int, str] = K.TOPIC_TITLES,
                   tie_break: list | None = None) -> dict[str, DataFrame]:
     """Output table, top words, trends, categories and exemplars."""
@@ -170,7 +174,8 @@ def topic_reports(assigned: DataFrame, fitted: dict, titles: dict[int, str] = K.
             "topic_name", scores.topic_name(F.col("topic"), titles, default=True)),
         "quarterly": temporal.topic_quarter_pct(assigned, k),
         "by_category": aggregates.crosstab_pct(assigned, "category_keyword", "dominant_topic", list(range(k))),
-        "exemplars": ranking.topic_exemplars(assigned, tie_break or [F.col("review_id")]),
+        "exemplars": sinks.project_existing(
+            ranking.topic_exemplars(assigned, tie_break or [F.col("review_id")]), EXEMPLAR_COLUMNS),
     }
 
 

@@ -190,8 +190,8 @@ def test_keep_first_uses_file_order(spark):
 def test_spread_deals_small_scans_only(spark):
     path = scratch_path(spark, "small")
     spark.range(10).coalesce(1).write.parquet(path)
-    assert scan.read_table(spark, path, text_heavy=True).rdd.getNumPartitions() == 4
-    assert scan.read_table(spark, path).rdd.getNumPartitions() < 4
+    assert scan.read_table(spark, path, text_heavy=True).rdd.getNumPartitions() == 8
+    assert scan.read_table(spark, path).rdd.getNumPartitions() < 8
 
 
 def test_shared_dir_comes_from_the_session(spark):

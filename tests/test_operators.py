@@ -152,6 +152,8 @@ def test_quantile_and_histogram(spark, rows):
     kept = aggregates.quantile_clip(df, "w", 0.5)
     assert kept.count() == 51  # the quantile itself stays
     bins = rows(aggregates.histogram(df.filter("w <= 100"), "w", 50), "bin", "n")
+    same = spark.createDataFrame([(7,), (7,), (None,)], "w int")
+    assert [tuple(r) for r in aggregates.histogram(same, "w").collect()] == [(25, 7.0, 7.02, 2)]
     assert bins[-1] == (9, 2) and dict(bins)[49] == 3 and sum(n for _, n in bins) == 101
 
 
