@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import decontamination
+from gleaner.llm import decontamination, simhash
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
 
@@ -39,3 +39,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
