@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import decontamination, simhash
+from gleaner.llm import decontamination, language, simhash
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
 
@@ -41,6 +41,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
+        "doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
