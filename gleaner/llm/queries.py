@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import decontamination, language, simhash
+from gleaner.llm import decontamination, language, quality, simhash, toxicity
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
 
@@ -47,7 +47,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")))
