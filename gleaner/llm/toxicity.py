@@ -59,7 +59,7 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.unique(all_ngrams(text))
 
 
-def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, z: float = 4.0) -> np.ndarray:
+def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, z: float = 2.0) -> np.ndarray:
     """Logarithm of the ratio of the two rates, nearer to zero by ``z`` standard errors."""
     share = n_pos / (n_pos + n_neg)
     p, q = pos + share, neg + 1 - share  # one more row, shared out as the classes are: unseen n-grams have ratio 0
