@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import decontamination, language, quality, simhash, toxicity
+from gleaner.llm import decontamination, language, mixing, quality, sharding, simhash, toxicity
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
 
@@ -41,6 +41,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"), 40).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 @query("op6_language")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
