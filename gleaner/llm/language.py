@@ -127,8 +127,8 @@ def fit(docs: DataFrame) -> Model:
     return Model(train(docs).toPandas())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``languages`` and ``shares`` (arrays, largest share first)."""
+def identify(docs: DataFrame, model: Model, column: str = "mixture") -> DataFrame:
+    """``docs`` with a struct of ``languages`` and ``shares`` (arrays, largest share first)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("languages array<string>, shares array<double>")
@@ -136,17 +136,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         got = [sent.value.identify(t) for t in texts]
         return pd.DataFrame({"languages": [g[0] for g in got], "shares": [g[1] for g in got]})
 
-    taken = docs.columns
-    spare = next(f"found{i}" for i in range(len(taken) + 1) if f"found{i}" not in taken)
-    return docs.withColumn(spare, found("text")).select(
-        *taken, F.col(f"{spare}.languages").alias("languages"), F.col(f"{spare}.shares").alias("shares"))
+    return docs.withColumn(column, found("text"))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
     """Learn from the rows outside the held-out fold, then label all rows: doc_id, held_out, lang_pred,
     score (share of that language in the chosen mixture), languages, shares."""
     model = fit(docs.filter(learnable()))
-    rows = identify(docs.select("doc_id", "text"), model)
+    rows = identify(docs.select("doc_id", "text"), model).select("doc_id", "mixture.languages", "mixture.shares")
     first = lambda c, default: F.coalesce(F.get(c, F.lit(0)), F.lit(default))
     return rows.select("doc_id", held_out().alias("held_out"), first("languages", UNKNOWN).alias("lang_pred"),
                        first("shares", 0.0).alias("score"), "languages", "shares")

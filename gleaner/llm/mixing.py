@@ -169,16 +169,18 @@ def mix(docs: DataFrame, share: float = 1.5, limit: float = 2.0, seed: int = 17)
 
 def mixed(docs: DataFrame, share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` with every row as often as the mix takes it (not at all, once or more), same columns."""
-    taken = docs.columns
-    number = next(f"n{i}" for i in range(len(taken) + 1) if f"n{i}" not in taken)
-    keys = [F.col("doc_id").cast("bigint"), word_count(), F.col("source").cast("string")]
-    same = Window.partitionBy(*keys).orderBy(F.lit(0))
-    left = docs.withColumn(number, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.row_number().over(same).alias("k3")))
-    picks = mix(docs, share, limit, seed)
-    order = Window.partitionBy("doc_id", "size", "source").orderBy(F.col("copies").desc())
-    picks = picks.withColumn("turn", F.row_number().over(order)).filter("copies > 0").select(
-        *[F.col(c).alias(f"pick_{c}") for c in ("doc_id", "size", "source", "turn", "copies")])
-    cond = F.lit(True)
-    for i, c in enumerate(("doc_id", "size", "source", "turn")):
-        cond = cond & F.col(f"{number}.k{i}").eqNullSafe(picks[f"pick_{c}"])
-    return left.join(picks, cond).withColumn(number, F.explode(F.sequence(F.lit(1), picks["pick_copies"]))).select(*taken)
+    spare = next(f"mix{i}_" for i in range(len(docs.columns) + 1) if not any(c.startswith(f"mix{i}_") for c in docs.columns))
+    keys = {"doc_id": F.col("doc_id").cast("bigint"), "size": word_count(), "source": F.col("source").cast("string")}
+    one_key = F.xxhash64(*(f"{spare}{k}" for k in keys)).alias(f"{spare}key")
+    rows = docs.select("*", *(c.alias(f"{spare}{k}") for k, c in keys.items())).select("*", one_key)
+    # Rows of equal id, size and source share out the copies of these.
+    picks = mix(docs, share, limit, seed).groupBy(*keys).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all"))
+    picks = picks.select(*(F.col(k).alias(f"pick_{k}") for k in keys), "all").withColumn(
+        "pick", F.xxhash64(*(f"pick_{k}" for k in keys)))
+    met = F.col(f"{spare}key") == picks["pick"]
+    for k in keys:
+        met = met & F.col(f"{spare}{k}").eqNullSafe(picks[f"pick_{k}"])
+    names = [f"{spare}{k}" for k in ("key", *keys)]
+    turn = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    out = rows.join(picks, met).withColumn(f"{spare}copies", F.get(picks["all"], turn - 1)).filter(F.col(f"{spare}copies") > 0)
+    return out.withColumn(f"{spare}copy", F.explode(F.sequence(F.lit(1), F.col(f"{spare}copies")))).select(*docs.columns)

@@ -81,13 +81,13 @@ def _cells_of(arcs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return [(a, (arcs[a - 1][0] + 1) % size, (arcs[a][0] - arcs[a - 1][0] - 1) % size + 1) for a in range(len(arcs))]
 
 
-def assign(docs: DataFrame, n_shards: int, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
-    """One row per document: doc_id, text_hash, size, text_crc32, law, shard, slot (from 0 within the
-    shard), grown_shard (null)."""
+def assign(docs: DataFrame, n_shards: int, virtual_nodes: int = VIRTUAL_NODES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot (from 0 within the shard),
+    grown_shard (null), and the columns named in ``carry``."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     cell = F.shiftrightunsigned("place", 64 - RING_BITS)
-    rows = docs.select("doc_id", text_hash().alias("text_hash"), (F.octet_length(text) + 16).cast("bigint").alias("size"),
+    rows = docs.select("doc_id", *carry, text_hash().alias("text_hash"), (F.octet_length(text) + 16).cast("bigint").alias("size"),
                        F.crc32(text).alias("text_crc32"), _place().alias("place")).withColumn("cell", cell)
     counts = docs.select(_place().alias("place")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     arcs = ring(n_shards, virtual_nodes)
@@ -105,5 +105,5 @@ def assign(docs: DataFrame, n_shards: int, virtual_nodes: int = VIRTUAL_NODES) -
     rank = F.col("before") + F.row_number().over(in_cell) - 1
     return rows.join(routes, "cell").withColumn("rank", rank).withColumn(
         "to", F.get(F.filter("routes", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"])), F.lit(0))).select(
-        "doc_id", "text_hash", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("to.shard").alias("shard"),
+        "doc_id", *carry, "size", "text_crc32", F.lit(LAW).alias("law"), F.col("to.shard").alias("shard"),
         (F.col("to.slot") + F.col("rank") - F.col("to.low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

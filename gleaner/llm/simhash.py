@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.common import stage
+from gleaner.llm.common import stage, text_hash
 from gleaner.llm.components import connected_components
 
 #: Fingerprints of one subtree at the level where tasks take over.
@@ -58,14 +58,16 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of every row."""
+    """``doc_id``, ``text_hash`` and ``fp`` (the fingerprint's bits as a long) of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t if isinstance(t, str) else None for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "fp": _signed([fingerprint(t, shingle, seed) for t in texts])})
+            yield pd.DataFrame({"id": b["id"], "hash": b["hash"], "fp": _signed([fingerprint(t, shingle, seed) for t in texts])})
 
-    rows = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("id"), "text")
-    return rows.mapInPandas(run, "id string, fp bigint").select(F.col("id").cast("bigint").alias("doc_id"), "fp")
+    # Nullable numbers travel as text, so that pandas does not turn them into floats.
+    rows = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("id"), text_hash().cast("string").alias("hash"), "text")
+    return rows.mapInPandas(run, "id string, hash string, fp bigint").select(
+        F.col("id").cast("bigint").alias("doc_id"), F.col("hash").cast("bigint").alias("text_hash"), "fp")
 
 
 class _Trie:
@@ -196,16 +198,20 @@ def fingerprint_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
     return pairs.select("left_part", "left_fps", "part", "fps").mapInPandas(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest id of the component) of every row."""
-    rows = stage(fingerprints(docs, shingle, seed), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, seed: int = 42, keep_hash: bool = False) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` (the smallest id of the component) of every row; with
+    ``keep_hash`` also ``text_hash`` and ``root`` (a fingerprint that names the component)."""
+    rows = fingerprints(docs, shingle, seed)
+    rows = stage(rows if keep_hash else rows.drop("text_hash"), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = connected_components(fingerprint_links(nodes, budget))
-    linked = nodes.join(roots, nodes["fp"] == roots["root"], "left_semi").select(F.col("fp").alias("root"), "first_id").unionByName(
-        nodes.join(roots, nodes["fp"] == roots["node"]).select("root", "first_id"))
+    # Only fingerprints with a link are looked up; all others are components of their own.
+    member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = stage(member.join(nodes, member["node"] == nodes["fp"]).select("node", "root", "first_id"), "linked")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = roots.select("node", "root").unionByName(
-        roots.select(F.col("root").alias("node"), "root").distinct()).join(smallest, "root").select("node", "component_id")
-    labelled = nodes.join(member, nodes["fp"] == member["node"], "left").select(
-        F.col("fp").alias("node_fp"), F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(labelled, rows["fp"] == labelled["node_fp"]).select("doc_id", "fp", "component_id")
+    linked = linked.join(smallest, "root").select("node", "root", "component_id")
+    labelled = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
+        F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = rows.join(labelled, rows["fp"] == labelled["of"])
+    return found.select("doc_id", "fp", "component_id", *(["text_hash", "root"] if keep_hash else []))
