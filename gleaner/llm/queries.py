@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import decontamination, language, mixing, quality, sharding, simhash, toxicity
+from gleaner.llm import (
+    decontamination, extraction, language, mixing, neighbours, quality, sharding, simhash, toxicity)
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
 
@@ -33,6 +34,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN matched USING (r)"""
 
 
+@query("op1_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 @query("op2_decontamination", _OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -47,6 +54,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query("op4_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    found = extraction.extract(pages, extraction.fit(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 @query("op5_sharding")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"), 40).select(
