@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.llm import (
-    decontamination, extraction, language, mixing, neighbours, quality, sharding, simhash, toxicity)
+    decontamination, extraction, language, mixing, neighbours, quality, sharding, simhash, surrogates,
+    toxicity)
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
 
@@ -79,6 +80,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                                table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
 
 
+@query("op8_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), key="gleaner")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
