@@ -38,7 +38,7 @@ PROXIMITY = ("segment string, ord int, doc_id bigint, text_hash bigint, item_id
 def _pack(values: np.ndarray) -> bytes:
     """Differences of numbers, byte planes apart, compressed."""
     steps = np.diff(values, prepend=values.dtype.type(0))
-    planes = steps.view(np.uint8).reshape(len(steps), -1).T
+    planes = steps.view(np.uint8).reshape(len(steps), steps.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
