@@ -82,7 +82,7 @@ class Model:
         n = np.full((N_FEATURES, len(self.langs)), smoothing)
         n[counts["feature"].to_numpy(), np.searchsorted(self.langs, counts["lang"])] += counts["n"].to_numpy()
         logs = np.log(n / n.sum(axis=0))
-        best = logs.max(axis=1, keepdims=True)
+        best = logs.max(axis=1, keepdims=True) if self.langs else logs
         #: Likelihoods and log-likelihoods of each trigram, over its largest.
         self.likely, self.logs = np.exp(logs - best), logs - best
 
