@@ -36,7 +36,7 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: Kinds and what their mentions look like, tried in this order at each place of a text.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": rf"(?<![A-Za-z])(?=[pPsStTaA])(?:{_SECRET})[^\s\"',;=:]{{6,}}",
+    "secret": rf"(?<![A-Za-z])(?=[pPsStTaA])(?:{_SECRET})[^\s\"',;=:]{{5,}}[^\s\"',;=:.]",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\w.,+-])\d(?:[ -]?\d){12,18}(?![\w])",
