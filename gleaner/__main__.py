@@ -59,7 +59,7 @@ def clean(spark: SparkSession, args) -> None:
     if args.csv:
         raw = csv_files.read_reviews_csv(spark, args.reviews, file_order=True)
     else:
-        raw = spark.read.parquet(f"{args.reviews}/reviews").select(
+        raw = spark.read.parquet(f"{args.reviews}/reviews").select(  # ingest_batch is a column of the table
             "*", F.col("_metadata.file_path").alias(csv_files.FILE_COLUMN),
             F.col("_metadata.row_index").alias(csv_files.ROW_COLUMN))
     cleaned = sinks.write_stage(jobs.clean(raw), f"{args.out}/reviews", ["year_month"])
@@ -85,7 +85,7 @@ def find_topics(spark: SparkSession, args) -> None:
     fitted = jobs.select_topics(docs, [int(k) for k in _listed(args.k)] or K.K_VALUES, min_df=args.min_df)
     topics.save_model(fitted["model"], fitted["terms"], f"{args.out}/model")
     assigned = sinks.write_stage(jobs.assign_topics(docs, fitted), f"{args.out}/assigned")
-    reports = jobs.topic_reports(assigned, fitted)
+    reports = jobs.topic_reports(assigned, fitted, _labels(args))
     sinks.write_stage(reports.pop("topics_out"), f"{args.out}/topics_out")
     _write_all({"coherence": fitted["sweep"], **reports}, args.out)
 
@@ -95,20 +95,25 @@ def temporal(spark: SparkSession, args) -> None:
     if args.events:
         events = csv_files.read_csv(spark, args.events, schemas.EVENTS)
     docs = spark.read.parquet(args.topics) if args.topics else None
-    _write_all(jobs.temporal_reports(spark.read.parquet(f"{args.reviews}/reviews"), events, docs), args.out)
+    _write_all(jobs.temporal_reports(spark.read.parquet(f"{args.reviews}/reviews"), events, docs, titles=_labels(args)), args.out)
 
 
 def explorer(spark: SparkSession, args) -> None:
     from gleaner.operators.explorer import write_explorer
     fitted = topics.load_model(spark, f"{args.topics}/model")
     assigned = spark.read.parquet(f"{args.topics}/assigned")
-    write_explorer(jobs.explorer_tables(assigned, fitted, tables.topic_label_table(spark)), args.out)
+    write_explorer(jobs.explorer_tables(assigned, fitted, tables.topic_label_table(spark, _labels(args))), args.out)
 
 
 COMMANDS = {"discover": discover, "harvest": harvest, "clean": clean, "validate": validate, "score": score,
             "topics": find_topics, "temporal": temporal, "explorer": explorer}
 
 
+def _labels(args) -> dict[int, str]:
+    """Topic names written as 0=Name,1=Name; topics left out are 'Topic k'."""
+    return {int(k): v for k, v in (x.split("=", 1) for x in _listed(args.labels))}
+
+
 def _listed(text: str) -> list[str]:
     return [x.strip() for x in text.split(",") if x.strip()]
 
@@ -118,7 +123,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("command", choices=list(COMMANDS))
     for name in ("search", "products", "reviews", "topics", "events", "loader"):
         parser.add_argument(f"--{name}")
-    for name in ("keywords", "brand-terms", "k"):
+    for name in ("keywords", "brand-terms", "k", "labels"):
         parser.add_argument(f"--{name}", default="", help="comma-separated")
     parser.add_argument("--out", required=True)
     parser.add_argument("--csv", action="store_true", help="reviews are CSV files")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner import schemas
 from gleaner.catalog.registry import query, rounded
 from gleaner.catalog.reviews import MONTHLY_SQL
-from gleaner.catalog.views import hits, order_columns, r1, r1s, r2, table, with_views
+from gleaner.catalog.views import ORDER, hits, order_columns, r1, r1s, r2, table, with_views
 from gleaner.functions import scores
 from gleaner.operators import aggregates, filters, ranking
 from gleaner.plans import jobs
@@ -61,12 +61,11 @@ def src_search_plan(spark, sf):
 
 
 @query("src_search_stop", with_views("p", """
-, pages AS (SELECT category_keyword, CAST(product_uid // 60 AS BIGINT) AS page, count(*) AS n FROM p WHERE kw_pos = 1 GROUP BY 1, 2),
+, pages AS (SELECT category_keyword, CAST(product_uid // 60 AS BIGINT) AS page, count(*) AS n FROM p GROUP BY 1, 2),
 short AS (SELECT *, min(CASE WHEN n < 8 THEN page END) OVER (PARTITION BY category_keyword) AS first_short FROM pages)
 SELECT category_keyword, page, n FROM short WHERE first_short IS NULL OR page <= first_short"""))
 def src_search_stop(spark, sf):
-    p = hits(spark, sf).filter(F.col("kw_pos") == 1)
-    pages = p.groupBy("category_keyword", F.floor(F.col("product_uid") / 60).alias("page")).agg(
+    pages = hits(spark, sf).groupBy("category_keyword", F.floor(F.col("product_uid") / 60).alias("page")).agg(
         F.count(F.lit(1)).alias("n"))
     return requests.keep_until_short_page(pages, 8).select("category_keyword", "page", "n")
 
@@ -280,6 +279,21 @@ def snk_csv_append(spark, sf):
     return csv_files.read_csv(spark, path, _HIT_SCHEMA)
 
 
+@query("snk_ordered_append", with_views("r1", f"""
+SELECT review_id, l_suppkey % 3 AS part, l_partkey FROM r1
+QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY (l_suppkey + 1) % 3, {', '.join(ORDER)}) = 1"""))
+def snk_ordered_append(spark, sf):
+    """Three numbered appends: of the copies of an id the one appended first stays."""
+    path = scratch_path(spark, "ordered_csv")
+    rows = r1(spark, sf).select("review_id", (F.col("l_suppkey") % 3).alias("part"), "l_partkey", *order_columns())
+    rows = rows.select("review_id", "part", *ORDER)
+    for batch, part in enumerate((2, 0, 1)):
+        sinks.append_csv(rows.filter(F.col("part") == part), path, batch)
+    back = csv_files.read_csv(spark, path, rows.schema, file_order=True)
+    order = [F.col(csv_files.BATCH_COLUMN), *order_columns()]
+    return ranking.keep_first(back, ["review_id"], order).select("review_id", "part", "l_partkey")
+
+
 # --- incremental runs ---------------------------------------------------------------------------
 
 def _land_in_two(df, late, path, fmt):
@@ -295,7 +309,7 @@ def _ingest(spark, sf, fmt):
     schema = responses.with_keyword(schemas.REVIEW_RESPONSE)
     for _ in _land_in_two(review_responses(spark, sf), F.col("category_keyword") < "M", landing, fmt):
         incremental.ingest(spark, landing, schema, responses.flatten_reviews, out, check, fmt)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("ingest_batch")
 
 
 @query("st_incremental_ingest", with_views("r1", REVIEWS_SQL))
@@ -309,14 +323,16 @@ def snk_incremental(spark, sf):
     return aggregates.value_counts(_ingest(spark, sf, "parquet"), "product_id")
 
 
-@query("st_dedup", with_views("r1", "SELECT DISTINCT review_id FROM r1"))
+@query("st_dedup", with_views("r1", f"""
+SELECT review_id, l_suppkey FROM r1
+QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY l_suppkey % 2 = 0, {', '.join(ORDER)}) = 1"""))
 def st_dedup(spark, sf):
     landing, out, check = (scratch_path(spark, n) for n in ("landing", "unique", "progress"))
-    rows = r1(spark, sf).select("review_id", "submission_time", "l_linestatus")
-    for _ in _land_in_two(rows, F.col("l_linestatus") == "O", landing, "parquet"):
-        stream = incremental.file_stream(spark, landing, rows.schema, "parquet")
-        incremental.run_available(incremental.dedup(stream, lateness="4000 days"), out, check)
-    return spark.read.parquet(out).select("review_id")
+    rows = r1(spark, sf)
+    # Both drops hold rows of all years.
+    for _ in _land_in_two(rows, F.col("l_suppkey") % 2 == 0, landing, "parquet"):
+        incremental.dedup(incremental.file_stream(spark, landing, rows.schema, "parquet"), out, check, order_columns())
+    return spark.read.parquet(out).select("review_id", "l_suppkey")
 
 
 @query("st_monthly_refresh", MONTHLY_SQL)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K
 from gleaner.catalog.registry import query, r6, rounded
-from gleaner.catalog.reviews import METRIC_SQL
+from gleaner.catalog.reviews import METRIC_SQL, REPORT_SQL
 from gleaner.catalog.texts import cleaned, tokens_sql, words_sql
 from gleaner.catalog.views import classes_sql, r2, table, with_views
 from gleaner.functions import text as tx
@@ -73,24 +73,26 @@ def ml_validate(spark, sf):
     return rounded(out["sample"].select("review_id", "rating", "rating_sentiment", "pred", "confidence"), "confidence")
 
 
-@query("pipe_validate", with_views("clean", SAMPLE_SQL + METRIC_SQL + """
-SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
-       CAST(support AS BIGINT) AS support FROM classes
-UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
-  CAST(sum(support) AS BIGINT) FROM classes"""))
+@query("pipe_validate", with_views("clean", SAMPLE_SQL + METRIC_SQL + REPORT_SQL))
 def pipe_validate(spark, sf):
     out = jobs.validate(cleaned(spark, sf), jobs.model_scorer(letter_model(), K.SAMPLE_BATCH), per_star=100,
                         store=scratch_path(spark, "sample"))
-    kept = out["report"].filter(~F.col("label").isin("accuracy", "weighted avg"))
-    return rounded(kept, "precision", "recall", "f1")
+    return rounded(out["report"], "precision", "recall", "f1")
 
 
-@query("ml_text_classifier")
+@query("ml_text_classifier", with_views("clean", """
+SELECT review_id, rating_sentiment, true AS sums_to_one, true AS pred_is_largest, true AS score_is_difference FROM clean"""))
 def ml_text_classifier(spark, sf):
+    """What must hold of the trained classifier's output for every review, as its values are its own."""
     docs = write_stage(cleaned(spark, sf).select("review_id", "full_text", "rating_sentiment"),
                        scratch_path(spark, "labelled"))
-    model = scoring.train_text_classifier(docs, features=1 << 14, max_iter=10)
-    return scoring.classify(docs, model).select("review_id", "rating_sentiment", *CLASS_COLUMNS)
+    out = scoring.classify(docs, scoring.train_text_classifier(docs))
+    p = [F.col(f"prob_{c}") for c in K.LABELS]
+    of_pred = F.when(F.col("pred") == K.LABELS[0], p[0]).when(F.col("pred") == K.LABELS[1], p[1]).otherwise(p[2])
+    return out.select(
+        "review_id", "rating_sentiment", (F.abs(p[0] + p[1] + p[2] - 1) < 1e-9).alias("sums_to_one"),
+        ((of_pred == F.greatest(*p)) & (F.col("confidence") == F.greatest(*p))).alias("pred_is_largest"),
+        (F.abs(F.col("score") - (p[2] - p[0])) < 1e-12).alias("score_is_difference"))
 
 
 def _lexicon(spark, sf):
@@ -267,7 +269,7 @@ def tm_relevance(spark, sf):
 SELECT topic, term, round(topic_freq / term_freq, 6) AS share FROM freq JOIN terms USING (term)
 WHERE topic_freq >= 0.5"""))
 def tm_token_table(spark, sf):
-    return rounded(explorer.token_table(lang_freq(spark, sf)), "share")
+    return rounded(explorer.token_table(lang_freq(spark, sf), K.TOKEN_MIN_COUNT), "share")
 
 
 @query("tm_topic_distance", with_views("r2", LANG_SQL + """
@@ -335,60 +337,147 @@ def agg_best_k(spark, sf):
 
 _FITTED: dict = {}
 
+#: Confident negatives of the letter model with their tokens, and the vocabulary of these.
+NEGATIVES_SQL = ", " + _letters_sql("s", "clean", "full_text") + f""",
+d AS (SELECT *, {tokens_sql('full_text')} AS tokens FROM s WHERE pred = 'negative' AND confidence >= 0.8),
+docs AS (SELECT * FROM d WHERE len(tokens) >= 5),
+words AS (SELECT review_id, unnest(tokens) AS term FROM docs),
+vocab AS (
+  SELECT term FROM words GROUP BY 1
+  HAVING count(DISTINCT review_id) >= 10 AND count(DISTINCT review_id) <= 0.5 * (SELECT count(*) FROM docs)),
+ks AS (SELECT unnest([5, 7, 10, 12]) AS k)"""
+
 
 def fitted(spark, sf):
-    """One small sweep per session and folder, shared by the queries below."""
+    """The sweep over K on the confident negatives, once per session and folder, shared by the queries below."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
-        docs = r2(spark, sf).select(
-            F.col("seq").alias("review_id"), "product_id", "category_keyword", "rating", "submission_time",
-            F.col("text").alias("full_text"))
-        docs = filters.with_tokens(docs, tx.topic_tokens(F.col("full_text")))
-        docs = write_stage(docs, scratch_path(spark, "corpus"))
-        model = jobs.select_topics(docs, k_values=[4, 5], passes=5)
+        scored = jobs.score_full(cleaned(spark, sf), jobs.model_scorer(letter_model()))
+        docs = write_stage(jobs.topic_corpus(scored), scratch_path(spark, "corpus"))
+        model = jobs.select_topics(docs)
         _FITTED[key] = (docs, model, write_stage(jobs.assign_topics(docs, model), scratch_path(spark, "assigned")))
     return _FITTED[key]
 
 
-@query("tm_fit_lda")
+@query("tm_fit_lda", with_views("clean", NEGATIVES_SQL + """
+SELECT CAST(unnest(range(5)) AS INTEGER) AS topic, (SELECT count(*) FROM vocab) AS n_terms, true AS ranks_dense,
+       true AS sums_to_one"""))
 def tm_fit_lda(spark, sf):
     docs, model, _ = fitted(spark, sf)
-    vectors = vocabulary.vectorise(docs, model["term_list"])
-    fit = topics.fit_lda(vectors, 3, passes=3)
-    return topics.topic_terms(fit, model["terms"], 10).select("topic", "rank", "term", "weight")
+    fit = topics.fit_lda(vocabulary.vectorise(docs, model["term_list"]), 5)
+    n = F.count_distinct("term")
+    return topics.topic_terms(fit, model["terms"]).groupBy("topic").agg(
+        n.alias("n_terms"), ((F.count_distinct("rank") == n) & (F.max("rank") - F.min("rank") + 1 == n)).alias("ranks_dense"),
+        (F.abs(F.sum("weight") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query("tm_select_k")
+@query("tm_select_k", with_views("clean", NEGATIVES_SQL + """
+SELECT CAST(k AS INTEGER) AS k, true AS in_range, true AS best_is_chosen FROM ks"""))
 def tm_select_k(spark, sf):
-    return fitted(spark, sf)[1]["sweep"]
+    model = fitted(spark, sf)[1]
+    best = model["sweep"].agg(F.max("coherence")).scalar()
+    chosen = model["sweep"].filter(F.col("k") == model["k"]).agg(F.max("coherence")).scalar()
+    return model["sweep"].select("k", F.col("coherence").between(-1, 1).alias("in_range"),
+                                 (F.abs(best - chosen) < 1e-12).alias("best_is_chosen"))
 
 
-@query("tm_top_words")
+@query("tm_top_words", with_views("clean", NEGATIVES_SQL + """
+SELECT CAST(unnest(range(1, 16)) AS INTEGER) AS rank, true AS one_per_topic, true AS in_vocabulary, true AS falling"""))
 def tm_top_words(spark, sf):
-    return topics.top_terms(fitted(spark, sf)[1]["phi"]).select("topic", "rank", "term", "weight")
+    docs, model, _ = fitted(spark, sf)
+    top = topics.top_terms(model["phi"])
+    known = vocabulary.vocabulary(docs).select("term", F.lit(True).alias("known"))
+    before = top.select("topic", (F.col("rank") + 1).alias("rank"), F.col("weight").alias("before"))
+    return top.join(known, "term", "left").join(before, ["topic", "rank"], "left").groupBy("rank").agg(
+        ((F.count(F.lit(1)) == model["k"]) & (F.count_distinct("topic") == model["k"])).alias("one_per_topic"),
+        F.every(F.coalesce("known", F.lit(False))).alias("in_vocabulary"),
+        F.every(F.coalesce(F.col("weight") <= F.col("before"), F.lit(True))).alias("falling"))
 
 
-@query("tm_doc_topics")
+@query("tm_doc_topics", with_views("clean", NEGATIVES_SQL + """
+SELECT review_id, true AS every_topic, true AS sums_to_one, true AS within_bounds FROM docs"""))
 def tm_doc_topics(spark, sf):
-    return topics.theta_long(fitted(spark, sf)[2], "review_id")
+    _, model, assigned = fitted(spark, sf)
+    return topics.theta_long(assigned, "review_id").groupBy("review_id").agg(
+        (F.count_distinct("topic") == model["k"]).alias("every_topic"), (F.abs(F.sum("p") - 1) < 1e-9).alias("sums_to_one"),
+        F.every(F.col("p").between(0, 1)).alias("within_bounds"))
 
 
-@query("pipe_topics")
+@query("pipe_topics", with_views("clean", NEGATIVES_SQL + """
+SELECT 'topics_out' AS report, category_keyword AS key, CAST(count(*) AS DOUBLE) AS value FROM docs GROUP BY 2
+UNION ALL SELECT 'quarterly', CAST(CAST(date_trunc('quarter', submission_time) AS DATE) AS VARCHAR), count(*) FROM docs GROUP BY 2
+UNION ALL SELECT 'by_category', category_keyword, 100 FROM docs GROUP BY 2
+UNION ALL SELECT 'top_words', 'per topic', 15
+UNION ALL SELECT 'topic_sizes', 'all', count(*) FROM docs"""))
 def pipe_topics(spark, sf):
+    """Sums over the reports that do not depend on where the topics fall."""
     _, model, assigned = fitted(spark, sf)
-    return jobs.topic_reports(assigned, model)["exemplars"].select(
-        "dominant_topic", "rank", "review_id", "topic_probability", "snippet", "topic_size")
+    out, k = jobs.topic_reports(assigned, model), model["k"]
+    line = lambda df, report, key, value: df.select(
+        F.lit(report).alias("report"), key.alias("key"), value.cast("double").alias("value"))
+    topic_sum = sum((F.coalesce(F.col(f"`{t}`"), F.lit(0.0)) for t in range(1, k)), F.coalesce(F.col("`0`"), F.lit(0.0)))
+    sizes = out["exemplars"].select("dominant_topic", "topic_size").distinct().agg(F.sum("topic_size").alias("n"))
+    return line(out["topics_out"].groupBy("category_keyword").count(), "topics_out", F.col("category_keyword"), F.col("count")).unionByName(
+        line(out["quarterly"].groupBy("quarter").agg(F.sum("n").alias("n")), "quarterly", F.col("quarter").cast("string"), F.col("n"))).unionByName(
+        line(out["by_category"], "by_category", F.col("category_keyword"), F.round(topic_sum, 6))).unionByName(
+        line(out["top_words"].agg((F.count(F.lit(1)) / k).alias("n")), "top_words", F.lit("per topic"), F.col("n"))).unionByName(
+        line(sizes, "topic_sizes", F.lit("all"), F.col("n")))
+
+
+EXPLORER_SQL = f"""
+, s AS (
+  SELECT term, any_value(p_term) * sum(weight / w * ln(weight / w / proportion)) AS saliency
+  FROM freq JOIN terms USING (term) GROUP BY 1),
+best AS (SELECT * FROM s ORDER BY saliency DESC, term LIMIT 30),
+grid AS (SELECT unnest(range(0, 101)) / 100 AS lam),
+rel AS (
+  SELECT topic, lam, term, floor((lam * ln(weight) + (1 - lam) * ln(weight / p_term)) * 1e9 + 0.5) / 1e9 AS r
+  FROM freq JOIN terms USING (term), grid),
+ranked AS (SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY topic, lam ORDER BY r DESC, term) <= 30),
+pairs AS (SELECT a.topic AS topic_a, b.topic AS topic_b FROM tops a, tops b WHERE a.topic < b.topic),
+side AS (
+  SELECT topic_a, topic_b, t.term, coalesce(p.weight, 0) AS p, coalesce(q.weight, 0) AS q
+  FROM pairs CROSS JOIN (SELECT DISTINCT term FROM phi) t
+  LEFT JOIN phi p ON p.topic = topic_a AND p.term = t.term LEFT JOIN phi q ON q.topic = topic_b AND q.term = t.term),
+ordered AS (SELECT {ORDER_SQL}, topic, proportion FROM mass)
+SELECT 'topics' AS report, CAST(topic AS INTEGER) AS topic, CAST(NULL AS VARCHAR) AS term, CAST(display AS DOUBLE) AS at,
+       round(proportion, 6) AS value FROM ordered
+UNION ALL SELECT 'term_frequency', NULL, term, NULL, round(term_freq, 6) FROM terms
+UNION ALL SELECT 'saliency', NULL, term, NULL, round(saliency, 6) + 0.0 FROM best
+UNION ALL SELECT 'relevance', topic, term, round(lam, 2), round(r, 6) + 0.0 FROM ranked
+UNION ALL SELECT 'token_table', topic, term, NULL, round(topic_freq / term_freq, 6) FROM freq JOIN terms USING (term) WHERE topic_freq >= 0.5
+UNION ALL SELECT 'distance', CAST(topic_a AS INTEGER), NULL, topic_b,
+       round(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+               + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) FROM side GROUP BY topic_a, topic_b"""
+
+
+def _explorer_lines(tables_):
+    """All six tables of an explorer as (report, topic, term, at, value)."""
+    shape = {"topics": ("topic", None, "display", "proportion"), "term_frequency": (None, "term", None, "term_freq"),
+             "saliency": (None, "term", None, "saliency"), "relevance": ("topic", "term", "lambda", "relevance"),
+             "token_table": ("topic", "term", None, "share"), "distance": ("topic_a", None, "topic_b", "js_divergence")}
+    out = None
+    for name, columns in shape.items():
+        topic, term, at, value = (F.lit(None) if c is None else F.col(c) for c in columns)
+        part = tables_[name].select(F.lit(name).alias("report"), topic.cast("int").alias("topic"), term.cast("string").alias("term"),
+                                    F.round(at.cast("double"), 2).alias("at"), r6(value).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query("pipe_explorer")
+def _lang_explorer(spark, sf):
+    docs = write_stage(lang_docs(spark, sf).select("seq", "lang", "tokens", "theta", "doc_len"), scratch_path(spark, "languages"))
+    return jobs.explorer_tables(docs, {"phi": lang_phi(docs), "k": 4}, digits=9)
+
+
+@query("pipe_explorer", with_views("r2", LANG_SQL + EXPLORER_SQL))
 def pipe_explorer(spark, sf):
-    _, model, assigned = fitted(spark, sf)
-    return jobs.explorer_tables(assigned, model)["relevance"]
+    return _explorer_lines(_lang_explorer(spark, sf))
 
 
-@query("tm_explorer_export")
+@query("tm_explorer_export", with_views("r2", LANG_SQL + EXPLORER_SQL))
 def tm_explorer_export(spark, sf):
-    _, model, assigned = fitted(spark, sf)
-    path = scratch_path(spark, "explorer")
-    explorer.write_explorer(jobs.explorer_tables(assigned, model), path)
-    return spark.read.json(f"{path}/token_table")
+    """The export, read back."""
+    path, out = scratch_path(spark, "explorer"), _lang_explorer(spark, sf)
+    explorer.write_explorer(out, path)
+    return _explorer_lines({name: spark.read.schema(df.schema).json(f"{path}/{name}") for name, df in out.items()})

@@ -200,14 +200,18 @@ def join_product_reviews(spark, sf):
         "review_id", "product_id", "category_keyword", "l_orderkey", "l_linenumber")
 
 
+#: Names of some topics; the others get the default.
+TOPIC_NAMES = {0: "Quality", 1: "Recipe", 2: "Taste"}
+
+
 @query("join_label_lookup", with_views("r1s", """
 SELECT l_orderkey, l_linenumber, l_partkey, pred, CAST(label_score AS INTEGER) AS label_score,
-       CASE dominant_topic WHEN 0 THEN 'Meat/Protein Quality' WHEN 1 THEN 'Reformulation/Recipe'
-         WHEN 2 THEN 'Taste & Texture' END AS known_name,
-       CASE dominant_topic WHEN 0 THEN 'Meat/Protein Quality' WHEN 1 THEN 'Reformulation/Recipe'
-         WHEN 2 THEN 'Taste & Texture' ELSE concat('Topic ', dominant_topic) END AS shown_name FROM r1s"""))
+       CASE dominant_topic WHEN 0 THEN 'Quality' WHEN 1 THEN 'Recipe'
+         WHEN 2 THEN 'Taste' END AS known_name,
+       CASE dominant_topic WHEN 0 THEN 'Quality' WHEN 1 THEN 'Recipe'
+         WHEN 2 THEN 'Taste' ELSE concat('Topic ', dominant_topic) END AS shown_name FROM r1s"""))
 def join_label_lookup(spark, sf):
-    names = {k: K.TOPIC_SHORT_NAMES[k] for k in (0, 1, 2)}
+    names = TOPIC_NAMES
     topic = F.col("dominant_topic")
     return r1s(spark, sf).select(
         "l_orderkey", "l_linenumber", "l_partkey", scores.label_of(F.col("pred_idx")).alias("pred"),
@@ -245,9 +249,9 @@ def agg_value_counts(spark, sf):
     df = r1(spark, sf, rating=True, product=True)
     values = {"rating": F.col("rating").cast("int").cast("string"), "category": F.col("category_keyword"),
               "year": F.year("submission_time").cast("string")}
-    fields = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()])
-    return (df.select(F.inline(fields)).filter(F.col("value").isNotNull())
-            .groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")))
+    counted = [aggregates.value_counts(df.select(v.alias("value")), "value").select(F.lit(k).alias("field"), "value", "n")
+               for k, v in values.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 @query("agg_value_share", with_views("r1s", """
@@ -311,8 +315,8 @@ def agg_pct_where(spark, sf):
     return df.groupBy("category_keyword").agg(r6(aggregates.pct_where(negative)).alias("pct_negative"))
 
 
-TOPIC_NAMES_SQL = """CASE dominant_topic WHEN 0 THEN 'Meat/Protein Quality' WHEN 1 THEN 'Reformulation/Recipe'
-  WHEN 2 THEN 'Taste & Texture' WHEN 3 THEN 'Price-Value' WHEN 4 THEN 'Prepared Food/Premium' END"""
+TOPIC_NAMES_SQL = """CASE dominant_topic WHEN 0 THEN 'Quality' WHEN 1 THEN 'Recipe' WHEN 2 THEN 'Taste'
+  ELSE concat('Topic ', dominant_topic) END"""
 
 
 @query("agg_topic_month", with_views("r1s", f"""
@@ -322,7 +326,7 @@ months AS (SELECT DISTINCT year_month FROM named), names AS (SELECT DISTINCT top
 SELECT m.year_month, t.topic_name, count(n.topic_name) AS n FROM months m CROSS JOIN names t
 LEFT JOIN named n ON n.year_month = m.year_month AND n.topic_name = t.topic_name GROUP BY 1, 2"""))
 def agg_topic_month(spark, sf):
-    return temporal.topic_month(filters.confident_negative(r1s(spark, sf)))
+    return temporal.topic_month(filters.confident_negative(r1s(spark, sf)), 5, TOPIC_NAMES)
 
 
 @query("agg_topic_quarter_pct", with_views("r1", """
@@ -365,14 +369,16 @@ def agg_category_quarter(spark, sf):
     return rounded(temporal.category_quarter(r1s(spark, sf, product=True)), "mean_sentiment")
 
 
+QUARTERS = [f"{y}Q{q}" for y in range(1995, 2002) for q in (1, 2, 3, 4)]
+
+
 @query("agg_category_quarter_wide", with_views("r1s", CELLS_SQL + """
 SELECT category_keyword, """ + ", ".join(
-    f"""round(max(mean_sentiment) FILTER (quarter = '1998Q{q}'), 6) AS "1998Q{q}" """ for q in (1, 2, 3, 4))
+    f"""round(max(mean_sentiment) FILTER (quarter = '{q}'), 6) AS "{q}" """ for q in QUARTERS)
     + "FROM cells GROUP BY 1"))
 def agg_category_quarter_wide(spark, sf):
-    quarters = [f"1998Q{q}" for q in (1, 2, 3, 4)]
-    wide = temporal.category_quarter_wide(temporal.category_quarter(r1s(spark, sf, product=True)), quarters)
-    return rounded(wide, *quarters)
+    wide = temporal.category_quarter_wide(temporal.category_quarter(r1s(spark, sf, product=True)), QUARTERS)
+    return rounded(wide, *QUARTERS)
 
 
 @query("agg_pivot_thresh", with_views("r1s", """
@@ -428,7 +434,7 @@ def agg_f1(spark, sf):
     return rounded(metrics.f1_scores(_counts(spark, sf)), "macro_f1", "weighted_f1")
 
 
-@query("agg_class_report", with_views("r1s", METRIC_SQL + """
+REPORT_SQL = """
 , acc AS (SELECT sum(n) FILTER (truth = pred) / sum(n) AS a, sum(n) AS s FROM counts),
 report AS (
   SELECT label, precision, recall, f1, support FROM classes
@@ -437,7 +443,10 @@ report AS (
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support),
     sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM classes)
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
-       CAST(support AS BIGINT) AS support FROM report"""))
+       CAST(support AS BIGINT) AS support FROM report"""
+
+
+@query("agg_class_report", with_views("r1s", METRIC_SQL + REPORT_SQL))
 def agg_class_report(spark, sf):
     return rounded(metrics.class_report(_counts(spark, sf)), "precision", "recall", "f1")
 

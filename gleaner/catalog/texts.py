@@ -129,8 +129,8 @@ def agg_quantile_clip(spark, sf):
 , k AS (SELECT words FROM w WHERE words <= (SELECT quantile_cont(words, 0.99) FROM w)),
 m AS (SELECT min(words)::DOUBLE AS lo, (max(words) - min(words))::DOUBLE / 50 AS width FROM k),
 b AS (SELECT CAST(least(floor((words - lo) / width), 49) AS INTEGER) AS bin, lo, width FROM k, m)
-SELECT bin, round(lo + bin * width, 6) AS bin_left, round(lo + (bin + 1) * width, 6) AS bin_right, count(*) AS n
-FROM b GROUP BY bin, lo, width"""))
+SELECT g.bin, round(m.lo + g.bin * m.width, 6) AS bin_left, round(m.lo + (g.bin + 1) * m.width, 6) AS bin_right, count(b.bin) AS n
+FROM (SELECT CAST(unnest(range(50)) AS INTEGER) AS bin) g CROSS JOIN m LEFT JOIN b ON g.bin = b.bin GROUP BY g.bin, m.lo, m.width"""))
 def agg_histogram(spark, sf):
     clipped = aggregates.quantile_clip(_words(spark, sf), "words", 0.99)
     return rounded(aggregates.histogram(clipped, "words"), "bin_left", "bin_right")
@@ -253,7 +253,7 @@ words AS (SELECT seq, unnest(tokens) AS term FROM docs),
 vocab AS (
   SELECT term, count(DISTINCT seq) AS df, count(*) AS tf FROM words GROUP BY 1
   HAVING count(DISTINCT seq) >= 10 AND count(DISTINCT seq) <= 0.5 * (SELECT count(*) FROM docs)
-  ORDER BY df DESC, term LIMIT 100000)"""
+)"""
 
 
 def corpus(spark, sf):

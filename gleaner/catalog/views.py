@@ -26,7 +26,9 @@ EVENT_ROWS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", text_heavy=name in ("documents", "pages"))
+    """A given table. The text tables come in one row group each, so their rows are dealt out."""
+    texts = name in ("documents", "pages")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spark.sparkContext.defaultParallelism if texts else None)
 
 
 def r1(spark: SparkSession, sf_dir: str, rating: bool = False, product: bool = False,

@@ -23,7 +23,6 @@ CONFIDENCE_THRESHOLD = 0.80
 MIN_TOKENS = 5
 VOCAB_MIN_DF = 10
 VOCAB_MAX_DF_SHARE = 0.5
-VOCAB_MAX_TERMS = 100_000
 K_VALUES = [5, 7, 10, 12]
 LDA_PASSES = 10
 TOP_WORDS = 15
@@ -31,6 +30,8 @@ COHERENCE_TOP_WORDS = 20
 COHERENCE_WINDOW = 110
 COHERENCE_EPSILON = 1e-12
 RELEVANT_TERMS = 30
+#: Weight below which the viewer shows no cell of a term and topic.
+TOKEN_MIN_COUNT = 0.5
 SEARCH_PAGE_SIZE = 60
 SEARCH_MAX_PAGES = 2
 MAX_REVIEWS_PER_PRODUCT = 50
@@ -66,22 +67,6 @@ EVENTS = [
     ("2024-11-05", "Price match in local stores", "retail", "#F06C00"),
 ]
 
-# --- fixed values: names of the five topics of the published K = 5 model ---------------------------
-TOPIC_TITLES = {
-    0: "Meat/Protein Quality Failures",
-    1: "Reformulation / Recipe Changes",
-    2: "Taste & Texture Disappointment",
-    3: "Price-Value & Packaging",
-    4: "Prepared Food & Premium Disappointment",
-}
-TOPIC_SHORT_NAMES = {
-    0: "Meat/Protein Quality",
-    1: "Reformulation/Recipe",
-    2: "Taste & Texture",
-    3: "Price-Value",
-    4: "Prepared Food/Premium",
-}
-
 # --- fixed values: CSV cells that mean "missing" ----------------------------------------------------
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

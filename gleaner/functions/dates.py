@@ -39,10 +39,3 @@ def quarter_start(ts: Column) -> Column:
 
 def quarter_label(ts: Column) -> Column:
     return F.concat(F.year(ts).cast("string"), F.lit("Q"), F.quarter(ts).cast("string"))
-
-
-def event_side(ts: Column, event_date: Column, days: int = K.EVENT_WINDOW_DAYS) -> Column:
-    """'before' in [d-days, d), 'after' in [d, d+days), else null."""
-    offset = F.datediff(F.to_date(ts), event_date)
-    return (F.when((offset >= -days) & (offset < 0), "before")
-            .when((offset >= 0) & (offset < days), "after"))

@@ -75,7 +75,7 @@ def label_of(idx: Column, labels=K.LABELS) -> Column:
 
 def topic_name(topic: Column, names: dict[int, str], default: bool = False) -> Column:
     """Name of a topic id; unknown ids give null, or 'Topic k' when ``default`` is set."""
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]).cast("map<int,string>")
     name = F.try_element_at(table, topic.cast("int"))
     return F.coalesce(name, F.concat(F.lit("Topic "), topic.cast("string"))) if default else name
 

@@ -42,8 +42,8 @@ def quantile_clip(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last one is closed on the right.
 
-    Works on the counts per distinct value. Bins without rows are not listed. A single value lies
-    in the middle of a range of length 1.
+    Works on the counts per distinct value. Bins without rows count 0. A single value lies in the
+    middle of a range of length 1.
     """
     counts = value_counts(df, column)
     low, high = F.min(column).cast("double"), F.max(column).cast("double")
@@ -53,9 +53,12 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
         column, "n", F.col("_edges.low").alias("low"), F.col("_edges.width").alias("width"))
     place = F.least(F.floor((F.col(column) - F.col("low")) / F.col("width")), F.lit(bins - 1))
     binned = ranged.select(place.cast("int").alias("bin"), "n", "low", "width")
-    return (binned.groupBy("bin", "low", "width").agg(F.sum("n").alias("n"))
-            .select("bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_left"),
-                    (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_right"), "n"))
+    grid = counts.agg(low.alias("low"), ((high - low) / bins).alias("width")).filter("low IS NOT NULL").select(
+        "low", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(binned.groupBy("bin").agg(F.sum("n").alias("n")), "bin", "left").select(
+        "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_left"),
+        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_right"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def summary(df: DataFrame, words: str = "text_length_words") -> DataFrame:
@@ -143,9 +146,3 @@ def crosstab_pct(df: DataFrame, row: str, column: str, values: list) -> DataFram
     counts = count_matrix(df, row, column, values)
     listed = sum((F.col(f"`{v}`") for v in values[1:]), F.col(f"`{values[0]}`"))
     return counts.select(row, *[(F.col(f"`{v}`") * 100.0 / listed).alias(str(v)) for v in values])
-
-
-def present_values(df: DataFrame, column: str, order: list) -> list:
-    """Those of the listed values that occur, in the listed order."""
-    found = {r[0] for r in df.filter(F.col(column).isin(order)).select(column).distinct().collect()}
-    return [v for v in order if v in found]

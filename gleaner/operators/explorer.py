@@ -86,39 +86,37 @@ def relevance(freq: DataFrame, lambdas=None, n: int = K.RELEVANT_TERMS,
               digits: int | None = None) -> DataFrame:
     """Top terms per topic and lambda: lambda*log(phi) + (1-lambda)*log(phi/p_term).
 
-    Lambda runs over 0, 0.01 .. 1 unless given; its values are exploded in place. A long grid is
+    Lambda runs over 0, 0.01 .. 1 unless given; its values are exploded in place. The grid is
     first solved at every tenth value, which bounds the values between from below: terms under the
     bound leave before the sort and cannot be among the best. ``digits`` rounds before ranking, so
     that equal terms tie and sort by name.
     """
     grid = [i / 100 for i in range(101)] if lambdas is None else sorted(float(x) for x in lambdas)
     marks = sorted({*grid[::10], grid[-1]})
+    marks = marks if len(marks) > 1 else marks * 2
     base = freq.join(overall_frequency(freq), "term").filter(F.col("weight") > 0).select(
         "topic", "term", F.log("weight").alias("logprob"),
         F.log(F.col("weight") / F.col("p_term")).alias("loglift"))
     # The table is small but grows a hundredfold here: deal it out first, or it would sit in the
     # one partition that adaptive execution merged it into.
-    parts = min(base.sparkSession.sparkContext.defaultParallelism, 200)
-    steps = [(x, max(j for j, m in enumerate(marks[:-1]) if m <= x) if len(marks) > 1 else 0) for x in grid]
+    parts = base.sparkSession.sparkContext.defaultParallelism
+    steps = [(x, max(j for j, m in enumerate(marks[:-1]) if m <= x)) for x in grid]
     spread = base.repartition(parts, "term")
-    prune = len(grid) > 2 * len(marks)
-    if prune:
-        bounds = F.try_element_at(_lower_bounds(base, marks, n).scalar(), F.col("topic"))
-        spread = spread.withColumn("_bounds", bounds)
+    bounds = F.try_element_at(_lower_bounds(base, marks, n).scalar(), F.col("topic"))
+    spread = spread.withColumn("_bounds", bounds)
     scored = spread.select("*", F.inline(F.array(*[
         F.struct(F.lit(x).alias("lambda"), F.lit(j).alias("_j")) for x, j in steps])))
     scored = scored.withColumn("relevance", _relevance_at(F.col("lambda")))
-    if prune:
-        bound = F.get("_bounds", F.col("_j"))
-        scored = scored.filter(bound.isNull() | (F.col("relevance") >= bound - 1e-6)).drop("_bounds")
+    bound = F.get("_bounds", F.col("_j"))
+    scored = scored.filter(bound.isNull() | (F.col("relevance") >= bound - 1e-6)).drop("_bounds")
     if digits is not None:
         unit = 10.0 ** digits
         scored = scored.withColumn("relevance", F.floor(F.col("relevance") * unit + 0.5) / unit)
     return top_n_per_group(scored.drop("_j"), ["topic", "lambda"], [F.desc("relevance"), F.col("term")], n, rank="rank")
 
 
-def token_table(freq: DataFrame, min_count: float = 0.5) -> DataFrame:
-    """Share of a term's occurrences that falls in each topic, for cells of some weight."""
+def token_table(freq: DataFrame, min_count: float = 0.0) -> DataFrame:
+    """Share of a term's occurrences that falls in each topic, for cells of at least ``min_count`` occurrences."""
     terms = freq.groupBy("term").agg(F.sum("topic_freq").alias("term_freq"))
     return (freq.filter(F.col("topic_freq") >= min_count).join(terms, "term")
             .select("topic", "term", (F.col("topic_freq") / F.col("term_freq")).alias("share")))

@@ -47,10 +47,3 @@ def event_window(reviews: DataFrame, events: DataFrame, days: int = K.EVENT_WIND
 def above_scalar(df: DataFrame, column: str, scalar: DataFrame) -> DataFrame:
     """Rows compared with a one-value table through a scalar subquery, not a join."""
     return df.withColumn("above", F.col(column) > scalar.scalar())
-
-
-def topic_lookup(docs: DataFrame, labels: DataFrame, topic: str = "dominant_topic") -> DataFrame:
-    """Topic names from a label table; a topic without a name becomes 'Topic k'."""
-    names = labels.select(F.col("topic").alias(topic), F.col("title").alias("topic_name"))
-    default = F.concat(F.lit("Topic "), F.col(topic).cast("string"))
-    return docs.join(names, topic, "left").withColumn("topic_name", F.coalesce("topic_name", default))

@@ -1,7 +1,8 @@
 """Top rows per group.
 
 ``row_number() <= n`` makes Spark insert a group limit on the map side: each task forwards at most
-n rows per key, so a key that holds a third of the data never reaches one reducer whole.
+n rows per key, so a key that holds a third of the data never reaches one reducer whole. Spark does
+so up to a threshold of its own; it is raised to the n that is asked for.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from gleaner import constants as K
 
 def top_n_per_group(df: DataFrame, keys: list, order: list, n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows of every group in a total order."""
+    conf, threshold = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(threshold)) < n:
+        conf.set(threshold, str(n))
     name = rank or "_rank"
     out = (df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
            .filter(F.col(name) <= n))

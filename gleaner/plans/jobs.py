@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner import constants as K, schemas
@@ -48,7 +47,7 @@ def clean(raw: DataFrame, order: list | None = None, start: str = K.WINDOW_START
     Blank texts, unreadable dates and rows outside the window go first, so an early copy outside
     the window does not hide a later one inside it.
     """
-    order = order or [F.col(c) for c in INGEST_ORDER]
+    order = order or [F.col(c) for c in INGEST_ORDER if c in raw.columns]
     df = filters.nonblank_text(raw)
     if dict(raw.dtypes)["submission_time"] == "string":
         df = df.withColumn("submission_time", dates.parse_timestamp(F.col("submission_time")))
@@ -129,13 +128,14 @@ def topic_corpus(scored: DataFrame, stopwords: list[str] | None = None, lexicon:
 
 
 def select_topics(docs: DataFrame, k_values=K.K_VALUES, min_df: int = K.VOCAB_MIN_DF,
-                  passes: int = K.LDA_PASSES, key: str = "review_id") -> dict:
+                  passes: int = K.LDA_PASSES, key: str = "review_id", max_terms: int | None = None) -> dict:
     """Fit every K on one persisted corpus, score each by c_v and keep the best.
 
-    The vocabulary list (bounded by ``VOCAB_MAX_TERMS``) is fetched for the vectoriser.
+    The vocabulary list is fetched for the vectoriser, and the driver holds a weight for each of its
+    terms and topics; ``max_terms`` keeps the most frequent ones where these are too many.
     """
     spark = docs.sparkSession
-    terms = [r["term"] for r in vocabulary.vocabulary(docs, min_df=min_df).select("term").collect()]
+    terms = [r["term"] for r in vocabulary.vocabulary(docs, min_df=min_df, max_terms=max_terms).select("term").collect()]
     term_table = tables.term_table(spark, terms)
     corpus = vocabulary.vectorise(docs, terms).select(key, "tokens", "features").persist()
     try:
@@ -157,21 +157,21 @@ def assign_topics(docs: DataFrame, fitted: dict) -> DataFrame:
     """Adds theta, dominant topic, its probability and the number of vocabulary words."""
     vectors = vocabulary.vectorise(docs, fitted["term_list"])
     return topics.dominant_topic(topics.doc_topics(fitted["model"], vectors)).withColumn(
-        "doc_len", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).drop("features")
+        "doc_len", F.aggregate(F.unwrap_udt("features")["values"], F.lit(0.0), lambda a, x: a + x)).drop("features")
 
 
 EXEMPLAR_COLUMNS = ["dominant_topic", "topic_size", "rank", "topic_probability", "review_id", "category_keyword",
                     "rating", "snippet"]
 
 
-def topic_reports(assigned: DataFrame, fitted: dict, titles: dict[int, str] = K.TOPIC_TITLES,
+def topic_reports(assigned: DataFrame, fitted: dict, titles: dict[int, str] | None = None,
                   tie_break: list | None = None) -> dict[str, DataFrame]:
     """Output table, top words, trends, categories and exemplars."""
     k = fitted["k"]
     return {
         "topics_out": sinks.project_existing(assigned, schemas.TOPICS_OUT),
         "top_words": topics.top_terms(fitted["phi"]).withColumn(
-            "topic_name", scores.topic_name(F.col("topic"), titles, default=True)),
+            "topic_name", scores.topic_name(F.col("topic"), titles or {}, default=True)),
         "quarterly": temporal.topic_quarter_pct(assigned, k),
         "by_category": aggregates.crosstab_pct(assigned, "category_keyword", "dominant_topic", list(range(k))),
         "exemplars": sinks.project_existing(
@@ -180,8 +180,12 @@ def topic_reports(assigned: DataFrame, fitted: dict, titles: dict[int, str] = K.
 
 
 def temporal_reports(scored: DataFrame, events: DataFrame, docs: DataFrame | None = None,
-                     quarters: list[str] | None = None) -> dict[str, DataFrame]:
-    """Monthly sentiment, events in range, event impact, category trend, topic volume."""
+                     quarters: list[str] | None = None, topics_: int | None = None,
+                     titles: dict[int, str] | None = None) -> dict[str, DataFrame]:
+    """Monthly sentiment, events in range, event impact, category trend, topic volume.
+
+    ``quarters`` and the number of topics are read from the tables unless given.
+    """
     monthly = temporal.monthly_sentiment(scored)
     cells = temporal.category_quarter(scored)
     out = {
@@ -189,22 +193,27 @@ def temporal_reports(scored: DataFrame, events: DataFrame, docs: DataFrame | Non
         "event_impact": temporal.event_impact(scored, events), "category_quarter": cells,
         "category_order": temporal.pivot_threshold(cells),
     }
-    if quarters:
-        out["category_wide"] = temporal.category_quarter_wide(cells, quarters)
+    if quarters is None:
+        quarters = sorted(r["quarter"] for r in cells.select("quarter").distinct().collect())
+    out["category_wide"] = temporal.category_quarter_wide(cells, quarters)
     if docs is not None:
-        out["topic_month"] = temporal.topic_month(docs)
+        if topics_ is None:
+            topics_ = (docs.agg(F.max("dominant_topic")).first()[0] or 0) + 1
+        out["topic_month"] = temporal.topic_month(docs, int(topics_), titles)
     return out
 
 
-def explorer_tables(assigned: DataFrame, fitted: dict, labels: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Everything a topic explorer shows, from the model fitted before (no second training)."""
+def explorer_tables(assigned: DataFrame, fitted: dict, labels: DataFrame | None = None,
+                    digits: int | None = None) -> dict[str, DataFrame]:
+    """Everything a topic explorer shows, from the model fitted before (no second training). ``digits``
+    rounds relevance before ranking."""
     mass = explorer.topic_mass_of(assigned)
     order = explorer.topic_order(mass)
     freq = explorer.term_frequency(fitted["phi"], mass)
     out = {
         "topics": order, "term_frequency": explorer.overall_frequency(freq),
-        "saliency": explorer.saliency(freq), "relevance": explorer.relevance(freq),
-        "token_table": explorer.token_table(freq),
+        "saliency": explorer.saliency(freq), "relevance": explorer.relevance(freq, digits=digits),
+        "token_table": explorer.token_table(freq, K.TOKEN_MIN_COUNT),
         "distance": explorer.topic_distance(fitted["phi"], fitted["k"]),
     }
     if labels is not None:

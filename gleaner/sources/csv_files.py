@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gleaner import constants as K, schemas
-from gleaner.functions.scores import number_or_zero
 
 FILE_COLUMN = "ingest_file"
 ROW_COLUMN = "ingest_row"
-INGEST_ORDER = [FILE_COLUMN, ROW_COLUMN]
+#: Number of the append or micro-batch that brought a row; the name of its folder.
+BATCH_COLUMN = "ingest_batch"
+INGEST_ORDER = [BATCH_COLUMN, FILE_COLUMN, ROW_COLUMN]
 
 
 def null_tokens(c: Column, tokens=K.NA_TOKENS) -> Column:
@@ -30,15 +31,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
 
     Cells are read as text first, so that a bad number gives null and never a failed row.
     ``multi_line=False`` lets Spark split big files, for producers that escape line breaks.
-    ``file_order`` adds the position of each row: rows of one file keep their order, and files
-    are ordered by name.
+    ``file_order`` adds the position of each row: appends in the order of their numbers (0 for files
+    written without one), files of one append by name, rows of one file as they stand.
     """
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     raw = (spark.read.schema(text_schema).option("header", True).option("multiLine", multi_line)
            .option("quote", '"').option("escape", '"').csv(path))
     columns = [_as_declared(f) for f in schema]
     if file_order:
-        columns += [F.col("_metadata.file_path").alias(FILE_COLUMN),
+        batch = F.col(BATCH_COLUMN).cast("bigint") if BATCH_COLUMN in raw.columns else F.lit(0).cast("bigint")
+        columns += [batch.alias(BATCH_COLUMN), F.col("_metadata.file_path").alias(FILE_COLUMN),
                     F.monotonically_increasing_id().alias(ROW_COLUMN)]
     return raw.select(*columns)
 
@@ -55,7 +57,3 @@ def read_products_csv(spark: SparkSession, path: str) -> DataFrame:
     """Product list; a review count that is missing or no number counts as 0."""
     df = read_csv(spark, path, schemas.PRODUCTS)
     return df.withColumn("review_count", F.coalesce("review_count", F.lit(0.0)))
-
-
-def coerce_review_count(df: DataFrame, column: str = "review_count") -> DataFrame:
-    return df.withColumn(column, number_or_zero(F.col(column).cast("string")))

@@ -44,9 +44,3 @@ def page_slice(reviews: DataFrame, order: list, offset: int, limit: int,
     """Rows offset .. offset+limit of every product in the given order."""
     ranked = top_n_per_group(reviews, [key], order, offset + limit, rank="_rank")
     return ranked.filter(F.col("_rank") > offset).withColumnRenamed("_rank", "position")
-
-
-def top_pages(products: DataFrame, order: list, page: int, page_size: int,
-              key: str = "category_keyword") -> DataFrame:
-    """Search page of each keyword, most popular first."""
-    return page_slice(products, order, (page - 1) * page_size, page_size, key)

@@ -5,16 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan over all cores; a scan with enough partitions stays as it is.
-
-    For text tables, whose work per byte is high. Pass a plain scan: only its file listing is
-    looked at, no job runs.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
-
-
-def read_table(spark: SparkSession, path: str, text_heavy: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A scan; ``partitions`` deals its rows out anew, for a table stored in fewer row groups than there are cores."""
     df = spark.read.parquet(path)
-    return spread(df) if text_heavy else df
+    return df.repartition(partitions) if partitions else df

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from gleaner.sources.csv_files import BATCH_COLUMN
+
+
 def _csv(writer):
     # emptyValue keeps '' and null apart from quoting rules: both are written as an empty cell.
     return (writer.option("header", True).option("quote", '"').option("escape", '"')
@@ -16,9 +19,16 @@ def write_csv(df: DataFrame, path: str) -> None:
     _csv(df.write.mode("overwrite")).csv(path)
 
 
-def append_csv(df: DataFrame, path: str) -> None:
-    """Add rows. Every part file has its own header, so none must be suppressed."""
-    _csv(df.write.mode("append")).csv(path)
+def append_csv(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add rows. Every part file has its own header, so none must be suppressed.
+
+    ``batch`` numbers the appends of a table whose keep-first must follow their order: the rows go to a
+    folder of that number, which a repeated append replaces.
+    """
+    if batch is None:
+        _csv(df.write.mode("append")).csv(path)
+    else:
+        _csv(df.write.mode("overwrite")).csv(f"{path}/{BATCH_COLUMN}={batch}")
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -39,8 +39,7 @@ def label_table(spark: SparkSession) -> DataFrame:
 def topic_label_table(spark: SparkSession, titles: dict | None = None,
                       descriptions: dict | None = None) -> DataFrame:
     """Titles belong to one trained model: pass the ones written for yours."""
-    titles = K.TOPIC_TITLES if titles is None else titles
-    rows = [(k, title, (descriptions or {}).get(k)) for k, title in titles.items()]
+    rows = [(k, title, (descriptions or {}).get(k)) for k, title in (titles or {}).items()]
     return local_table(spark, rows, schemas.struct(topic="int", title="string", description="string"))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gleaner.functions import dates
 from gleaner.functions.scores import label_score
+from gleaner.operators.ranking import keep_first
+from gleaner.session import path_exists
+from gleaner.sources.csv_files import BATCH_COLUMN
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json",
@@ -24,19 +27,56 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parq
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
+def _numbered(spark: SparkSession, out: str, checkpoint: str) -> None:
+    """Refuse a lost checkpoint: its batch numbers would start anew and meet those of ``out``."""
+    if path_exists(spark, out) and not path_exists(spark, checkpoint):
+        raise ValueError(f"{out} has batches, but their checkpoint {checkpoint} is gone")
+
+
+def run_batches(stream: DataFrame, out: str, checkpoint: str,
+                prepare: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None) -> None:
+    """Append everything that has landed to ``out``, one folder ``ingest_batch=<number>`` per micro-batch, and stop.
+
+    A retried batch replaces its own folder. ``prepare`` gets the batch and the table of all batches
+    before it (None for the first), and returns the rows to keep.
+    """
+    spark = stream.sparkSession
+    _numbered(spark, out, checkpoint)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        if prepare:
+            earlier = None
+            if path_exists(spark, out):
+                earlier = batch.sparkSession.read.option("basePath", out).parquet(out).filter(F.col(BATCH_COLUMN) < batch_id)
+            rows = prepare(batch, earlier)
+        rows.write.mode("overwrite").parquet(f"{out}/{BATCH_COLUMN}={batch_id}")
+
+    (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def ingest(spark: SparkSession, source: str, schema: T.StructType, flatten: Callable[[DataFrame], DataFrame],
            out: str, checkpoint: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
-    """Flatten newly landed responses into the table at ``out`` and return that table."""
-    run_available(flatten(file_stream(spark, source, schema, fmt, max_files)), out, checkpoint)
+    """Flatten newly landed responses into the table at ``out`` and return that table; its column
+    ``ingest_batch`` tells the order in which rows came in."""
+    run_batches(flatten(file_stream(spark, source, schema, fmt, max_files)), out, checkpoint)
     return spark.read.parquet(out)
 
 
-def dedup(stream: DataFrame, key: str = "review_id", time: str = "submission_time",
-          lateness: str = "30 days") -> DataFrame:
-    """Drop ids seen before within ``lateness``; state older than the watermark is released."""
-    timed = stream.withColumn("_event_time", F.col(time).cast("timestamp"))
-    return (timed.withWatermark("_event_time", lateness)
-            .dropDuplicatesWithinWatermark([key]).drop("_event_time"))
+def first_seen(batch: DataFrame, earlier: DataFrame | None, key: str, order: list) -> DataFrame:
+    """First row per key of the batch whose key no earlier batch holds. Of the earlier table only the keys are read."""
+    rows = keep_first(batch, [key], order)
+    return rows if earlier is None else rows.join(earlier.select(key), key, "left_anti")
+
+
+def dedup(stream: DataFrame, out: str, checkpoint: str, order: list, key: str = "review_id") -> DataFrame:
+    """Append rows with ids not seen before, of whatever date, and return the table of all of them.
+
+    No state is kept: a batch meets the ids already written. Within a batch the first row in ``order`` stays.
+    """
+    run_batches(stream, out, checkpoint, lambda batch, earlier: first_seen(batch, earlier, key, order))
+    return stream.sparkSession.read.parquet(out)
 
 
 def refresh_monthly(stream: DataFrame, store: str, checkpoint: str) -> None:
@@ -45,6 +85,8 @@ def refresh_monthly(stream: DataFrame, store: str, checkpoint: str) -> None:
     A batch writes its own folder and replaces it when retried, so no sum is counted twice.
     """
 
+    _numbered(stream.sparkSession, store, checkpoint)
+
     def save(batch: DataFrame, batch_id: int) -> None:
         value = label_score(F.col("pred"))
         (batch.groupBy(dates.month_start(F.col("submission_time")).alias("year_month")).agg(

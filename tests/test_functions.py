@@ -112,14 +112,6 @@ def test_calendar_labels(spark):
     assert tuple(got) == (dt.date(2024, 2, 29), "2024-02", 2024, dt.date(2024, 2, 1), dt.date(2024, 1, 1), "2024Q1")
 
 
-@pytest.mark.parametrize("when,side", [
-    ("2024-02-14 23:59:59", None), ("2024-02-15 00:00:00", "before"), ("2024-03-15 23:59:59", "before"),
-    ("2024-03-16 00:00:00", "after"), ("2024-04-14 23:59:59", "after"), ("2024-04-15 00:00:00", None)])
-def test_event_side_is_half_open(spark, when, side):
-    event = F.lit(dt.date(2024, 3, 16))
-    assert one(spark, lambda c: dates.event_side(c.cast("timestamp_ntz"), event), when) == side
-
-
 @pytest.mark.parametrize("stars,want", [
     (None, None), (1.0, "negative"), (2.0, "negative"), (2.9, "negative"), (3.0, "neutral"), (3.5, "neutral"),
     (4.0, "positive"), (5.0, "positive")])

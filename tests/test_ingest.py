@@ -187,10 +187,36 @@ def test_keep_first_uses_file_order(spark):
     assert sorted(r["v"] for r in got.collect()) == [0, 1, 2, 3, 4]
 
 
-def test_spread_deals_small_scans_only(spark):
+def test_first_append_wins_every_time(spark):
+    schema = schemas.struct(k="string", v="int")
+    for _ in range(5):
+        path = scratch_path(spark, "appends")
+        for batch, v in enumerate((10, 20, 30)):
+            sinks.append_csv(spark.createDataFrame([("a", v), (f"b{v}", v)], schema), path, batch)
+        df = csv_files.read_csv(spark, path, schema, file_order=True)
+        got = ranking.keep_first(df, ["k"], [F.col(c) for c in csv_files.INGEST_ORDER])
+        assert {r["k"]: r["v"] for r in got.collect()} == {"a": 10, "b10": 10, "b20": 20, "b30": 30}
+
+
+def test_dedup_keeps_unseen_ids_of_any_date(spark):
+    landing, out, check = (scratch_path(spark, n) for n in ("landing", "unique", "progress"))
+    schema = schemas.struct(review_id="string", submission_time="timestamp_ntz", v="int")
+    day = lambda y, m, d: dt.datetime(y, m, d)
+    drops = [[("a", day(2026, 4, 1), 1), ("b", day(2023, 1, 5), 1), ("b", day(2023, 1, 5), 2)],
+             [("c", day(2026, 4, 2), 1), ("d", day(2023, 2, 1), 1), ("e", day(2025, 1, 1), 1), ("a", day(2024, 1, 1), 9)], []]
+    for rows in drops:
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        table = incremental.dedup(incremental.file_stream(spark, landing, schema, "parquet"), out, check, [F.col("v")])
+    assert sorted((r["review_id"], r["v"]) for r in table.collect()) == [(x, 1) for x in "abcde"]
+    with pytest.raises(ValueError):
+        incremental.dedup(incremental.file_stream(spark, landing, schema, "parquet"), out, check + "-lost", [F.col("v")])
+
+
+def test_a_scan_is_dealt_out_only_when_asked(spark):
     path = scratch_path(spark, "small")
     spark.range(10).coalesce(1).write.parquet(path)
-    assert scan.read_table(spark, path, text_heavy=True).rdd.getNumPartitions() == 8
+    assert scan.read_table(spark, path, 8).rdd.getNumPartitions() == 8
     assert scan.read_table(spark, path).rdd.getNumPartitions() < 8
 
 
@@ -221,7 +247,7 @@ def test_stream_dedup_equals_batch(spark, rows):
     for ids in (["a", "b", "a"], ["b", "c"]):
         df = spark.createDataFrame([(i, t) for i in ids], "review_id string, submission_time timestamp_ntz")
         df.write.mode("append").parquet(landing)
-        incremental.run_available(incremental.dedup(incremental.file_stream(spark, landing, df.schema, "parquet")), out, check)
+        incremental.dedup(incremental.file_stream(spark, landing, df.schema, "parquet"), out, check, [F.col("submission_time")])
     assert rows(spark.read.parquet(out), "review_id") == [("a",), ("b",), ("c",)]
 
 

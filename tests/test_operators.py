@@ -108,12 +108,6 @@ def test_event_window_rows_can_meet_two_events(spark, rows):
                           (times[3], "b", "after")], key=repr)
 
 
-def test_topic_lookup_default(spark, rows):
-    df = spark.createDataFrame([(0,), (9,)], "dominant_topic int")
-    got = joins.topic_lookup(df, tables.topic_label_table(spark, {0: "A"}))
-    assert rows(got, "dominant_topic", "topic_name") == [(0, "A"), (9, "Topic 9")]
-
-
 # --- request plans ------------------------------------------------------------------------------
 
 def test_search_and_harvest_plans(spark, rows):
@@ -167,7 +161,6 @@ def test_crosstab_rows_sum_to_100(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "y"), (None, "x"), (1, None)], "a int, b string")
     ct = aggregates.crosstab_pct(df, "a", "b", ["x", "y", "z"]).orderBy("a").collect()
     assert [tuple(r) for r in ct] == [(1, pytest.approx(100 / 3), pytest.approx(200 / 3), 0.0), (2, 0.0, 100.0, 0.0)]
-    assert aggregates.present_values(df, "b", ["z", "y", "x"]) == ["y", "x"]
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -241,12 +234,13 @@ def test_event_impact_needs_thirty_on_both_sides(spark, before, kept):
     assert r.pct_negative_before == pytest.approx(2500 / 30) and r.pct_negative_after == pytest.approx(100 / 30)
 
 
-def test_topic_tables_fill_zeros_and_drop_unnamed(spark, rows):
+def test_topic_tables_fill_zeros_and_name_the_unnamed(spark, rows):
     jan, apr = dt.datetime(2024, 1, 5), dt.datetime(2024, 4, 5)
     df = spark.createDataFrame([(jan, 0), (jan, 0), (apr, 1), (apr, 9)], "submission_time timestamp_ntz, dominant_topic int")
-    got = rows(temporal.topic_month(df, {0: "A", 1: "B", 2: "never"}), "year_month", "topic_name", "n")
+    got = rows(temporal.topic_month(df, 10, {0: "A", 1: "B", 2: "never"}), "year_month", "topic_name", "n")
     assert got == sorted([(jan.date().replace(day=1), "A", 2), (jan.date().replace(day=1), "B", 0),
-                          (apr.date().replace(day=1), "A", 0), (apr.date().replace(day=1), "B", 1)], key=repr)
+                          (apr.date().replace(day=1), "A", 0), (apr.date().replace(day=1), "B", 1),
+                          (jan.date().replace(day=1), "Topic 9", 0), (apr.date().replace(day=1), "Topic 9", 1)], key=repr)
     pct = rows(temporal.topic_quarter_pct(df, 10), "quarter", "dominant_topic", "n", "pct")
     assert pct == sorted([(dt.date(2024, 1, 1), t, n, n * 50.0) for t, n in ((0, 2), (1, 0), (9, 0))]
                          + [(dt.date(2024, 4, 1), t, n, n * 50.0) for t, n in ((0, 0), (1, 1), (9, 1))], key=repr)
