@@ -4,10 +4,10 @@
     python -m gleaner harvest  --products products/ --reviews landed/ --out reviews/
     python -m gleaner clean    --reviews reviews/ --out clean/ [--csv]
     python -m gleaner validate --reviews clean/ --out validation/ [--loader package.module:loader]
-    python -m gleaner score    --reviews clean/ --out scored/     [--loader package.module:loader]
+    python -m gleaner score    --reviews clean/ --out scored/     --classifier validation/classifier | --loader ...
     python -m gleaner topics   --reviews scored/ --out topics/ [--brand-terms acme,acmes]
     python -m gleaner temporal --reviews scored/ --topics topics/topics_out --out temporal/ [--events events.csv]
-    python -m gleaner explorer --topics topics/ --out explorer/
+    python -m gleaner explorer --topics topics/ --out explorer/   [--labels "0=Name,1=Name"]
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import argparse
 import importlib
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner import constants as K, schemas
@@ -30,12 +31,12 @@ def _write_all(reports: dict[str, DataFrame], out: str) -> None:
         sinks.write_csv(table, f"{out}/{name}")
 
 
-def _scorer(args, cleaned: DataFrame) -> jobs.Scorer:
-    """The caller's model, or a classifier trained from the star labels when none is named."""
-    if args.loader:
-        module, name = args.loader.split(":")
-        return jobs.model_scorer(getattr(importlib.import_module(module), name), args.batch_size)
-    model = scoring.train_text_classifier(cleaned)
+def _loaded(args) -> jobs.Scorer:
+    module, name = args.loader.split(":")
+    return jobs.model_scorer(getattr(importlib.import_module(module), name), args.batch_size)
+
+
+def _trained(model) -> jobs.Scorer:
     return lambda df: scoring.classify(df, model)
 
 
@@ -67,15 +68,27 @@ def clean(spark: SparkSession, args) -> None:
 
 
 def validate(spark: SparkSession, args) -> None:
+    """Score a sample. Without a loader a classifier is trained on the star labels, saved, and validated on
+    reviews whose keys it was not trained on."""
     cleaned = spark.read.parquet(f"{args.reviews}/reviews")
-    out = jobs.validate(cleaned, _scorer(args, cleaned), per_star=args.per_star, store=f"{args.out}/sample")
+    if args.loader:
+        scorer = _loaded(args)
+    else:
+        known, cleaned = scoring.split_held_out(cleaned, F.col("review_id"), args.held_out)
+        model = scoring.train_text_classifier(known)
+        model.write().overwrite().save(f"{args.out}/classifier")
+        scorer = _trained(model)
+    out = jobs.validate(cleaned, scorer, per_star=args.per_star, store=f"{args.out}/sample")
     out.pop("sample")
     _write_all(out, args.out)
 
 
 def score(spark: SparkSession, args) -> None:
     cleaned = spark.read.parquet(f"{args.reviews}/reviews")
-    sinks.write_stage(jobs.score_full(cleaned, _scorer(args, cleaned)), f"{args.out}/reviews", ["year_month"])
+    if not (args.loader or args.classifier):
+        raise SystemExit("score needs --loader, or --classifier with the folder that validate saved")
+    scorer = _loaded(args) if args.loader else _trained(PipelineModel.load(args.classifier))
+    sinks.write_stage(jobs.score_full(cleaned, scorer), f"{args.out}/reviews", ["year_month"])
 
 
 def find_topics(spark: SparkSession, args) -> None:
@@ -102,7 +115,8 @@ def explorer(spark: SparkSession, args) -> None:
     from gleaner.operators.explorer import write_explorer
     fitted = topics.load_model(spark, f"{args.topics}/model")
     assigned = spark.read.parquet(f"{args.topics}/assigned")
-    write_explorer(jobs.explorer_tables(assigned, fitted, tables.topic_label_table(spark, _labels(args))), args.out)
+    titles = {t: _labels(args).get(t, f"Topic {t}") for t in range(fitted["k"])}
+    write_explorer(jobs.explorer_tables(assigned, fitted, tables.topic_label_table(spark, titles)), args.out)
 
 
 COMMANDS = {"discover": discover, "harvest": harvest, "clean": clean, "validate": validate, "score": score,
@@ -121,7 +135,7 @@ def _listed(text: str) -> list[str]:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="gleaner", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     parser.add_argument("command", choices=list(COMMANDS))
-    for name in ("search", "products", "reviews", "topics", "events", "loader"):
+    for name in ("search", "products", "reviews", "topics", "events", "loader", "classifier"):
         parser.add_argument(f"--{name}")
     for name in ("keywords", "brand-terms", "k", "labels"):
         parser.add_argument(f"--{name}", default="", help="comma-separated")
@@ -129,6 +143,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("--csv", action="store_true", help="reviews are CSV files")
     parser.add_argument("--batch-size", type=int, default=K.SCORE_BATCH)
     parser.add_argument("--per-star", type=int, default=K.SAMPLES_PER_STAR)
+    parser.add_argument("--held-out", type=float, default=0.2, help="share of the reviews that validation keeps from training")
     parser.add_argument("--threshold", type=float, default=K.CONFIDENCE_THRESHOLD)
     parser.add_argument("--min-df", type=int, default=K.VOCAB_MIN_DF)
     args = parser.parse_args(argv)

@@ -65,13 +65,15 @@ def score_with_model(df: DataFrame, text: str, loader: Callable[[], Predict],
 def lexicon_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, scale: float = 1.0) -> DataFrame:
     """Scores from a term table (term, w_negative, w_neutral, w_positive).
 
-    Logits are the mean weights over all words of the text. The sums per document combine
-    map-side; a lexicon too big to broadcast is met by a sort-merge join with skew splitting.
+    Logits are the mean weights over all words of the text. Words are counted per document before they
+    meet the lexicon, so no single token is sent to its term; a lexicon too big to broadcast is met
+    by a sort-merge join with skew splitting.
     """
-    words = df.select(key, F.explode_outer(raw_tokens(F.col(text))).alias("term"))
+    words = df.select(key, F.explode_outer(raw_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(
+        F.count("term").alias("_times"))
     weights = words.join(lexicon, "term", "left")
-    sums = weights.groupBy(key).agg(F.count("term").alias("_n"), *[
-        F.sum(F.coalesce(F.col(f"w_{c}"), F.lit(0))).alias(f"_{c}") for c in K.LABELS])
+    sums = weights.groupBy(key).agg(F.sum("_times").alias("_n"), *[
+        F.sum(F.coalesce(F.col(f"w_{c}"), F.lit(0)) * F.col("_times")).alias(f"_{c}") for c in K.LABELS])
     z = [F.coalesce(F.try_divide(F.col(f"_{c}") * scale, F.col("_n")), F.lit(0.0)) for c in K.LABELS]
     return add_class_columns(sums, *z).select(
         key, "pred_idx", "pred", "prob_negative", "prob_neutral", "prob_positive", "confidence", "score")
@@ -103,6 +105,13 @@ def train_text_classifier(labelled: DataFrame, text: str = "full_text", label: s
     return Pipeline(stages=stages).fit(rows)
 
 
+def split_held_out(df: DataFrame, key: Column, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Rows to train on and rows held out, by the hash of their key: the same on every run, and copies of a
+    key on the same side."""
+    out = F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000)
+    return df.filter(~out), df.filter(out)
+
+
 def classify(df: DataFrame, model, text: str = "full_text") -> DataFrame:
     """Class columns from a trained text classifier; classes it never saw get probability 0."""
     scored = model.transform(_with_tokens(df, text)).withColumn("_p", vector_to_array("_prob"))

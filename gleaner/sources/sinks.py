@@ -32,11 +32,15 @@ def append_csv(df: DataFrame, path: str, batch: int | None = None) -> None:
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a stage as Parquet and return it as read back, which also cuts the lineage."""
-    writer = df.write.mode("overwrite")
+    """Write a stage as Parquet and return it as read back, which also cuts the lineage.
+
+    With ``partition_by`` the rows of a partition value meet first, large values split by size, so that not
+    every task writes a file for every value.
+    """
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -5,8 +5,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.__main__ import main
+from gleaner.operators import scoring
 from gleaner.session import scratch_path
 
 WORDS = {"beef": "tough dry gristle fatty inedible chewy", "tea": "price packet smaller pricey shrink expensive"}
@@ -47,10 +49,13 @@ def test_all_stages(spark, base):
     assert csv("raw/plan").count() == 2  # one product of each keyword has no reviews yet
     run("clean", "--reviews", f"{base}/raw", "--out", f"{base}/clean")
     assert csv("clean/summary").first()["reviews"] == "160"
-    run("validate", "--reviews", f"{base}/clean", "--out", f"{base}/validation", "--per-star", "30")
+    run("validate", "--reviews", f"{base}/clean", "--out", f"{base}/validation", "--per-star", "8", "--held-out", "0.5")
     assert float(csv("validation/accuracy").first()["accuracy"]) == 1.0
-    assert {r["n"] for r in csv("validation/rating_counts").collect()} == {"30"}
-    run("score", "--reviews", f"{base}/clean", "--out", f"{base}/scored")
+    assert {r["n"] for r in csv("validation/rating_counts").collect()} == {"8"}
+    known, _ = scoring.split_held_out(spark.read.parquet(f"{base}/clean/reviews"), F.col("review_id"), 0.5)
+    sample = spark.read.parquet(f"{base}/validation/sample")
+    assert 0 < known.count() < 160 and sample.join(known, "review_id", "left_semi").count() == 0
+    run("score", "--reviews", f"{base}/clean", "--out", f"{base}/scored", "--classifier", f"{base}/validation/classifier")
     assert spark.read.parquet(f"{base}/scored/reviews").filter("pred = 'negative'").count() == 120
     run("topics", "--reviews", f"{base}/scored", "--out", f"{base}/topics", "--k", "2,3", "--threshold", "0.5", "--min-df", "2")
     assert spark.read.parquet(f"{base}/topics/topics_out").count() == 120

@@ -200,7 +200,7 @@ def test_first_append_wins_every_time(spark):
 
 def test_dedup_keeps_unseen_ids_of_any_date(spark):
     landing, out, check = (scratch_path(spark, n) for n in ("landing", "unique", "progress"))
-    schema = schemas.struct(review_id="string", submission_time="timestamp_ntz", v="int")
+    schema = spark.createDataFrame([], "review_id string, submission_time timestamp_ntz, v int").schema
     day = lambda y, m, d: dt.datetime(y, m, d)
     drops = [[("a", day(2026, 4, 1), 1), ("b", day(2023, 1, 5), 1), ("b", day(2023, 1, 5), 2)],
              [("c", day(2026, 4, 2), 1), ("d", day(2023, 2, 1), 1), ("e", day(2025, 1, 1), 1), ("a", day(2024, 1, 1), 9)], []]

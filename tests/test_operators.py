@@ -145,9 +145,11 @@ def test_quantile_and_histogram(spark, rows):
     assert q == pytest.approx(99.99)
     kept = aggregates.quantile_clip(df, "w", 0.5)
     assert kept.count() == 51  # the quantile itself stays
-    bins = rows(aggregates.histogram(df.filter("w <= 100"), "w", 50), "bin", "n")
+    bins = rows(aggregates.histogram(df.filter("w <= 100"), "w", 50).orderBy("bin"), "bin", "n")
     same = spark.createDataFrame([(7,), (7,), (None,)], "w int")
-    assert [tuple(r) for r in aggregates.histogram(same, "w").collect()] == [(25, 7.0, 7.02, 2)]
+    one = [tuple(r) for r in aggregates.histogram(same, "w").orderBy("bin").collect()]
+    assert [r for r in one if r[3]] == [(25, 7.0, 7.02, 2)] and [r[0] for r in one] == list(range(50))
+    assert aggregates.histogram(same.filter("w IS NULL"), "w").collect() == []
     assert bins[-1] == (9, 2) and dict(bins)[49] == 3 and sum(n for _, n in bins) == 101
 
 
