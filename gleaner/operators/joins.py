@@ -4,6 +4,8 @@ from file statistics or from the size AQE measured, and otherwise sort-merges wi
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner import constants as K
@@ -37,11 +39,36 @@ def event_days(events: DataFrame, days: int = K.EVENT_WINDOW_DAYS) -> DataFrame:
             .withColumn("side", F.when(F.col("_offset") < 0, "before").otherwise("after")))
 
 
+def in_any_window(reviews: DataFrame, events: DataFrame, days: int = K.EVENT_WINDOW_DAYS,
+                  time: str = "submission_time") -> DataFrame:
+    """Reviews whose day lies in the window of some event, as literal ranges on the time column (and on a
+    ``year_month`` column of strings), so that files outside are not read.
+
+    The event dates, a short list written by hand, are fetched; windows that overlap become one range.
+    """
+    dates = sorted({r[0] for r in events.select(F.to_date("event_date")).collect() if r[0] is not None})
+    ranges: list[list[dt.date]] = []
+    for date in dates:
+        low, high = date - dt.timedelta(days=days), date + dt.timedelta(days=days)
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1][1] = high
+        else:
+            ranges.append([low, high])
+    kinds, inside = dict(reviews.dtypes), F.lit(False)
+    for low, high in ranges:
+        edge = lambda d: F.lit(d.isoformat()).cast(kinds[time])
+        here = (F.col(time) >= edge(low)) & (F.col(time) < edge(high))
+        if kinds.get("year_month") == "string":
+            here = here & F.col("year_month").between(low.strftime("%Y-%m"), high.strftime("%Y-%m"))
+        inside = inside | here
+    return reviews.filter(inside)
+
+
 def event_window(reviews: DataFrame, events: DataFrame, days: int = K.EVENT_WINDOW_DAYS,
                  time: str = "submission_time") -> DataFrame:
     """Reviews in [date - days, date + days) of each event; one review can meet several events."""
     windows = event_days(events, days).drop("_offset")
-    return (reviews.withColumn("_day", F.to_date(time)).join(windows, "_day").drop("_day"))
+    return (in_any_window(reviews, events, days, time).withColumn("_day", F.to_date(time)).join(windows, "_day").drop("_day"))
 
 
 def above_scalar(df: DataFrame, column: str, scalar: DataFrame) -> DataFrame:

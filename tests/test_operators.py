@@ -253,3 +253,17 @@ def test_pivot_threshold(spark):
     df = spark.createDataFrame(cells, "category_keyword string, quarter int, mean_sentiment double")
     got = [tuple(r) for r in temporal.pivot_threshold(df).collect()]
     assert got == [("five", 5, -0.5), ("three", 3, 0.5)]  # 3 of 5 is exactly 0.6
+
+
+def test_event_windows_are_pushed_to_the_scan(spark, tmp_path):
+    days = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), "negative", float(i % 5)) for i in range(365)]
+    path = str(tmp_path / "scored")
+    spark.createDataFrame(days, "submission_time timestamp_ntz, pred string, rating double").write.parquet(path)
+    events = tables.event_table(spark, [("2024-03-16", "e", "", ""), ("2024-04-01", "f", "", ""), ("2024-10-01", "g", "", "")])
+    df = spark.read.parquet(path)
+    near = joins.in_any_window(df, events)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(submission_time,2024-02-15" in plan and "LessThan(submission_time,2024-05-01" in plan
+    assert near.count() == (dt.date(2024, 5, 1) - dt.date(2024, 2, 15)).days + 60
+    assert temporal.event_impact(df, events, min_reviews=30).count() == 3
+    assert joins.in_any_window(df, events.limit(0)).count() == 0
