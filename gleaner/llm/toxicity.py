@@ -127,8 +127,9 @@ def fit(labelled: DataFrame, rounds: int = 3, epochs: int = 2, decay: float = 1e
             found = (np.searchsorted(known.value, np.intersect1d(ngrams(t), known.value, assume_unique=True)) for t in b["text"])
             yield pd.DataFrame({"label": b["label"], "order": b["order"], "found": [f.astype(np.int32).tobytes() for f in found]})
 
-    sample = stage(rows.mapInPandas(featurise, "label int, order bigint, found binary"), "toxic-sample")
-    shards = sample.repartition(SHARDS, F.pmod("order", F.lit(SHARDS))).sortWithinPartitions("order", "found")
+    # Dealt out once and stored: every round reads the shards as they stand.
+    sample = rows.mapInPandas(featurise, "label int, order bigint, found binary")
+    shards = stage(sample.repartition(SHARDS, F.pmod("order", F.lit(SHARDS))).sortWithinPartitions("order", "found"), "toxic-sample")
     start = np.append(np.zeros(len(kept)), np.log(n_pos / n_neg))
     for _ in range(rounds):
         given = spark.sparkContext.broadcast(start)
