@@ -20,8 +20,13 @@ BREAKING = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select "
     "summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is never read as markup or shown as text.
-UNSHOWN = frozenset("script style noscript template textarea iframe title svg math object canvas video audio".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+UNSHOWN = frozenset("script style template textarea iframe title".split())
+#: Elements whose content is markup but not shown. One that its own end tag never closes hides only what comes before the
+#: next breaking tag or its parent's end.
+HIDDEN = frozenset("noscript svg object canvas video audio annotation annotation-xml".split())
+#: Elements in which any tag may close itself.
+FOREIGN = frozenset(("svg", "math"))
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that closes an open one of its kind when no end tag did.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -31,10 +36,20 @@ SCOPES = frozenset("ul ol dl table div article section main aside nav form heade
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
+_NOSCRIPT = re.compile(r"<(/?)noscript[^>]*(?:>|\Z)", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+class _Hidden:
+    """An open element of HIDDEN: its place in the stack, the blocks and text before it, and whether a breaking tag came since."""
+
+    __slots__ = ("depth", "n_out", "pieces", "linked", "broken")
+
+    def __init__(self, depth: int, n_out: int, pieces: list[str], linked: int) -> None:
+        self.depth, self.n_out, self.pieces, self.linked, self.broken = depth, n_out, pieces, linked, False
+
+
 class Block:
     """Text of a leaf, the tokens of its path (outermost first), and how many of its characters are links."""
 
@@ -61,15 +76,42 @@ def blocks(page: str | None) -> list[Block]:
         return out
     stack: list[tuple[str, list[str]]] = []
     pieces: list[str] = []
-    links, linked = 0, 0
+    hidden: list[_Hidden] = []
+    links, linked, foreign = 0, 0, 0
+
+    def put(said: list[str], linked_: int, depth: int) -> None:
+        text = " ".join("".join(said).split())
+        if text:
+            out.append(Block(text, [t for _, tokens in stack[:depth] for t in tokens], min(linked_, len(text))))
 
     def flush() -> None:
         nonlocal pieces, linked
-        text = " ".join("".join(pieces).split())
-        if text:
-            out.append(Block(text, [t for _, tokens in stack for t in tokens], min(linked, len(text))))
+        new = next((h for h in hidden if not h.broken), None)
+        if new is None:
+            put(pieces, linked, len(stack))
+        else:
+            # The text before the outermost is a block, the text in it is not; it is no part of later paths.
+            put(new.pieces, new.linked, new.depth)
+            for h in hidden:
+                h.broken = True
+                stack[h.depth] = (stack[h.depth][0], [])
         pieces, linked = [], 0
 
+    def cut(depth: int, own: bool) -> None:
+        """Drop the stack from ``depth`` on; ``own`` if the end tag of the element there does it."""
+        nonlocal pieces, links, linked, foreign
+        while hidden and hidden[-1].depth >= depth:
+            h = hidden.pop()
+            closed = own and h.depth == depth
+            if closed:
+                del out[h.n_out:]
+            if closed or not h.broken:
+                pieces, linked = h.pieces, h.linked
+        for tag_, _ in stack[depth:]:
+            links -= tag_ == "a"
+            foreign = max(0, foreign - (tag_ in FOREIGN))
+        del stack[depth:]
+
     def say(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -90,17 +132,22 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            if any(t == tag for t, _ in stack):
-                if tag in BREAKING:
-                    flush()
-                while True:
-                    gone = stack.pop()[0]
-                    links -= gone == "a"
-                    if gone == tag:
-                        break
-            elif tag in BREAKING:
+            depth = len(stack) - 1
+            while depth >= 0 and stack[depth][0] != tag:
+                depth -= 1
+            if tag in BREAKING:
                 flush()
+            if depth >= 0:
+                cut(depth, True)
+            continue
+        attributes = m[3] or m[6] or ""
+        if (foreign or tag in FOREIGN) and attributes.endswith("/"):
             continue
+        if tag == "noscript":
+            close = _NOSCRIPT.search(page, at)
+            if close and close[1]:
+                at = close.end()
+                continue
         if tag in UNSHOWN:
             close = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(page, at)
             at = close.end() if close else end
@@ -109,17 +156,21 @@ def blocks(page: str | None) -> list[Block]:
             pieces.append(" ")
         if tag in BREAKING:
             flush()
+            foreign = 0
             closing = CLOSES.get(tag)
             for k in range(len(stack) - 1, -1, -1) if closing else ():
                 if stack[k][0] in closing:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    cut(k, False)
                     break
-                if stack[k][0] in SCOPES:
+                if stack[k][0] in SCOPES or stack[k][0] in HIDDEN:
                     break
         if tag not in VOID:
-            stack.append((tag, path_tokens(tag, m[3] or m[6] or "")))
+            if tag in HIDDEN:
+                hidden.append(_Hidden(len(stack), len(out), pieces, linked))
+                pieces, linked = [], 0
+            stack.append((tag, path_tokens(tag, attributes)))
             links += tag == "a"
+            foreign += tag in FOREIGN
     flush()
     return out
 

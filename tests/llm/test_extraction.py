@@ -24,6 +24,26 @@ def test_blocks():
     assert blocks(None) == blocks("") == blocks("<p> </p><br>") == []
 
 
+@pytest.mark.parametrize("markup", [
+    "<svg class='i' viewBox='0 0 1 1'/>", "<svg/>", "<math/>", "<p>see <svg><path d='M0'/><title/><text>no</text></svg></p>", "<video src='a'>no", "<div><video src='a'>no</div>",
+    "<video src='a'><source src='b'>", "<canvas id='c'>no", "<object data='a'><param name='b'>no", "<audio src='a'>no", "<noscript>no", "<svg viewBox='0'>no",
+    "<video src='a'/>", "<noscript></div><p>no</noscript>", "<object><video src='a'><p>no</object>", "<svg><foreignObject><div>no</div></foreignObject></svg>"])
+@pytest.mark.parametrize("after", ["", "<svg><text>no</text></svg><video src='z'>no</video><canvas>no</canvas><object>no</object><audio>no</audio><noscript>no</noscript>"])
+def test_hidden_elements_take_nothing_with_them(markup, after):
+    for head in ("", "Head"):
+        got = [(b.text, b.path) for b in blocks(f"<body><div>{head}{markup}<article><h1>A</h1><p>one <b>two</b></p></article>{after}</div><p>end</p></body>")]
+        shown = [("Head", ["body", "div"])] if head else []
+        shown += [("see", ["body", "div", "p"])] if "see" in markup else []
+        assert got == shown + [("A", ["body", "div", "article", "h1"]), ("one two", ["body", "div", "article", "p"]), ("end", ["body", "p"])]
+
+
+def test_inline_elements_of_an_article():
+    text = lambda page: [b.text for b in blocks(page)]
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then <svg><a>no</a></svg>so</p><p>b</p>") == ["if x=2 then so", "b"]
+    assert text("<p>a <video>no<p>no</p></video>b</p><p>c") == ["a b", "c"]
+    assert text("a <span>b <video>no</span> c<p>d") == ["a b c", "d"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = extraction.Labeller()
