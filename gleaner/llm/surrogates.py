@@ -6,6 +6,10 @@ key prefixes kept, names of the same gender and script. A replacement depends on
 entity alone, so an entity has the same one everywhere, however a mention is spaced or cased, and
 words of a name are replaced one by one, so that a later mention by surname agrees with the full name.
 
+Cards, account numbers and phone numbers are runs of groups, and the groups behind or before one look alike. Where the
+longest run is none, every start and every ending at a group's border is tried, and the text is read again with the
+runs that hold; what does not hold takes no neighbour with it.
+
 Collision checks: the distinct entities propose replacements; one that is an entity of the data itself, or
 is proposed by several, goes to at most one of them, and the others propose anew until all are distinct.
 Only the distinct entities take part, partitioned by replacement; texts are not moved for it, and only
@@ -39,7 +43,8 @@ PATTERNS = {
     "secret": rf"(?<![A-Za-z])(?=[pPsStTaA])(?:{_SECRET})[^\s\"',;=:]{{5,}}[^\s\"',;=:.]",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\w.,+-])\d(?:[ -]?\d){12,18}(?![\w])",
+    # An address behind a number is no group of it.
+    "card": rf"(?<![\w.,+-])\d(?:(?:[ -](?!(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)))?\d){{12,18}}(?![\w])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     # A group that goes on with a point and a digit belongs to an address, not to the number before it.
     "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\w])"
@@ -50,6 +55,14 @@ PATTERNS = {
     "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(_MALE + _FEMALE)})\.?\s{_NAME}|(?:{'|'.join(_MALE_GIVEN + _FEMALE_GIVEN)})(?=\s{_NAME}))(?:\s{_NAME}){{0,2}}(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Kinds that are checked after they are found, and what may stand between their groups.
+CHECKED = {"iban": "[ ]", "card": "[ -]", "phone": "[ .-]"}
+#: Characters of an account number by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 "
+    "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 "
+    "PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+_DATE = r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])(?!\d)"
 #: Every entity but a name holds one of these characters.
 _MARK = "[0-9@=:]"
 _MARKED = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "name")
@@ -150,6 +163,65 @@ def _proposal(key: str) -> Column:
         kind == "ssn", _same_class(c, g)).otherwise(word)
 
 
+def _holds(kind: str, mention: Column) -> Column:
+    """Whether a run that looks like a card, account or phone number is one."""
+    digits = F.regexp_replace(mention, r"[^0-9]", "")
+    if kind == "card":
+        return _luhn(digits) % 10 == 0
+    if kind == "phone":
+        return F.length(digits).between(7, 15)
+    bare = F.regexp_replace(mention, r"[ -]", "")
+    return _mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
+
+
+def _iban_fits(mention: Column) -> Column:
+    """Whether a run is as long as account numbers of its country are; null if that is not known."""
+    known = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    return F.length(F.regexp_replace(mention, " ", "")) == F.try_element_at(known, F.substring(mention, 1, 2))
+
+
+def _doubtful(mention: Column) -> Column:
+    """Whether a mention is not what it looks like as a whole, so that a part of it may be."""
+    out = F.when(mention.rlike(f"^(?:{PATTERNS['iban']})$"), ~_holds("iban", mention) | ~F.coalesce(_iban_fits(mention), F.lit(True)))
+    for kind in ("card", "phone"):
+        out = out.when(mention.rlike(f"^(?:{PATTERNS[kind]})$"), ~_holds(kind, mention))
+    return out.otherwise(F.lit(False))
+
+
+def _ending(kind: str, run: Column) -> Column:
+    """The part from the start of a run to a group's border that holds, or null: the longest, but an account number
+    of its country's length, and a phone number without a date behind it, come first."""
+    heads = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, F.lit(1), i))
+    behind = lambda p: F.substring(run, F.length(p) + 1, F.length(run))
+    good = F.filter(heads, lambda p: behind(p).rlike(f"^(?:{CHECKED[kind]}|$)") & p.rlike(f"^(?:{PATTERNS[kind]})$") & _holds(kind, p))
+    first = {"iban": lambda p: F.coalesce(_iban_fits(p), F.lit(False)), "phone": lambda p: ~p.rlike(f" {_DATE}") & ~p.rlike(r" (?:19|20)\d\d$")
+             | ~run.rlike(f" {_DATE}"), "card": lambda p: F.lit(True)}[kind]
+    return F.array_max(F.transform(good, lambda p: F.struct(first(p).alias("first"), F.length(p).alias("n"), p.alias("run"))))["run"]
+
+
+def _good_runs(text: Column) -> Column:
+    """Distinct cards, account and phone numbers of a text from any start, longest first."""
+    def endings(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?=({PATTERNS[kind]}))"), F.lit(1)), lambda r: _ending(kind, r))
+
+    runs = [endings(kind) for kind in CHECKED]
+    each = F.array_distinct(F.filter(F.concat(*runs), lambda r: r.isNotNull()))
+    return F.transform(F.sort_array(F.transform(each, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))), asc=False), lambda x: x["run"])
+
+
+def _own_pattern(good: Column) -> Column:
+    """PATTERN of a text in which only these runs are cards, account and phone numbers; PATTERN itself for null."""
+    before = {"iban": "(?<![A-Za-z0-9])", "card": r"(?<![\w.,+-])", "phone": r"(?<![\w+])"}
+    starts = {"iban": "^[A-Z]", "card": r"^\d(?:[ -]?\d){12}", "phone": r"^(?!\d(?:[ -]?\d){12})[+(\d]"}
+
+    def quoted(kind: str) -> Column:
+        mine = F.transform(F.filter(good, lambda r: r.rlike(starts[kind])), lambda r: F.concat(F.lit(r"\Q"), r, F.lit(r"\E")))
+        return F.when(F.size(mine) > 0, F.concat(F.lit(f"(?:{before[kind]}(?:"), F.array_join(mine, "|"), F.lit(r")(?![\w]))")))
+
+    pieces = [quoted(kind) if kind in CHECKED else F.lit(f"(?:{p})") for kind, p in PATTERNS.items()]
+    return F.when(good.isNull(), F.lit(PATTERN)).otherwise(F.concat_ws("|", *pieces))
+
+
 def _parts(mention: Column) -> Column:
     """Entities of a mention: array of (kind, canonical); empty if it is none after all."""
     whole = lambda p: mention.rlike(f"^(?:{p})$")
@@ -169,10 +241,10 @@ def _parts(mention: Column) -> Column:
         F.lower(w).alias("canonical")))
     return F.when(whole(PATTERNS["email"]), entity("email", F.lower(mention))).when(
         whole(PATTERNS["key"]), entity("key", mention)).when(
-        whole(PATTERNS["iban"]), F.when(_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1, entity("iban", bare)).otherwise(none)).when(
-        whole(PATTERNS["card"]), F.when(_luhn(digits) % 10 == 0, entity("card", digits)).otherwise(none)).when(
+        whole(PATTERNS["iban"]), F.when(_holds("iban", mention), entity("iban", bare)).otherwise(none)).when(
+        whole(PATTERNS["card"]), F.when(_holds("card", mention), entity("card", digits)).otherwise(none)).when(
         whole(PATTERNS["ip"]), entity("ip", mention)).when(
-        whole(PATTERNS["phone"]), F.when(F.length(digits).between(7, 15), entity("phone", F.concat(
+        whole(PATTERNS["phone"]), F.when(_holds("phone", mention), entity("phone", F.concat(
             F.when(mention.startswith("+"), F.lit("+")).otherwise(F.lit("")), digits))).otherwise(none)).when(
         whole(PATTERNS["ssn"]), entity("ssn", digits)).when(
         whole(PATTERNS["secret"]), entity("secret", F.regexp_replace(mention, f"^(?:{_SECRET})", ""))).when(
@@ -237,8 +309,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     text_ = F.col("text")  # the cheap test comes first; it leaves nothing out
     hit = F.coalesce((text_.rlike(_MARK) & text_.rlike(_MARKED)) | text_.rlike(PATTERNS["name"]), F.lit(False))
     # Equal texts have equal entities: each is looked at once.
-    listed = stage(docs.filter(hit).select(F.xxhash64("text").alias("key"), F.length("text").alias("size"), F.regexp_extract_all(
-        "text", F.lit(PATTERN), F.lit(0)).alias("found")).groupBy("key", "size").agg(F.any_value("found").alias("found")), "found")
+    read = docs.filter(hit).select("text", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"))
+    read = read.select("text", "found", F.when(F.exists("found", _doubtful), _good_runs(text_)).alias("good"))
+    again = F.when(F.col("good").isNotNull(), F.regexp_extract_all("text", _own_pattern(F.col("good")), F.lit(0))).otherwise(F.col("found"))
+    listed = stage(read.select(F.xxhash64("text").alias("key"), F.length("text").alias("size"), F.struct("good", again.alias("found")).alias("read")).groupBy(
+        "key", "size").agg(F.any_value("read").alias("read")).select("key", "size", "read.good", "read.found"), "found")
     spots = listed.select("key", "size", F.posexplode("found").alias("pos", "mention"))
     table = stage(replacements(spots.select("mention").distinct(), key), "replacements")
     kind = F.substring_index("kind", "/", 1)
@@ -246,8 +321,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("replacement", "mention").alias("new")))).alias("news"),
         F.count("replacement").alias("n"), F.array_sort(F.collect_set(
             F.when(kind.startswith("given") | (kind == "surname"), F.lit("name")).otherwise(kind))).alias("kinds"))
-    lists = lists.select(*(F.col(c).alias(f"{spare}{c}") for c in ("key", "size", "news", "n", "kinds")))
-    pieces = F.split("text", PATTERN, -1)
+    # A text read again may hold no entity.
+    lists = listed.select("key", "size", "good").join(lists, ["key", "size"], "left").select(
+        "key", "size", "good", F.coalesce("news", F.array().cast("array<struct<pos:int,new:string>>")).alias("news"),
+        F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    lists = lists.select(*(F.col(c).alias(f"{spare}{c}") for c in ("key", "size", "good", "news", "n", "kinds")))
+    good = F.col(f"{spare}good")
+    pieces = F.when(good.isNull(), F.split("text", PATTERN, -1)).otherwise(F.split("text", _own_pattern(good), -1))
     news = F.concat(F.transform(f"{spare}news", lambda x: x["new"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(pieces, news, lambda a, b: F.concat(a, b)), "")
     out = lambda df, text, n, kinds: df.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names),

@@ -55,6 +55,25 @@ def test_kinds_formats_and_coreference(make):
     assert got[0]["kinds"] == ["email"] and got[4]["kinds"] == ["iban", "ssn"] and got[5]["kinds"] == ["name"]
 
 
+def test_groups_beside_a_number_do_not_hide_it(make):
+    card, cases = "4111 1111 1111 1111", [
+        ("Card 4111 1111 1111 1111 12/25 ok", "4111 1111 1111 1111", ["card"]), ("4111111111111111 123 x", "4111111111111111", ["card"]),
+        ("4111111111111111 190.137.223.204", "4111111111111111", ["card", "ip"]), ("IBAN BE68 5390 0754 7034 BIC here", "BE68 5390 0754 7034", ["iban"]),
+        ("+49 30 1234567 2024-05-01", "+49 30 1234567", ["phone"]), ("No 1235 4111 1111 1111 1111.", "4111 1111 1111 1111", ["card"]),
+        ("AB12 3456 7890 4111 1111 1111 1111", "4111 1111 1111 1111", ["card"]), ("not 4111 1111 1111 1112 one", None, []),
+        ("DE89370400440532013000 190.137.223.204", "DE89370400440532013000", ["iban", "ip"]),
+        ("4111 1111 1111 1111 123 and 4111111111111111 and a.b@example.org", "4111 1111 1111 1111", ["card", "email"])]
+    got = run(make, [t for t, _, _ in cases])
+    for i, (text, entity, kinds) in enumerate(cases):
+        assert got[i]["kinds"] == kinds and (not entity or entity not in got[i]["text"]), text
+        assert got[i]["n_replaced"] == (3 if i == 9 else len(kinds)) and "190.137.223.204" not in got[i]["text"], text
+    assert re.fullmatch(r"Card 4\d{3} \d{4} \d{4} \d{4} 12/25 ok", got[0]["text"]) and got[4]["text"].endswith(" 2024-05-01") and got[7]["text"] == cases[7][0]
+    assert got[3]["text"].endswith(" BIC here") and got[1]["text"].endswith(" 123 x") and got[5]["text"].startswith("No 1235 4")
+    assert got[9]["text"].count(got[0]["text"][5:24]) == 1 and card not in got[9]["text"]
+    # A number beside others is the same entity as alone.
+    assert got[0]["text"][5:24].replace(" ", "") == got[1]["text"][:16] == got[2]["text"][:16]
+
+
 def test_distinct_entities_stay_distinct(make):
     """Many addresses in a small space: collisions are met and settled."""
     texts = [f"user {a}@b.cc" for a in "abcdefghijklmnopqrstuvwxyz"] * 3
