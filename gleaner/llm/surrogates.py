@@ -16,7 +16,7 @@ Only the distinct entities take part, partitioned by replacement; texts are not
 texts with entities are joined with their replacements.
 
 Defined results: null and empty texts stay as they are, with no entity; texts without an entity are returned
-unchanged; numbers whose checksum fails are no cards or account numbers and stay; rows that repeat get
+unchanged; a secret without a letter or digit (a masked one) is none and stays; numbers whose checksum fails are no cards or account numbers and stay; rows that repeat get
 the same text each; an empty table gives an empty result; further columns are carried along.
 """
 
@@ -66,12 +66,18 @@ _DATE = r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])(?!\d)"
 #: Every entity but a name holds one of these characters.
 _MARK = "[0-9@=:]"
 _MARKED = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "name")
-#: Proposals of an entity before the check gives up; the space grows with each for names.
+#: Proposals of an entity before the check gives up; the space grows with each for names, addresses and secrets.
 MAX_ROUNDS = 100
 
 # Syllables of made-up names, and letters of other scripts that stand for Latin ones.
 _ONSETS, _VOWELS = "b d f g k l m n p r s t v z".split(), "a e i o u".split()
 _ENDS = {"given_m": ["n", "r", "s", "l", "t"], "given_f": ["a", "na", "la", "ra", "ta"], "surname": ["mer", "ron", "tel", "lin", "dor"]}
+#: Letters that stand for letters of a script, small and capital if it has both; other letters become Latin ones.
+_LETTERS = {
+    "IsCyrillic": ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"), "IsGreek": ("αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")} | {
+    f"Is{script}": ("".join(map(chr, range(first, last + 1))),) * 2 for script, first, last in (
+        ("Han", 0x4E00, 0x4EFF), ("Hangul", 0xAC00, 0xACFF), ("Hiragana", 0x3042, 0x3093), ("Katakana", 0x30A2, 0x30F3), ("Arabic", 0x0628, 0x063A),
+        ("Hebrew", 0x05D0, 0x05EA), ("Devanagari", 0x0915, 0x0939), ("Thai", 0x0E01, 0x0E2E))}
 _LATIN, _CYRILLIC, _GREEK = "abdefgiklmnoprstuvz", "абдефгиклмнопрстувз", "αβδεφγικλμνοπρστυβζ"
 
 
@@ -93,12 +99,21 @@ def _pick(values: list[str] | str, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
 
 
-def _same_class(text: Column, digest: Column, shift: int = 0) -> Column:
-    """Letters for letters of the same case, digits for digits; other characters stay."""
+def _same_class(text: Column, digest: Column, shift: int = 0, scripts: bool = False) -> Column:
+    """Letters for letters of the same case, digits for digits; other characters stay. With ``scripts``, letters and
+    digits that are not ASCII are replaced too, letters by those of their script."""
     def one(c: Column, i: Column) -> Column:
         b = _byte(digest, i + shift)
-        return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), F.char(97 + b % 26)).when(
-            c.rlike("[A-Z]"), F.char(65 + b % 26)).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), F.char(97 + b % 26)).when(
+            c.rlike("[A-Z]"), F.char(65 + b % 26))
+        if not scripts:
+            return out.otherwise(c)
+        letter = lambda letters: F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1))
+        new = F.when(c.rlike(r"\p{N}"), (b % 10).cast("string"))
+        for script, (small, capital) in _LETTERS.items():
+            new = new.when(c.rlike(rf"\p{{{script}}}"), F.when(c.rlike(r"\p{Lu}"), letter(capital)).otherwise(letter(small)))
+        new = new.when(c.rlike(r"\p{Lu}"), F.char(65 + b % 26)).otherwise(F.char(97 + b % 26))
+        return out.when(c.rlike(r"[\p{L}\p{N}]"), new).otherwise(c)
     return F.array_join(F.transform(_chars(text), one), "")
 
 
@@ -148,14 +163,16 @@ def _proposal(key: str) -> Column:
     first = (2 + _byte(g, F.lit(62)) % 8).cast("string")
     octet = lambda i: ((_byte(g, F.lit(2 * i)) * 256 + _byte(g, F.lit(2 * i + 1))) % 254 + 1).cast("string")
     local = F.substring_index(c, "@", 1)
-    email = F.concat(_same_class(local, g), F.lit("@"), _same_class(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), g, 31), top)
+    # Later proposals of addresses and secrets are longer, by letters that a hexadecimal value may hold.
+    more = _hexadecimal(F.repeat(F.lit("x"), F.floor(turn / 4).cast("int")), F.sha2(g, 256))
+    email = F.concat(_same_class(local, g), more, F.lit("@"), _same_class(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), g, 31), top)
     script = F.substring_index(kind, "/", -1)
     word = F.lit(None).cast("string")
     for k in _ENDS:
         word = F.when(kind.startswith(k), _made_up(k, g, turn)).otherwise(word)
     word = F.when(script == "cyrillic", F.translate(word, _LATIN, _CYRILLIC)).when(script == "greek", F.translate(word, _LATIN, _GREEK)).otherwise(word)
     return F.when(kind == "email", email).when(kind == "key", F.concat(F.substring(c, 1, 4), _same_class(tail(4), g))).when(
-        kind == "secret", F.when(c.rlike("^[0-9a-f]+$"), _hexadecimal(c, g)).otherwise(_same_class(c, g))).when(
+        kind == "secret", F.concat(F.when(c.rlike("^[0-9a-f]+$"), _hexadecimal(c, g)).otherwise(_same_class(c, g, scripts=True)), more)).when(
         kind == "iban", F.concat(country, check, bban)).when(
         kind == "card", F.concat(card, F.pmod(10 - F.pmod(_luhn(F.concat(card, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))).when(
         kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))).when(
@@ -247,7 +264,8 @@ def _parts(mention: Column) -> Column:
         whole(PATTERNS["phone"]), F.when(_holds("phone", mention), entity("phone", F.concat(
             F.when(mention.startswith("+"), F.lit("+")).otherwise(F.lit("")), digits))).otherwise(none)).when(
         whole(PATTERNS["ssn"]), entity("ssn", digits)).when(
-        whole(PATTERNS["secret"]), entity("secret", F.regexp_replace(mention, f"^(?:{_SECRET})", ""))).when(
+        whole(PATTERNS["secret"]), F.when(
+            F.regexp_replace(mention, f"^(?:{_SECRET})", "").rlike(r"[\p{L}\p{N}]"), entity("secret", F.regexp_replace(mention, f"^(?:{_SECRET})", ""))).otherwise(none)).when(
         whole(PATTERNS["name"]), name).otherwise(none)
 
 
@@ -296,8 +314,11 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     named = F.array_join(F.when(titled, F.concat(F.slice(words, 1, 1), said)).otherwise(said), " ")
     label = F.regexp_extract("mention", f"^(?:{_SECRET})", 0)
     value = F.substring("mention", F.length(label) + 1, F.length("mention"))
-    text = F.when(first["kind"].contains("/"), named).when(
-        first["kind"] == "secret", F.concat(label, _refit(value, first["surrogate"]))).when(first["kind"] == "ip", first["surrogate"]).otherwise(
+    tail = lambda old, new: F.concat(_refit(old, new), F.substring(new, F.length(old) + 1, F.length(new)))
+    part = lambda c, i: F.substring_index(c, "@", i)
+    address = F.concat(tail(part(F.col("mention"), 1), part(first["surrogate"], 1)), F.lit("@"), _refit(part(F.col("mention"), -1), part(first["surrogate"], -1)))
+    text = F.when(first["kind"].contains("/"), named).when(first["kind"] == "email", address).when(
+        first["kind"] == "secret", F.concat(label, tail(value, first["surrogate"]))).when(first["kind"] == "ip", first["surrogate"]).otherwise(
         _refit(F.col("mention"), first["surrogate"]))
     return found.select("mention", text.alias("replacement"), first["kind"].alias("kind"))
 

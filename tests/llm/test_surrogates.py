@@ -81,6 +81,25 @@ def test_distinct_entities_stay_distinct(make):
     assert len(set(out)) == 26 and not any(f"{a}@b.cc" in t for a in "abcdefghijklmnopqrstuvwxyz" for t in out)
 
 
+def test_secrets_of_any_script_and_masked_ones(make):
+    texts = ["password: ********", "Secret: государственная", "token: 在设置页面中获取", "password: Größe-ΩμέγαΑ٣", "pwd=ひらがなカタカナ한국어שלוםمرحبا"]
+    got = run(make, texts)
+    assert got[0]["text"] == texts[0] and got[0]["n_replaced"] == 0 and got[0]["kinds"] == []
+    for i in (1, 2, 3, 4):
+        label, value = re.fullmatch(r"(\w+(?:: |=))(.+)", texts[i]).groups()
+        new = got[i]["text"].removeprefix(label)
+        assert got[i]["kinds"] == ["secret"] and new != value and len(new) == len(value) and got[i]["text"].startswith(label)
+        assert sum(a == b for a, b in zip(new, value)) <= 3
+    assert re.fullmatch("Secret: [а-я]{15}", got[1]["text"]) and re.fullmatch("token: [\u4e00-\u4eff]{8}", got[2]["text"])
+
+
+def test_small_spaces_grow(make):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    real = {f"{a}@{b}.cc" for a in letters for b in letters[:20]}
+    out = [r["text"] for r in run(make, [f"to {r}" for r in sorted(real)]).values()]
+    assert len(set(out)) == len(real) and all(re.fullmatch(r"to [a-z][a-z0-9]*@[a-z]\.cc", t) for t in out) and not real & {t[3:] for t in out}
+
+
 def test_collisions_settle_against_brute_force(spark):
     names = spark.createDataFrame([("surname/latin", f"name{i}") for i in range(3000)], "kind string, canonical string")
     rows = surrogates.assign(names, KEY).collect()
