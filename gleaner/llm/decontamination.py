@@ -151,8 +151,9 @@ def _phrases_of(segment: Segment, items: list[tuple[str, np.ndarray]], window: i
                                                 "length": (at[last] + size - at[new]).astype(np.int32)})
 
 
-def _near_of(segment: Segment, items: list[tuple[str, np.ndarray]], span: int, share: float) -> Iterator[pd.DataFrame]:
+def _near_of(segment: Segment, items: list[tuple[str, np.ndarray]], given: int | None, share: float) -> Iterator[pd.DataFrame]:
     for item_id, words in items:
+        span = max(40, 2 * len(words)) if given is None else given
         words = np.unique(words)
         need = int(np.ceil(share * len(words)))
         terms, counts = segment.find(words)
@@ -215,8 +216,8 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10) -> Data
     return _search(index, items, PHRASES, lambda segment, block: _phrases_of(segment, block, window))
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, span: int = 40, share: float = 0.8) -> DataFrame:
-    """Stretches of at most ``span`` document words that hold at least ``share`` of an item's distinct
+def proximity_matches(index: DataFrame, items: DataFrame, span: int | None = None, share: float = 0.8) -> DataFrame:
+    """Stretches of at most ``span`` document words (twice the item's words, 40 at least, if not given) that hold at least ``share`` of an item's distinct
     words in any order: of each run of neighbouring stretches the first that holds the most."""
     return _search(index, items, PROXIMITY, lambda segment, block: _near_of(segment, block, span, share))
 

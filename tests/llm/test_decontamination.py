@@ -72,6 +72,15 @@ def test_phrase_positions_and_proximity(make):
     assert near[1][1:] == (12, 12) and near[2] == (0, 9, 12) and 3 not in near
 
 
+def test_proximity_span_grows_with_the_item(make):
+    long = [f"w{i}" for i in range(70)]
+    index = d.build_index(make([doc(1, "x y " + " ".join(reversed(long)) + " z"), doc(2, " q q ".join(long))], DOCS))
+    items = make([(5, " ".join(long))], "item_id long, text string")
+    # The words of document 2 lie three times as far apart: 47 of 70 in a stretch of 140.
+    assert [(r["doc_id"], r["n_found"], r["n_distinct"]) for r in d.proximity_matches(index, items).collect()] == [(1, 70, 70)]
+    assert d.proximity_matches(index, items, span=40).collect() == []
+
+
 def test_pack_round_trip():
     import numpy as np
     v = np.array([0, 5, 5, 2, 2**31 - 1], dtype=np.int32)
