@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.llm.common import held_out, learnable, stage, sum_partials
 from gleaner.llm.language import letters_and_spaces
@@ -60,12 +60,12 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.unique(all_ngrams(text))
 
 
-def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, z: float = 2.0) -> np.ndarray:
-    """Logarithm of the ratio of the two rates, nearer to zero by ``z`` standard errors."""
+def log_ratio(n_pos: int, n_neg: int, z: float = 2.0) -> Column:
+    """Logarithm of the ratio of the rates ``pos`` and ``neg`` of an n-gram, nearer to zero by ``z`` standard errors."""
     share = n_pos / (n_pos + n_neg)
-    p, q = pos + share, neg + 1 - share  # one more row, shared out as the classes are: unseen n-grams have ratio 0
-    ratio = np.log(p / n_pos) - np.log(q / n_neg)
-    return (np.sign(ratio) * np.maximum(0, np.abs(ratio) - z * np.sqrt(1 / p + 1 / q))).astype(np.float32)
+    p, q = F.col("pos") + share, F.col("neg") + (1 - share)  # one more row, shared out as the classes are: unseen n-grams have ratio 0
+    ratio = F.log(p / n_pos) - F.log(q / n_neg)
+    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - z * F.sqrt(1 / p + 1 / q))
 
 
 class Model:
@@ -109,22 +109,22 @@ def fit(labelled: DataFrame, rounds: int = 3, epochs: int = 2, decay: float = 1e
         some = np.flatnonzero(sums.any(axis=0))
         yield pd.DataFrame({"feature": some.astype(np.int32), "neg": sums[0][some], "pos": sums[1][some]})
 
-    # One row per n-gram hash reaches the driver, and one (the last) with the numbers of rows.
-    counts = rows.mapInPandas(count, "feature int, neg int, pos int").groupBy("feature").agg(
-        F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas()
-    totals = counts[counts["feature"] == N_FEATURES]
-    n_neg, n_pos = int(totals["neg"].sum()), int(totals["pos"].sum())
+    # One row per n-gram hash, and one (the last) with the numbers of rows. Only n-grams with a ratio reach the driver.
+    counts = stage(rows.mapInPandas(count, "feature int, neg int, pos int").groupBy("feature").agg(
+        F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "toxic-counts")
+    totals = counts.filter(F.col("feature") == N_FEATURES).first()
+    n_neg, n_pos = (totals["neg"], totals["pos"]) if totals else (0, 0)
     if not n_pos or not n_neg:
         return Model(np.zeros(N_FEATURES, np.float32), 0.0 if n_pos == n_neg else 40.0 if n_pos else -40.0)
-    counts = counts[counts["feature"] < N_FEATURES].sort_values("feature")
-    ratios = log_ratios(counts["pos"].to_numpy(), counts["neg"].to_numpy(), n_pos, n_neg)
-    kept, ratios = counts["feature"].to_numpy()[ratios != 0], ratios[ratios != 0]
+    telling = counts.filter(F.col("feature") < N_FEATURES).select("feature", log_ratio(n_pos, n_neg).alias("ratio")).filter(
+        "ratio <> 0").toPandas().sort_values("feature")
+    kept, ratios = telling["feature"].to_numpy(), telling["ratio"].to_numpy(np.float32)
     spark = labelled.sparkSession
-    known = spark.sparkContext.broadcast(kept)
+    known = spark.sparkContext.broadcast((kept, ratios))
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = (np.searchsorted(known.value, np.intersect1d(ngrams(t), known.value, assume_unique=True)) for t in b["text"])
+            found = (np.searchsorted(known.value[0], np.intersect1d(ngrams(t), known.value[0], assume_unique=True)) for t in b["text"])
             yield pd.DataFrame({"label": b["label"], "order": b["order"], "found": [f.astype(np.int32).tobytes() for f in found]})
 
     # Dealt out once and stored: every round reads the shards as they stand.
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, rounds: int = 3, epochs: int = 2, decay: float = 1e
         def train(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
             mine = [(np.frombuffer(f, np.int32), label) for b in batches for f, label in zip(b["found"], b["label"])]
             if mine:
-                w = _trained(mine, ratios, given.value, epochs, decay)
+                w = _trained(mine, known.value[1], given.value, epochs, decay)
                 yield pd.DataFrame({"payload": [np.append(w, 1.0).tobytes()]})
 
         total = sum_partials(shards.select("label", "found").mapInPandas(train, "payload binary"), "float64")
@@ -147,75 +147,6 @@ def fit(labelled: DataFrame, rounds: int = 3, epochs: int = 2, decay: float = 1e
     return Model(weights, float(start[-1]))
 
 
-def score(self, text: str | None) -> float:
-        found = all_ngrams(text)
-        found = np.unique(found[self.weights[found] != 0])
-        return float(1 / (1 + np.exp(-np.clip(self.weights[found].sum(dtype=np.float64) + self.intercept, -40, 40))))
-
-
-def _trained(rows: list[tuple[np.ndarray, int]], ratios: np.ndarray, start: np.ndarray, epochs: int, decay: float) -> np.ndarray:
-    """Adaptive-step logistic regression over one shard; the last number is the intercept."""
-    w, seen = start.copy(), np.full(len(start), 1.0)
-    for _ in range(epochs):
-        for found, label in rows:
-            x = ratios[found]
-            gap = 1 / (1 + np.exp(-np.clip(w[found] @ x + w[-1], -40, 40))) - label
-            g = gap * x + decay * w[found]
-            seen[found] += g * g
-            w[found] -= 0.5 * g / np.sqrt(seen[found])
-            seen[-1] += gap * gap
-            w[-1] -= 0.5 * gap / np.sqrt(seen[-1])
-    return w
-
-
-def fit(labelled: DataFrame, rounds: int = 3, epochs: int = 2, decay: float = 1e-4) -> Model:
-    """Model of ``text`` and ``label`` (0 or 1; nulls are left out); ``doc_id`` spreads the rows."""
-    rows = labelled.filter("label IN (0, 1)").select(
-        F.col("label").cast("int").alias("label"), "text", F.xxhash64("doc_id", "text").alias("order"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, N_FEATURES + 1), dtype=np.int32)
-        for b in batches:
-            for text, label in zip(b["text"], b["label"]):
-                sums[label][ngrams(text)] += 1
-                sums[label][-1] += 1
-        yield pd.DataFrame({"payload": [sums.tobytes()]})
-
-    sums = sum_partials(rows.mapInPandas(count, "payload binary"), "int32")
-    sums = np.zeros((2, N_FEATURES + 1), np.int64) if sums is None else sums.reshape(2, -1).astype(np.int64)
-    n_neg, n_pos = int(sums[0][-1]), int(sums[1][-1])
-    if not n_pos or not n_neg:
-        return Model(np.zeros(N_FEATURES, np.float32), 0.0 if n_pos == n_neg else 40.0 if n_pos else -40.0)
-    ratios = log_ratios(sums[1][:-1], sums[0][:-1], n_pos, n_neg)
-    spark = labelled.sparkSession
-    sent = spark.sparkContext.broadcast(ratios)
-    keep = min(1.0, SAMPLE_ROWS / (n_pos + n_neg))
-
-    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [ngrams(t) for t in b["text"]]
-            yield pd.DataFrame({"label": b["label"], "order": b["order"],
-                                "found": [f[sent.value[f] != 0].tobytes() for f in found]})
-
-    sample = rows.filter(F.pmod(F.col("order"), F.lit(1 << 30)) < int(keep * (1 << 30))) if keep < 1 else rows
-    sample = stage(sample.mapInPandas(featurise, "label int, order bigint, found binary"), "toxic-sample")
-    shards = sample.repartition(SHARDS, F.pmod("order", F.lit(SHARDS))).sortWithinPartitions("order", "found")
-    start = np.zeros(N_FEATURES + 1)
-    start[-1] = np.log(n_pos / n_neg)
-    for _ in range(rounds):
-        given = spark.sparkContext.broadcast(start)
-
-        def train(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            mine = [(np.frombuffer(f, np.int32), label) for b in batches for f, label in zip(b["found"], b["label"])]
-            if mine:
-                w = _trained(mine, sent.value, given.value, epochs, decay)
-                yield pd.DataFrame({"payload": [np.append(w, 1.0).tobytes()]})
-
-        total = sum_partials(shards.select("label", "found").mapInPandas(train, "payload binary"), "float64")
-        start = total[:-1] / total[-1]
-    return Model((start[:-1] * ratios).astype(np.float32), float(start[-1]))
-
-
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the probability that a text is toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

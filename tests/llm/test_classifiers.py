@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from gleaner.llm import language, quality, toxicity
 from tests.llm.conftest import DOCS
@@ -110,6 +111,44 @@ def test_toxicity_on_held_out_rows(make):
     assert by_id[9001]["predicted"] == by_id[9002]["predicted"] == by_id[9004]["predicted"] == 0
 
 
+def test_toxicity_fit_of_many_partitions_equals_numpy(make):
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(rng.choice(WORDS["en"], 25)) + (" blargh" if i % 3 == 0 else " fine"), int(i % 3 == 0)) for i in range(240)]
+    rows = make(data, "doc_id long, text string, label int", extra=False).repartition(211, "doc_id")
+    model = toxicity.fit(rows, rounds=1)
+
+    pos, neg = np.zeros(toxicity.N_FEATURES), np.zeros(toxicity.N_FEATURES)
+    for _, text, label in data:
+        (pos if label else neg)[toxicity.ngrams(text)] += 1
+    n_pos, n_neg, share = 80, 160, 80 / 240
+    p, q = pos + share, neg + 1 - share
+    ratio = np.log(p / n_pos) - np.log(q / n_neg)
+    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 2 * np.sqrt(1 / p + 1 / q))
+    kept = np.flatnonzero(ratio)
+    assert set(np.flatnonzero(model.weights)) <= set(kept)
+    ordered = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("o")).repartition(
+        toxicity.SHARDS, F.pmod("o", F.lit(toxicity.SHARDS))).withColumn("shard", F.spark_partition_id()).collect()
+    shards = [sorted(((r["o"], np.searchsorted(kept, np.intersect1d(toxicity.ngrams(r["text"]), kept)).astype(np.int32).tobytes(), r["label"])
+                      for r in ordered if r["shard"] == k)) for k in {r["shard"] for r in ordered}]
+    start, r32 = np.append(np.zeros(len(kept)), np.log(n_pos / n_neg)), ratio[kept].astype(np.float32)
+    fits = []
+    for shard in shards:
+        w, seen = start.copy(), np.ones(len(start))
+        for _ in range(2):
+            for _, found, label in shard:
+                found = np.frombuffer(found, np.int32)
+                x = r32[found]
+                gap = 1 / (1 + np.exp(-(w[found] @ x + w[-1]))) - label
+                g = gap * x + 1e-4 * w[found]
+                seen[found] += g * g
+                w[found] -= 0.5 * g / np.sqrt(seen[found])
+                seen[-1] += gap * gap
+                w[-1] -= 0.5 * gap / np.sqrt(seen[-1])
+        fits.append(w)
+    want = np.mean(fits, axis=0)
+    assert np.allclose(model.weights[kept], want[:-1] * r32, atol=1e-4) and abs(model.intercept - want[-1]) < 1e-4
+
+
 def test_toxicity_one_class_no_labels_empty(make):
     docs = make(ODD, DOCS)
     assert {r["score"] for r in toxicity.predictions(docs, make([], LABELS)).collect()} == {0.5}
