@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.llm import (
-    decontamination, extraction, language, mixing, neighbours, quality, sharding, simhash, surrogates,
+    decontamination, extraction, language, mixing, neighbours, quality, runs, sharding, simhash, surrogates,
     toxicity)
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
@@ -95,3 +95,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents", "doc_id", "text"),
                                 table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")))
+
+
+def _with_repeats(text: Column, doc_id: Column) -> Column:
+    """The op11 contract's texts: of each tenth id (by checksum) the words from some place on repeat a phrase."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        phrase = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(phrase, F.lit(1), (n - a).cast("int"))), " ")
+
+    # The one-element array holds the words, so that they are split once.
+    words = F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    made = F.get(F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w))), F.lit(0))
+    return F.when(h % 10 == 0, F.coalesce(made, text)).otherwise(text)
+
+
+@query("op11_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = runs.find(docs.select("doc_id", _with_repeats(F.col("text"), F.col("doc_id")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = runs.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
