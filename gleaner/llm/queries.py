@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.llm import (
-    decontamination, extraction, language, mixing, neighbours, quality, runs, sharding, simhash, surrogates,
+    audit, decontamination, extraction, language, mixing, neighbours, quality, runs, sharding, simhash, surrogates,
     toxicity)
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
@@ -125,3 +125,52 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+_OP12 = r"""
+WITH labelled AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN coalesce(min(t.doc_id) OVER (PARTITION BY text) < t.doc_id, false) THEN 'E' ELSE '' END AS fails
+  FROM texts t LEFT JOIN labelled l ON t.doc_id = l.doc_id),
+counts AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS b
+  FROM orders, (SELECT unnest(generate_series(1, 5)) AS step)),
+judged AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails = f AS alone, contains(fails, f) AS here,
+         fails <> translate(fails, b, '') AS earlier
+  FROM counts, steps),
+summed AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN NOT here AND NOT earlier THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN here AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN here AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed"""
+
+
+@query("op12_audit", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
+                       table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
