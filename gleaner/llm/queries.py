@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.llm import (
-    audit, decontamination, extraction, language, mixing, neighbours, quality, runs, sharding, simhash, surrogates,
-    toxicity)
+    audit, decontamination, extraction, language, mixing, neighbours, packing, quality, runs, sharding, simhash,
+    surrogates, toxicity)
 from gleaner.llm.common import table
 from gleaner.llm.registry import query
 
@@ -174,3 +175,10 @@ FROM summed"""
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
                        table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenised(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    own = pieces.select("doc_id", "piece", "start", "length", "row", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(own, ["doc_id", "piece", "start", "length", "ids_crc32"])
