@@ -1,11 +1,10 @@
 """Audit of how document filters interact, from a sparse document-term matrix.
 
 ``term_matrix`` counts words into compressed sparse rows. Each slice of documents becomes a shard with a vocabulary
-of its own; the vocabularies of all shards make the dictionary, which numbers every word of the corpus once; each
-shard then gets the global numbers of its words. Words that occur in more than 1/HOT of all (shard, word) pairs are at most
-HOT; those of at most HOT_BYTES bytes are sent to all tasks (about 13 MB at most), all others are joined, so no key of
-the join holds more than 1/HOT of the pairs. A row's sum is its number of words, its number of nonzero entries the number
-of distinct words.
+of its own. The words of all shards are dealt by a checksum to groups of a bounded number of words; each group
+numbers its words once for the whole corpus and answers every shard with the numbers of its words, so that
+words travel once, joined to one string per shard and group. A shard lists a word once, so frequent words make no hot
+group. A row's sum is its number of words, its number of nonzero entries the number of distinct words.
 
 ``audit`` says for every order of the filters what each of them removes. Copies of a text are found by its hash of
 256 bits; rows with equal id and hash are one row with a count before any shuffle by a key that may be hot. What
@@ -24,37 +23,52 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.llm.common import slices, stage
 
-#: Groups of the dictionary that are numbered side by side.
-GROUPS = 1024
-#: Words sent to all tasks, at most, and their longest size.
-HOT, HOT_BYTES = 50_000, 256
+#: Bytes of text for each group of the dictionary.
+GROUP_BYTES = 16 << 20
 
 FILTERS = "ABCDE"
 
 
-def _count_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary, row ends, columns, counts) of texts in UTF-8; columns are places in the vocabulary."""
+def _count_words(texts: list[bytes | None], groups: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary, group of each word, row ends, columns, counts) of texts in UTF-8; columns are places in the
+    vocabulary, which is ordered by group."""
     ids: dict[bytes, int] = {}
     columns, counts, ends = [], [], [0]
     for t in texts:
         words = (t or b"").split()  # at ASCII white space only
-        column, n = np.unique(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)), return_counts=True)
+        column, n = np.unique(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)), return_counts=True)
         columns.append(column)
         counts.append(n)
         ends.append(ends[-1] + len(column))
-    return list(ids), np.array(ends), np.concatenate(columns or [[]]).astype(np.int64), np.concatenate(counts or [[]]).astype(np.int64)
+    words = list(ids)
+    group = np.fromiter((crc32(w) % groups for w in words), np.int32, len(words))
+    order = np.argsort(group, kind="stable")
+    place = np.empty(len(words), dtype=np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
+    return ([words[i] for i in order], group[order], np.array(ends, dtype=np.int32),
+            place[np.concatenate(columns)] if len(words) else place, np.concatenate(counts or [[]]).astype(np.int32))
 
 
-def _shards(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """shard, rows (the carried columns), ends, columns (local), counts, words: a row per slice of documents."""
+_ENTRIES = "ends array<int>, columns array<int>, counts array<int>"
+
+
+def _one(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays([0, len(values)], pa.array(values))
+
+
+def _shards(docs: DataFrame, carry: list[str], groups: int) -> DataFrame:
+    """shard, rows (the carried columns), ends, columns (local), counts, words (group and its words joined by a space): a row
+    per slice of documents."""
     kept = docs.select(*carry)
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kept.schema)
 
@@ -63,57 +77,65 @@ def _shards(docs: DataFrame, carry: list[str]) -> DataFrame:
         for b in batches:
             texts = b.column("__text").cast(pa.binary()).to_pylist()
             for lo, hi in slices([len(t or b"") for t in texts]):
-                words, ends, columns, counts = _count_words(texts[lo:hi])
+                words, group, ends, columns, counts = _count_words(texts[lo:hi], groups)
                 rows = pa.StructArray.from_arrays([b.column(c).slice(lo, hi - lo) for c in carry], carry)
-                one = [0, hi - lo]
+                first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+                parts = [b" ".join(words[i:j]) for i, j in zip(first, np.append(first[1:], len(words)))]
+                told = pa.StructArray.from_arrays([pa.array(group[first], pa.int32()), pa.array(parts, pa.binary()).cast(pa.string())], ["group", "joined"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int64()), pa.ListArray.from_arrays(one, rows), pa.array([ends], pa.list_(pa.int64())),
-                     pa.array([columns], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                     pa.ListArray.from_arrays([0, len(words)], pa.array(words, pa.binary()).cast(pa.string()))],
-                    ["shard", "rows", "ends", "columns", "counts", "words"])
+                    [pa.array([shard], pa.int64()), pa.ListArray.from_arrays([0, hi - lo], rows), _one(ends), _one(columns), _one(counts),
+                     pa.ListArray.from_arrays([0, len(parts)], told)], ["shard", "rows", "ends", "columns", "counts", "words"])
                 shard += 1
 
     return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(
-        run, f"shard bigint, rows array<struct<{kinds}>>, ends array<bigint>, columns array<bigint>, counts array<bigint>, words array<string>")
-
-
-def _dictionary(pairs: DataFrame) -> DataFrame:
-    """word, column, n (shards that hold it): every word of the corpus once, numbered."""
-    group = F.pmod(F.xxhash64("word"), F.lit(GROUPS))
-    place = F.row_number().over(Window.partitionBy("of").orderBy("word"))
-    return pairs.groupBy(group.alias("of"), "word").agg(F.count(F.lit(1)).alias("n")).select(
-        "word", ((place - 1).cast("bigint") * GROUPS + F.col("of")).alias("column"), "n")
+        run, f"shard bigint, rows array<struct<{kinds}>>, {_ENTRIES}, words array<struct<`group`: int, joined: string>>")
+
+
+def _number(table: pa.Table) -> pa.Table:
+    """The words of one group of the dictionary, of all shards: their numbers for each shard, and (without a shard) the
+    words in the order of their numbers."""
+    group = table.column("group")[0].as_py()
+    parts = pc.split_pattern(table.column("joined").combine_chunks(), " ")
+    coded = parts.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    numbers = pa.array(rank[coded.indices.to_numpy()] | group << 32)
+    answers = pa.ListArray.from_arrays(parts.offsets, numbers)
+    words = " ".join(coded.dictionary.take(pa.array(order)).to_pylist())
+    return pa.table({
+        "shard": pa.concat_arrays([table.column("shard").combine_chunks(), pa.nulls(1, pa.int64())]),
+        "group": pa.array([group] * (table.num_rows + 1), pa.int32()),
+        "numbers": pa.concat_arrays([answers, pa.array([[]], pa.list_(pa.int64()))]),
+        "joined": pa.array([None] * table.num_rows + [words], pa.string())})
 
 
 def term_matrix(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """(shards, dictionary) of ``text``. A shard: shard, rows (array of the carried columns), ends (of the rows in the
-    following arrays, after a 0), columns (global word numbers), counts. Dictionary: word, column, n."""
-    local = stage(_shards(docs, carry), "matrix-local")
-    pairs = local.select("shard", F.posexplode("words").alias("place", "word"))
-    dictionary = stage(_dictionary(pairs), "matrix-dictionary")
-    all_pairs = dictionary.agg(F.sum("n")).first()[0] or 0
-    hot = (F.col("n") > all_pairs / HOT) & (F.octet_length("word") <= HOT_BYTES)
-    known = dictionary.select("word", "column")
-    quick = pairs.join(F.broadcast(dictionary.filter(hot).select("word", "column")), "word", "left")  # at most HOT words
-    found = stage(quick, "matrix-hot")
-    rest = found.filter("column IS NULL").select("shard", "place", "word").join(
-        dictionary.filter(~hot).select("word", "column"), "word")
-    numbered = found.filter("column IS NOT NULL").select("shard", "place", "column").unionByName(rest.select("shard", "place", "column"))
-    numbers = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "column"))).alias("known")).select(
-        "shard", F.col("known.column").alias("known"))  # as long as one shard's vocabulary
-    shards = local.drop("words").join(numbers, "shard", "left")
+    following arrays, after a 0), columns (global word numbers), counts. Dictionary: word, column."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    local = stage(_shards(docs, carry, 1 + size // GROUP_BYTES), "matrix-local")
+    asked = local.select("shard", F.inline("words"))
+    told = stage(asked.groupBy("group").applyInArrow(_number, "shard bigint, `group` int, numbers array<bigint>, joined string"), "matrix-numbers")
+    words = told.filter("shard IS NULL").select(
+        F.posexplode(F.split("joined", " ")).alias("k", "word"), "group")
+    dictionary = words.select("word", F.shiftleft(F.col("group").cast("bigint"), 32).bitwiseOR(F.col("k").cast("bigint")).alias("column"))
+    # As long as the vocabulary of one shard.
+    numbers = told.filter("shard IS NOT NULL").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("group", "numbers"))).alias("known"))
+    shards = local.drop("words").join(numbers.select("shard", F.flatten("known.numbers").alias("known")), "shard", "left")
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                numbers, columns = (b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("known", "columns"))
-                named = numbers.astype(np.int64)[columns] if len(columns) else columns
+                row = b.slice(k, 1)
+                columns = row.column("columns").flatten().to_numpy()
+                named = row.column("known").flatten().to_numpy()[columns] if len(columns) else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(c).slice(k, 1) for c in ("shard", "rows", "ends")] + [pa.array([named], pa.list_(pa.int64())), b.column("counts").slice(k, 1)],
+                    [*(row.column(c) for c in ("shard", "rows", "ends")), _one(named), row.column("counts")],
                     ["shard", "rows", "ends", "columns", "counts"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in local.drop("words").schema)
-    return shards.mapInArrow(renumber, schema), known
+    rows = local.schema["rows"].dataType.simpleString()
+    return shards.mapInArrow(renumber, f"shard bigint, rows {rows}, ends array<int>, columns array<bigint>, counts array<int>"), dictionary
 
 
 def row_counts(shards: DataFrame) -> DataFrame:

@@ -74,10 +74,9 @@ def test_audit_equals_brute_force_and_sql(spark, make, tmp_path):
     assert {r[:3]: r[3:] for r in found} == want
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_matrix_rows_and_dictionary(make, monkeypatch, hot):
-    monkeypatch.setattr(audit, "HOT", hot)
-    monkeypatch.setattr(audit, "HOT_BYTES", 8)
+@pytest.mark.parametrize("group_bytes", [16 << 20, 5_000])
+def test_matrix_rows_and_dictionary(make, monkeypatch, group_bytes):
+    monkeypatch.setattr(audit, "GROUP_BYTES", group_bytes)
     data, _ = corpus()
     docs = make([(i, t) for i, t, *_ in data], "doc_id long, text string", extra=False).repartition(6)
     shards, dictionary = audit.term_matrix(docs, ["doc_id", "text"])
