@@ -21,6 +21,7 @@ are read whole (one may be a shard of its own); an empty table gives no part and
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import permutations
 from zlib import crc32
@@ -185,14 +186,9 @@ def flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _orders() -> Column:
     """All orders of the filters with every step: an array of (filter_order, step, bit, bits before)."""
-    steps = []
-    for order in permutations(FILTERS):
-        before = 0
-        for k, name in enumerate(order):
-            steps.append(F.struct(F.lit("".join(order)).alias("filter_order"), F.lit(k + 1).alias("step"),
-                                  F.lit(_bit(name)).alias("bit"), F.lit(before).alias("before")))
-            before += _bit(name)
-    return F.array(*steps)
+    steps = [{"filter_order": "".join(order), "step": k + 1, "bit": _bit(name), "before": sum(map(_bit, order[:k]))}
+             for order in permutations(FILTERS) for k, name in enumerate(order)]
+    return F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order: string, step: int, bit: int, before: int>>")
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
