@@ -230,16 +230,29 @@ def prj_numeric_coerce(spark, sf):
 TEXT_FIELDS = ["review_id", "product_id", "category_keyword", "rating", "title", "text", "submission_time"]
 
 
-@query("src_reviews_csv", with_views("r2", """
+_REVIEWS_CSV_SQL = with_views("r2", """
 SELECT review_id, product_id, category_keyword, rating, title, text,
-       strftime(submission_time, '%Y-%m-%dT%H:%M:%S') AS submission_time FROM r2"""))
-def src_reviews_csv(spark, sf):
+       strftime(submission_time, '%Y-%m-%dT%H:%M:%S') AS submission_time FROM r2""")
+
+
+def _reviews_csv(spark, sf):
     path = scratch_path(spark, "reviews_csv")
     raw = r2(spark, sf).withColumn("submission_time", F.date_format("submission_time", "yyyy-MM-dd'T'HH:mm:ss"))
     fields = [F.col(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)
               for f in schemas.REVIEWS_RAW]
     sinks.write_csv(raw.select(*fields), path)
-    return csv_files.read_reviews_csv(spark, path).select(*TEXT_FIELDS)
+    return path
+
+
+@query("src_reviews_csv", _REVIEWS_CSV_SQL)
+def src_reviews_csv(spark, sf):
+    return csv_files.read_reviews_csv(spark, _reviews_csv(spark, sf)).select(*TEXT_FIELDS)
+
+
+@query("src_reviews_csv_split", _REVIEWS_CSV_SQL)
+def src_reviews_csv_split(spark, sf):
+    """The same files, each read by several tasks."""
+    return csv_files.read_reviews_csv(spark, _reviews_csv(spark, sf), split=True).select(*TEXT_FIELDS)
 
 
 @query("src_products_csv", with_views("p", """

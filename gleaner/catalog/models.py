@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from gleaner import constants as K
 from gleaner.catalog.registry import query, r6, rounded
 from gleaner.catalog.reviews import METRIC_SQL, REPORT_SQL
-from gleaner.catalog.texts import cleaned, tokens_sql, words_sql
+from gleaner.catalog.texts import DOCS_SQL, cleaned, corpus, tokens_sql, words_sql
 from gleaner.catalog.views import classes_sql, r2, table, with_views
-from gleaner.functions import text as tx
-from gleaner.operators import coherence, explorer, filters, scoring, topics, vocabulary
+from gleaner.functions import special, text as tx
+from gleaner.operators import coherence, explorer, filters, scoring, topic_em, topics, vocabulary
 from gleaner.plans import jobs
 from gleaner.session import scratch_path
 from gleaner.sources.sinks import write_stage
@@ -424,6 +424,75 @@ def pipe_topics(spark, sf):
         line(sizes, "topic_sizes", F.lit("all"), F.col("n")))
 
 
+# --- the topic model with learned priors ---------------------------------------------------------
+
+def _em_step_sql() -> str:
+    """One pass from a fixed start: three topics, one round of the topic shares, then both halves of the update."""
+    psi, psi1 = special.digamma_sql, special.trigamma_sql
+    fit = "3 * (lgamma(s + rho * sd) - sum(lgamma(greatest(eta + rho * d, 1e-300)))) + sum((eta + rho * d) * spread)"
+    steps = ", ".join(str(float(r)) for r in topic_em.STEPS)
+    return DOCS_SQL + f""",
+bow AS (SELECT seq, term, count(*) AS n FROM words JOIN vocab USING (term) GROUP BY 1, 2),
+start AS (SELECT term, t, 0.9::DOUBLE + (ascii(md5(concat(term, t))) % 16) / 80.0::DOUBLE AS lam FROM vocab, (SELECT unnest([0, 1, 2]) AS t)),
+tot AS (SELECT t, {psi('sum(lam)')} AS shift FROM start GROUP BY 1),
+beta AS (SELECT term, t, {psi('lam')} - shift AS lb, exp({psi('lam')} - shift) AS b FROM start JOIN tot USING (t)),
+nd AS (SELECT seq, 1.0::DOUBLE / 3 + sum(n) / 3.0::DOUBLE AS g FROM bow GROUP BY 1),
+th0 AS (SELECT seq, exp({psi('g')} - {psi('3 * g')}) AS e FROM nd),
+norm0 AS (SELECT seq, term, any_value(n) AS n, sum(e * b) AS norm FROM bow JOIN beta USING (term) JOIN th0 USING (seq) GROUP BY 1, 2),
+gamma AS (
+  SELECT seq, t, 1.0::DOUBLE / 3 + any_value(e) * sum(n / norm * b) AS g
+  FROM norm0 JOIN beta USING (term) JOIN th0 USING (seq) GROUP BY 1, 2),
+th1 AS (SELECT seq, t, exp({psi('g')} - {psi('gs')}) AS e FROM (SELECT *, sum(g) OVER (PARTITION BY seq) AS gs FROM gamma)),
+norm1 AS (SELECT seq, term, any_value(n) AS n, sum(e * b) AS norm FROM bow JOIN beta USING (term) JOIN th1 USING (seq, t) GROUP BY 1, 2),
+stat AS (
+  SELECT term, t, sum(n / norm * e * b) AS stat FROM norm1 JOIN beta USING (term) JOIN th1 USING (seq, t) GROUP BY 1, 2),
+prior AS (SELECT term, 1.0::DOUBLE / 3 AS eta, sum(lb) AS spread FROM beta GROUP BY 1),
+size AS (SELECT sum(eta) AS s FROM prior),
+grad AS (
+  SELECT term, eta, spread, s, 3 * ({psi('s')} - {psi('eta')}) + spread AS g, -3 * {psi1('eta')} AS q, 3 * {psi1('s')} AS c FROM prior, size),
+share AS (SELECT sum(g / q) / (1 / any_value(c) + sum(1 / q)) AS shared FROM grad),
+newton AS (SELECT term, eta, spread, s, -(g - shared) / q AS d FROM grad, share),
+sums AS (SELECT sum(d) AS sd FROM newton),
+tried AS (
+  SELECT rho, min(eta + rho * d) AS least, {fit} AS fit
+  FROM newton, sums, (SELECT unnest([{steps}]) AS rho) GROUP BY rho, s, sd),
+taken AS (SELECT max(rho) AS rho FROM tried WHERE least > 0 AND fit >= (SELECT fit FROM tried WHERE rho = 0))
+SELECT term, CAST(t AS INTEGER) AS topic, round(eta + rho * d + stat, 6) AS weight, round(eta + rho * d, 6) AS prior
+FROM newton JOIN stat USING (term), taken"""
+
+
+@query("tm_em_step", with_views("r2", _em_step_sql()))
+def tm_em_step(spark, sf):
+    docs = write_stage(corpus(spark, sf), scratch_path(spark, "em-docs"))
+    start = F.array(*[0.9 + (F.ascii(F.md5(F.concat("term", F.lit(str(t))))) % 16) / 80.0 for t in range(3)])
+    vocab = vocabulary.vocabulary(docs).select("term", F.lit(1.0 / 3).alias("eta"), start.alias("lambda"))
+    fit = topic_em.fit(docs, vocab, 3, key="seq", passes=1, iterations=1, tolerance=0.0, learn_alpha=False, settle=0, start=vocab)
+    rows = fit.model.select("term", "eta", F.posexplode("lambda").alias("topic", "weight"))
+    return rows.select("term", "topic", r6("weight").alias("weight"), r6("eta").alias("prior"))
+
+
+@query("tm_fit_learned", with_views("r2", DOCS_SQL + """
+SELECT CAST(unnest(range(4)) AS INTEGER) AS topic, (SELECT count(*) FROM vocab) AS n_terms, (SELECT count(*) FROM docs) AS n_docs,
+       true AS bound_rises, true AS beats_single_topic, true AS priors_learned, true AS one_language"""))
+def tm_fit_learned(spark, sf):
+    """Four topics over documents in four languages. Only a trained model puts each language into topics of its own and
+    explains the words better than their overall shares do."""
+    docs = write_stage(corpus(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "lang"), "seq"),
+                       scratch_path(spark, "em-docs"))
+    vocab = write_stage(vocabulary.vocabulary(docs), scratch_path(spark, "em-vocabulary"))
+    fit = topic_em.fit(docs, vocab, 4, key="seq", passes=12)
+    total = vocab.agg(F.sum("tf")).scalar()
+    single = vocab.agg(F.sum(F.col("tf") * F.log(F.col("tf") / total))).first()[0] or 0.0
+    spread = fit.model.agg((F.max("eta") - F.min("eta")).alias("d")).first()["d"] or 0.0
+    rises = all(b >= a - 1e-7 * abs(a) for a, b in zip(fit.bounds, fit.bounds[1:]))
+    at = topics.dominant_topic(fit.theta.join(docs.select("seq", "lang"), "seq")).groupBy("dominant_topic", "lang").agg(F.count(F.lit(1)).alias("n"))
+    pure = at.groupBy("dominant_topic").agg(F.max("n").alias("most"), F.sum("n").alias("n")).agg(F.sum("most") / F.sum("n")).scalar()
+    sizes = fit.phi.groupBy("topic").agg(F.count(F.lit(1)).alias("n_terms"))
+    return sizes.select("topic", "n_terms", fit.theta.agg(F.count(F.lit(1))).scalar().alias("n_docs"), F.lit(rises).alias("bound_rises"),
+                        F.lit(bool(fit.bounds[-1] > single)).alias("beats_single_topic"), F.lit(bool(spread > 0.01)).alias("priors_learned"),
+                        (pure > 0.9).alias("one_language"))
+
+
 EXPLORER_SQL = f"""
 , s AS (
   SELECT term, any_value(p_term) * sum(weight / w * ln(weight / w / proportion)) AS saliency
