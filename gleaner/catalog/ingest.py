@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gleaner import schemas
 from gleaner.catalog.registry import query, rounded
@@ -12,7 +12,7 @@ from gleaner.functions import scores
 from gleaner.operators import aggregates, filters, ranking
 from gleaner.plans import jobs
 from gleaner.session import scratch_path
-from gleaner.sources import csv_files, requests, responses, sinks
+from gleaner.sources import csv_files, paged, requests, responses, sinks
 from gleaner.streaming import incremental
 
 # --- product hits -------------------------------------------------------------------------------
@@ -143,6 +143,42 @@ def pipe_discover(spark, sf):
     return jobs.discover(search_responses(spark, sf))["products"]
 
 
+def landed_fetch(path, keys, body="body"):
+    """A fetch function over landed responses: the stored body for the asked keys, or that of a page without hits."""
+    def fetch(request):
+        import pyarrow.dataset as ds
+        cond = None
+        for k in keys:
+            one = ds.field(k) == request[k]
+            cond = one if cond is None else cond & one
+        found = ds.dataset(path, format="parquet").to_table(columns=[body], filter=cond).column(0).to_pylist()
+        return found[0] if found else "{}"
+    return fetch
+
+
+@query("src_paged_search", with_views("p", SEARCH_SQL + f"""
+, paged AS (SELECT *, row_number() OVER (PARTITION BY category_keyword ORDER BY uid) - 1 AS rn FROM flat WHERE kw_pos = 1)
+SELECT {PRODUCT_FIELDS}, CAST(rn // 60 + 1 AS INTEGER) AS page, CAST(rn % 60 AS INTEGER) AS position FROM paged"""))
+def src_paged_search(spark, sf):
+    """The first search, page by page: each keyword is asked for pages until one is short, out of a plan that goes on."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("product_uid"), "p_brand", "p_type", "p_size")
+    p = hits(spark, sf).filter("kw_pos = 1").join(part, "product_uid")
+    rank = F.row_number().over(Window.partitionBy("category_keyword").orderBy("product_uid")) - 1
+    product = F.struct(
+        F.col("product_uid").cast("string").alias("product_uid"), "name", F.col("p_brand").alias("brand"), F.col("p_type").alias("product_type"),
+        F.when(F.col("p_size") < 40, F.struct("price")).alias("retail_price"),
+        F.when(F.col("review_count") > 0, F.struct(F.col("review_count").alias("total"), (F.col("p_size") / 10).alias("average_rating"))).alias("reviews"))
+    pages = p.withColumn("rn", rank).groupBy("category_keyword", (F.floor(F.col("rn") / 60) + 1).cast("int").alias("page")).agg(
+        F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("rn", product.alias("p")))), lambda x: x["p"]).alias("products"))).alias("body"))
+    path = scratch_path(spark, "landed-search")
+    pages.coalesce(1).write.parquet(path)
+    landed = spark.read.parquet(path)
+    last = landed.agg(F.max("page")).first()[0] or 0
+    plan = requests.search_plan(landed.select("category_keyword").distinct(), last + 3)
+    asked = sinks.write_stage(paged.search_pages(plan, landed_fetch(path, ["category_keyword", "page"])), scratch_path(spark, "pages"))
+    return responses.flatten_search(paged.search_responses(asked), ["page"])
+
+
 def review_responses(spark, sf):
     """Review responses: per product type, the reviews among one hundred neighbouring rows.
 
