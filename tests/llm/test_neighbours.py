@@ -49,6 +49,34 @@ def test_copies_ties_and_bad_vectors(make):
     assert [v for _, v, _ in got[50]] == [0, 1, 2, 3, 4]
 
 
+def test_a_third_of_the_rows_on_one_ray(make):
+    rng = np.random.default_rng(5)
+    ray = rng.integers(-9, 10, 16)
+    rows = [(i, [float(x) for x in (ray * int(rng.integers(1, 900)) if i % 3 == 1 else rng.integers(-9, 10, 16))]) for i in range(1800)]
+    near = [(10_000 + i, [float(x) for x in ray * 1000 + rng.integers(-1, 2, 16)]) for i in range(300)]  # hardly another direction
+    df = make(rows + near, SCHEMA)
+    got = result(neighbours.nearest(df, df.filter("vec_id % 50 = 0"), rerank=0.05))
+    vectors = {i: np.array(v) for i, v in rows + near}
+    for q in (100, 250, 400):  # on the ray
+        hits = got[q]
+        assert [v for _, v, _ in hits] == [i for i in range(1, 40, 3) if i != q][:5] and all(abs(s - 1) < 1e-12 for _, _, s in hits)
+    for q, hits in got.items():
+        for _, v, s in hits:
+            a, b = vectors[q], vectors[v]
+            assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+    want = brute(rows + near, sorted(got), 5)
+    assert np.mean([got[q][0][2] >= vectors[q] @ vectors[w[0]] / np.linalg.norm(vectors[q]) / np.linalg.norm(vectors[w[0]]) - 1e-12
+                    for q, w in zip(sorted(got), want)]) > 0.8
+
+
+def test_what_ties_with_the_cut_is_ranked(make):
+    # Vectors in so few directions that their pivot orders are all alike.
+    rows = [(i, [1.0, (i % 7) / 1e6]) for i in range(500)]
+    df = make(rows, SCHEMA)
+    got = result(neighbours.nearest(df, df.filter("vec_id = 0"), rerank=0.01))
+    assert [v for _, v, _ in got[0]] == [7, 14, 21, 28, 35]
+
+
 def test_fewer_candidates_and_empty(make):
     df = make([(0, [1.0, 0.0]), (1, [0.0, 1.0])], SCHEMA)
     got = result(neighbours.nearest(df, df.filter("vec_id = 0")))
