@@ -88,3 +88,47 @@ def test_empty_and_wordless(make):
     assert mixing.mixed(make([], DOCS)).collect() == []
     got = mixing.mix(make([(1, "", "en", "a", 0), (2, None, "en", None, 0)], DOCS)).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_a_third_of_the_rows_are_one_document(make, monkeypatch):
+    """Repeated rows and rows without an id, beyond what one task handles in a list."""
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    data = rows(500)[:-1] + [(7, "w w w", "en", "hot", 1)] * 150 + [(None, None, None, None, None)] * 120 + [
+        (None, f"a b c{i}", "en", "hot", i) for i in range(130)]  # one entry, different texts
+    df = make(data, DOCS).repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(data)
+    of = lambda i, n, s: [r["copies"] for r in got if (r["doc_id"], r["size"], r["source"]) == (i, n, s)]
+    assert len(of(7, 3, "hot")) == 150 and len(of(None, 3, "hot")) == 130 and len(of(None, 0, None)) == 120
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = targets(sizes)
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= max(5, 0.002 * want[s])
+    rate = want["hot"] / sizes["hot"]
+    assert abs(sum(of(7, 3, "hot")) - 150 * rate) < 1 + 1e-6 and abs(sum(of(None, 3, "hot")) - 130 * rate) < 1 + 1e-6
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    counts, expected = defaultdict(int), defaultdict(int)
+    for r in out.collect():
+        counts[(r["doc_id"], size(r["text"]), r["source"])] += 1
+    for r in got:
+        expected[(r["doc_id"], r["size"], r["source"])] += r["copies"]
+    assert dict(counts) == {k: v for k, v in expected.items() if v}
+    each = defaultdict(int)
+    for r in out.filter("doc_id IS NULL AND source = 'hot'").collect():
+        each[r["text"]] += 1
+    assert set(each.values()) <= {math.floor(rate), math.floor(rate) + 1}
+
+
+def test_fractions_of_repeated_rows_are_settled_once(make):
+    """Three rows of one document at a rate of 1.5: four or five copies in all, by the draw of one fraction."""
+    seen = set()
+    for seed in range(4):
+        data = [(1, "w w w w", "en", "a", 0)] * 3 + [(2 + i, "w w w w", "en", "a", 0) for i in range(9)]
+        got = mixing.mix(make(data, DOCS), seed=seed).collect()
+        seen.add(sum(r["copies"] for r in got if r["doc_id"] == 1))
+        assert sum(r["copies"] for r in got) == 18
+    assert seen <= {4, 5}
