@@ -8,7 +8,8 @@ overflows, not all rows.
 
 The ring has a fixed number of cells. Rows are counted per cell, cells are summed to the arcs between
 neighbouring virtual nodes, and from those few sums the driver works out which stretch of an arc goes to which
-shard. Rows find their place in the arc by a rank within their cell plus the sum of the cells before.
+shard. Rows find their place in the arc by a rank within their cell plus the sum of the cells before. A cell with very
+many rows (a repeated id, or rows without an id and with equal texts) is ranked in salted groups, by prefix sums over their sizes.
 
 Law ``rows``: counts of any two shards are at most one apart. Defined results: a null text has 16 bytes
 and the checksum of an empty text; a row without an id stands at the hash of its text; rows that
@@ -29,6 +30,9 @@ RING_BITS = 18
 #: Places of a shard on the ring.
 VIRTUAL_NODES = 128
 
+#: Rows of a cell that are ranked together, at most; beyond also 1/MOST of all rows.
+GROUP_ROWS, MOST = 2000, 20_000
+
 LAW = "rows"
 
 
@@ -87,9 +91,11 @@ def assign(docs: DataFrame, n_shards: int, virtual_nodes: int = VIRTUAL_NODES, c
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     cell = F.shiftrightunsigned("place", 64 - RING_BITS)
-    rows = docs.select("doc_id", *carry, text_hash().alias("text_hash"), (F.octet_length(text) + 16).cast("bigint").alias("size"),
-                       F.crc32(text).alias("text_crc32"), _place().alias("place")).withColumn("cell", cell)
-    counts = docs.select(_place().alias("place")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    # Stored without the texts, so that the number that deals rows to groups stays the same whoever reads it.
+    rows = stage(docs.select("doc_id", *carry, text_hash().alias("text_hash"), (F.octet_length(text) + 16).cast("bigint").alias("size"),
+                             F.crc32(text).alias("text_crc32"), _place().alias("place")).withColumn("cell", cell).withColumn(
+        "row", F.monotonically_increasing_id()), "ring-rows")
+    counts = stage(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "ring-counts")
     arcs = ring(n_shards, virtual_nodes)
     laid = spark.createDataFrame(_cells_of(arcs), "arc int, first bigint, n_cells int").select(
         "arc", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_cells") - 1), lambda k: (F.col("first") + k) % (1 << RING_BITS))).alias("k", "cell"))
@@ -98,12 +104,22 @@ def assign(docs: DataFrame, n_shards: int, virtual_nodes: int = VIRTUAL_NODES, c
     load = dict(cells.groupBy("arc").agg(F.sum("n").alias("n")).collect())  # at most one row per virtual node
     plan = stretches(arcs, [load.get(a, 0) for a in range(len(arcs))], n_shards)
     stretch = spark.createDataFrame(plan, "of int, low bigint, high bigint, shard int, slot bigint")
-    routes = cells.join(stretch, (F.col("arc") == F.col("of")) & (F.col("low") < F.col("before") + F.col("n")) & (
-        F.col("high") > F.col("before"))).groupBy("cell", "before").agg(
+    most = max(GROUP_ROWS, sum(load.values()) // MOST)
+    # Cells with more than 1/MOST of all rows: at most MOST.
+    large = F.broadcast(counts.filter(F.col("n") > most).select("cell", (F.floor(F.col("n") / GROUP_ROWS) + 1).alias("groups")))
+    dealt = rows.join(large, "cell", "left").withColumn(
+        "of_cell", F.coalesce(F.pmod(F.xxhash64("row"), F.col("groups")), F.lit(0)).cast("bigint")).drop("groups")
+    sizes = dealt.groupBy("cell", "of_cell").agg(F.count(F.lit(1)).alias("held"))
+    earlier = F.sum("held").over(Window.partitionBy("cell").orderBy("of_cell").rowsBetween(Window.unboundedPreceding, -1))
+    groups = sizes.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(
+        cells.select("cell", "arc", "before"), "cell").withColumn("start", F.col("before") + F.col("earlier"))
+    # A stretch is one of a few thousand, so an arc's list of them is short.
+    routes = groups.join(stretch, (F.col("arc") == F.col("of")) & (F.col("low") < F.col("start") + F.col("held")) & (
+        F.col("high") > F.col("start"))).groupBy("cell", "of_cell", "start").agg(
         F.collect_list(F.struct("low", "high", "shard", "slot")).alias("routes"))
-    in_cell = Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size", "text_hash")
-    rank = F.col("before") + F.row_number().over(in_cell) - 1
-    return rows.join(routes, "cell").withColumn("rank", rank).withColumn(
+    in_group = Window.partitionBy("cell", "of_cell").orderBy("place", "doc_id", "text_crc32", "size", "text_hash", "row")
+    rank = F.col("start") + F.row_number().over(in_group) - 1
+    return dealt.join(routes, ["cell", "of_cell"]).withColumn("rank", rank).withColumn(
         "to", F.get(F.filter("routes", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"])), F.lit(0))).select(
         "doc_id", *carry, "size", "text_crc32", F.lit(LAW).alias("law"), F.col("to.shard").alias("shard"),
         (F.col("to.slot") + F.col("rank") - F.col("to.low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -21,6 +21,52 @@ def test_counts_slots_and_sizes(make):
     assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
 
 
+def walk(places, n_shards):
+    """The ring by hand: every row at its place, shard after shard with room, arcs taking turns: rows per shard and arc."""
+    arcs = sharding.ring(n_shards)
+    ends = [c for c, _ in arcs]
+    waiting = defaultdict(int)
+    for place in places:
+        cell = (place % (1 << 64)) >> (64 - sharding.RING_BITS)
+        waiting[next((i for i, e in enumerate(ends) if cell <= e), 0)] += 1
+    room = [len(places) // n_shards + (s < len(places) % n_shards) for s in range(n_shards)]
+    took, step = defaultdict(int), 0
+    while any(waiting.values()):
+        for a in range(len(arcs)):
+            shard = arcs[(a + step) % len(arcs)][1]
+            n = min(waiting[a], room[shard])
+            waiting[a] -= n
+            room[shard] -= n
+            took[a, shard] += n
+        step += 1
+    return {k: v for k, v in took.items() if v}
+
+
+def test_rows_go_where_the_ring_walk_sends_them(make):
+    df = make([(i * 7, "t" * (i % 9), "en", "s", 1) for i in range(700)] + [(5, "x", "en", "s", 1)] * 250 + [(None, None, None, None, None)] * 30, DOCS)
+    placed = df.select("doc_id", sharding._place().alias("place")).collect()
+    place_of = {r["doc_id"]: r["place"] for r in placed}
+    want = walk([r["place"] for r in placed], 40)
+    arcs = sharding.ring(40)
+    got = defaultdict(int)
+    for r in sharding.assign(df, 40).collect():
+        cell = (place_of[r["doc_id"]] % (1 << 64)) >> (64 - sharding.RING_BITS)
+        got[next((i for i, (e, _) in enumerate(arcs) if cell <= e), 0), r["shard"]] += 1
+    assert dict(got) == want
+
+
+def test_a_third_of_the_rows_in_one_cell(make, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 20)
+    data = [(i, "t", "en", "s", i) for i in range(600)] + [(7, "copy", "en", "s", 1)] * 200 + [(None, "same", "en", "s", 1)] * 100
+    rows = sharding.assign(make(data, DOCS).repartition(6), 40, carry=("n_chars",)).collect()
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r["shard"]].append(r["slot"])
+    assert len(rows) == 900 and all(sorted(v) == list(range(len(v))) for v in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d[0]) for d in data)
+
+
 def test_few_rows_and_empty(make):
     assert sharding.assign(make([], DOCS), 40).collect() == []
     rows = sharding.assign(make([(1, "a", "en", "s", 1), (2, "b", "en", "s", 1)], DOCS), 40).collect()
