@@ -38,7 +38,11 @@ CAPACITY = 1024
 #: Pieces of one length that are ranked together, about.
 GROUP_ROWS = 1000
 
+#: Bytes of the texts that are encoded together, about: the larger, the fewer words are encoded twice.
+SLICE_BYTES = 16 << 20
+
 _loaded: dict[int, object] = {}
+_spaces: dict[int, np.ndarray] = {}
 
 
 def _tokenizer(vocabulary: str):
@@ -49,12 +53,42 @@ def _tokenizer(vocabulary: str):
         from tokenizers import Tokenizer
 
         _loaded.clear()
+        _spaces.clear()
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True
         _loaded[key] = tokenizer
     return _loaded[key]
 
 
+def _encode_parts(tokenizer, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where each part's ids start, their number). Words with one space in front are encoded as one text, which is a
+    good deal faster than one by one: a token that starts with a space starts the next word."""
+    words = [i for i, p in enumerate(parts) if p[0] == " " and p.split() == [p[1:]]]
+    ids = np.array(tokenizer.encode_batch_fast(["".join([parts[i] for i in words])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    first = np.flatnonzero(_space_starts(tokenizer)[ids])
+    others = sorted(set(range(len(parts))) - set(words))
+    found = [e.ids for e in tokenizer.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)]
+    starts, lengths = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
+    starts[words], lengths[words] = first, np.diff(np.append(first, len(ids)))
+    size = np.array([len(f) for f in found], dtype=np.int64)
+    starts[others], lengths[others] = len(ids) + np.cumsum(size) - size, size
+    return np.append(ids, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))), starts, lengths
+
+
+def _space_starts(tokenizer) -> np.ndarray:
+    """Whether the token of each id starts with a space, which byte-level vocabularies write as one letter."""
+    key = id(tokenizer)
+    if key not in _spaces:
+        letter = tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        vocabulary = tokenizer.get_vocab()
+        table = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            table[i] = token.startswith(letter)
+        _spaces.clear()
+        _spaces[key] = table
+    return _spaces[key]
+
+
 def encode(tokenizer, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, number of ids of each text), texts in UTF-8."""
     sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
@@ -75,10 +109,7 @@ def encode(tokenizer, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray
     parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
     coded = parts.dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)
-    found = [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in coded.dictionary.to_pylist()], add_special_tokens=False)]
-    lengths = np.array([len(f) for f in found], dtype=np.int64)
-    flat = np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))
-    starts = np.cumsum(lengths) - lengths
+    flat, starts, lengths = _encode_parts(tokenizer, [p.decode() for p in coded.dictionary.to_pylist()])
     n = lengths[which]
     before = np.cumsum(n) - n
     ids = flat[np.arange(int(n.sum())) + np.repeat(starts[which] - before, n)]
@@ -96,7 +127,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPAC
         tokenizer, row = _tokenizer(sent.value), TaskContext.get().partitionId() << 40
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            for lo, hi in slices([len(t or b"") for t in texts]):
+            for lo, hi in slices([len(t or b"") for t in texts], SLICE_BYTES):
                 ids, counts = encode(tokenizer, texts[lo:hi])
                 of, piece, start, length, tokens, at = [], [], [], [], [], 0
                 for k, n in enumerate(counts.tolist()):
