@@ -39,7 +39,9 @@ CAPACITY = 1024
 GROUP_ROWS = 1000
 
 #: Bytes of the texts that are encoded together, about: the larger, the fewer words are encoded twice.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+#: Words that are encoded as one text.
+JOINED = 10_000
 
 _loaded: dict[int, object] = {}
 _spaces: dict[int, np.ndarray] = {}
@@ -64,7 +66,9 @@ def _encode_parts(tokenizer, parts: list[str]) -> tuple[np.ndarray, np.ndarray,
     """(ids, where each part's ids start, their number). Words with one space in front are encoded as one text, which is a
     good deal faster than one by one: a token that starts with a space starts the next word."""
     words = [i for i, p in enumerate(parts) if p[0] == " " and p.split() == [p[1:]]]
-    ids = np.array(tokenizer.encode_batch_fast(["".join([parts[i] for i in words])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    ids = np.concatenate([np.zeros(0, dtype=np.uint32)] + [
+        np.array(tokenizer.encode_batch_fast(["".join([parts[i] for i in words[lo:lo + JOINED]])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        for lo in range(0, len(words), JOINED)])
     first = np.flatnonzero(_space_starts(tokenizer)[ids])
     others = sorted(set(range(len(parts))) - set(words))
     found = [e.ids for e in tokenizer.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)]
