@@ -16,36 +16,53 @@ is empty anyway; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.html_blocks import N_INPUTS, Block, blocks, vectors
+from gleaner.llm.common import slices
+from gleaner.llm.html_blocks import N_INPUTS, Block, Node, blocks, vectors
 
 #: Pages on which the network is trained, about, and the longest of them in characters.
 SAMPLE_PAGES, SAMPLE_CHARS = 240, 100_000
 #: State of each direction.
 HIDDEN = 16
-#: Sequences labelled together.
-BATCH = 128
+#: Sequences labelled together, at most, and the cells (blocks of the longest times sequences) these may fill.
+BATCH, CELLS = 128, 1 << 14
 
 #: Names of containers that never hold main text, and of those that do.
 ASIDE = frozenset(
     "nav header footer aside form button select option menu head dialog .ad .ads .advert .advertisement .sponsor .sponsored "
     ".banner .cookie .consent .notice .comment .comments .reply .sidebar .menu .nav .navigation .footer .header .promo .share "
     ".social .related .recommended .subscribe .newsletter .signup .login .popup .modal .breadcrumb .breadcrumbs .widget .search".split())
+_ENDS = re.compile("</(?:p|h1|h2)>")
 MAIN = frozenset("article main .article .content .post .entry .story .main .body".split())
 
 
 def markup_labels(sequence: list[Block]) -> np.ndarray:
     """1 for blocks that their containers call main text: inside a main container (any, where the page
     has none) and inside none that is set aside. A page header inside the article counts as set aside."""
-    inside = np.array([any(t in MAIN for t in b.path) for b in sequence], dtype=bool)
+    def within(names: frozenset) -> np.ndarray:
+        known: dict[int, bool] = {}  # by node, as neighbouring blocks share theirs
+
+        def holds(node: Node) -> bool:
+            new, at = [], node
+            while at is not None and id(at) not in known:
+                new.append(at)
+                at = at.parent
+            found = at is not None and known[id(at)]
+            for n in reversed(new):
+                found = known[id(n)] = found or any(t in names for t in n.tokens)
+            return found
+
+        return np.array([holds(b.node) for b in sequence], dtype=bool)
+
+    inside, apart = within(MAIN), within(ASIDE)
     if not inside.any():
         inside[:] = True
-    apart = np.array([any(t in ASIDE for t in b.path) for b in sequence], dtype=bool)
     return (inside & ~apart).astype(np.float32)
 
 
@@ -68,6 +85,19 @@ def altered(page: str, rng: np.random.Generator, pool: list[str]) -> str:
         lambda: f'<div class="{rng.choice(["related", "share social", "newsletter", "breadcrumbs", "menu"])}"><ul>{links(3)}</ul></div>',
         lambda: f'<nav class="menu"><ul>{links(5)}</ul></nav>',
         lambda: f'<footer><p>{phrase(15)}.</p><ul>{links(3)}</ul></footer>']
+    # What articles hold besides paragraphs; it goes behind a paragraph or heading of the article.
+    parts = [
+        lambda: "<ul>" + "".join(f"<li>{phrase(12)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>",
+        lambda: "<ol>" + "".join(f"<li>{phrase(25)}.</li>" for _ in range(rng.integers(2, 5))) + "</ol>",
+        lambda: "<table>" + "".join(f"<tr><td>{phrase(4)}</td><td>{rng.integers(1000)}</td></tr>" for _ in range(rng.integers(2, 5))) + "</table>",
+        lambda: f"<dl><dt>{phrase(4)}</dt><dd>{phrase(20)}.</dd></dl>", lambda: f"<blockquote><p>{phrase(25)}.</p></blockquote>",
+        lambda: f"<h2>{phrase(6)}</h2>{paragraphs(1)}", lambda: f"<h3>{phrase(5)}</h3>", lambda: paragraphs(2), lambda: f"<p>{phrase(5)}</p>"]
+    for _ in range(rng.integers(0, 4)):
+        start, stop = page.find("<article"), page.find("</article>")
+        spots = [m.end() for m in _ENDS.finditer(page, max(0, start), stop)] if 0 <= start < stop else []
+        if spots:
+            spot = int(rng.choice(spots))
+            page = page[:spot] + parts[rng.integers(len(parts))]() + page[spot:]
     for _ in range(rng.integers(1, 5)):
         spots = [i for i in (page.find("<article"), page.find("</article>"), page.find("</article>") + 10, page.find("<footer"),
                              page.find("</h1>") + 5, page.find("</p>") + 4) if i > 10]
@@ -99,10 +129,13 @@ class Labeller:
 
     def _run(self, x: np.ndarray, live: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States of one direction; ``x`` (time, batch, inputs), ``live`` (time, batch, 1) is 0 on padding."""
-        steps, batch = x.shape[:2]
+        return self._states((x.reshape(-1, N_INPUTS) @ self.p[f"W{d}"] + self.p[f"c{d}"]).reshape(*x.shape[:2], -1), live, d, keep)
+
+    def _states(self, given: np.ndarray, live: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+        """The same from the inputs' part of the gates."""
+        steps, batch = given.shape[:2]
         h = c = np.zeros((batch, HIDDEN), np.float32)
-        given = x.reshape(-1, N_INPUTS) @ self.p[f"W{d}"] + self.p[f"c{d}"]
-        given, out = given.reshape(steps, batch, -1), np.empty((steps, batch, HIDDEN), np.float32)
+        out = np.empty((steps, batch, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = given[t] + h @ self.p[f"U{d}"]
             i, f, o = (_sigmoid(z[:, k * HIDDEN:(k + 1) * HIDDEN]) for k in range(3))
@@ -169,18 +202,40 @@ class Labeller:
                     self.p[k] = (self.p[k] - pace * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
         return float(np.mean(losses))
 
-    def label(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Probability of main text for every block of every sequence."""
+    def label(self, sequences: list[list[Block]]) -> list[np.ndarray]:
+        """Probability of main text for every block of every sequence. Short sequences are padded together within CELLS; a longer
+        one is read alone, its vectors a stretch at a time."""
         out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
-        order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i]))
-        for lo in range(0, len(order), BATCH):
-            mine = order[lo:lo + BATCH]
-            x, live, _ = _padded([(sequences[i], np.zeros(len(sequences[i]))) for i in mine])
-            p = _sigmoid(self.forward(x, live))
-            for k, i in enumerate(mine):
-                out[i] = p[:len(sequences[i]), k]
+        order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < min(len(order), lo + BATCH) and len(sequences[order[hi]]) * (hi + 1 - lo) <= CELLS:
+                hi += 1
+            mine = order[lo:hi]
+            if len(sequences[mine[0]]) > CELLS:
+                out[mine[0]] = self._long(sequences[mine[0]])
+            else:
+                x, live, _ = _padded([(vectors(sequences[i]), np.zeros(len(sequences[i]))) for i in mine])
+                p = _sigmoid(self.forward(x, live))
+                for k, i in enumerate(mine):
+                    out[i] = p[:len(sequences[i]), k]
+            lo = hi
         return out
 
+    def _long(self, sequence: list[Block]) -> np.ndarray:
+        n = len(sequence)
+        given = {d: np.empty((n, 1, 4 * HIDDEN), np.float32) for d in "fb"}
+        for lo in range(0, n, CELLS):
+            x = vectors(sequence[lo:lo + CELLS], lo, n)
+            for d in "fb":
+                given[d][lo:lo + CELLS, 0] = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
+        live = np.ones((n, 1, 1), np.float32)
+        logit = np.full(n, self.p["v"][0], np.float32)
+        for k, d in enumerate("fb"):
+            logit += self._states(given.pop(d), live, d, None)[:, 0] @ self.p["V"][k * HIDDEN:(k + 1) * HIDDEN, 0]
+        return _sigmoid(logit)
+
 
 def _padded(group: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     steps = max(len(y) for _, y in group)
@@ -224,10 +279,12 @@ def extract(pages: DataFrame, model: Labeller, threshold: float = 0.5) -> DataFr
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages_ in batches:
-            parsed = [blocks(p) for p in pages_]
-            labels: list[np.ndarray] = []
-            for lo in range(0, len(parsed), 4 * BATCH):
-                labels += sent.value.label([vectors(s) if s else np.zeros((0, N_INPUTS), np.float32) for s in parsed[lo:lo + 4 * BATCH]])
-            yield pd.Series(["\n".join(b.text for b, p in zip(s, marks) if p >= threshold) for s, marks in zip(parsed, labels)], dtype="object")
+            texts = list(pages_)
+            found: list[str] = []
+            for lo, hi in slices([len(p or "") for p in texts]):
+                parsed = [blocks(p) for p in texts[lo:hi]]
+                labels = sent.value.label(parsed)
+                found += ["\n".join(b.text for b, p in zip(s, marks) if p >= threshold) for s, marks in zip(parsed, labels)]
+            yield pd.Series(found, dtype="object")
 
     return pages.withColumn("main_text", run("html"))

@@ -50,13 +50,36 @@ class _Hidden:
         self.depth, self.n_out, self.pieces, self.linked, self.broken = depth, n_out, pieces, linked, False
 
 
+class Node:
+    """An open element on the path of a block: its parent and tokens, the slots of all tokens down to it (as bits) and their
+    number. Blocks share the nodes of their path, so deep pages cost no more than shallow ones."""
+
+    __slots__ = ("parent", "tokens", "slots", "depth")
+
+    def __init__(self, parent: "Node | None", tokens: list[str]) -> None:
+        self.parent, self.tokens = parent, tokens
+        self.slots, self.depth = (parent.slots, parent.depth) if parent else (0, 0)
+        for t in tokens:
+            self.slots |= 1 << _slot(t)
+        self.depth += len(tokens)
+
+
 class Block:
-    """Text of a leaf, the tokens of its path (outermost first), and how many of its characters are links."""
+    """Text of a leaf, the innermost element on its path, and how many of its characters are links."""
+
+    __slots__ = ("text", "node", "linked")
 
-    __slots__ = ("text", "path", "linked")
+    def __init__(self, text: str, node: Node, linked: int) -> None:
+        self.text, self.node, self.linked = text, node, linked
 
-    def __init__(self, text: str, path: list[str], linked: int) -> None:
-        self.text, self.path, self.linked = text, path, linked
+    @property
+    def path(self) -> list[str]:
+        """The tokens of the path, outermost first."""
+        levels, node = [], self.node
+        while node is not None:
+            levels.append(node.tokens)
+            node = node.parent
+        return [t for tokens in reversed(levels) for t in tokens]
 
 
 def path_tokens(tag: str, attributes: str) -> list[str]:
@@ -74,32 +97,40 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, list[str]]] = []
+    root = Node(None, [])
+    stack: list[tuple[str, Node]] = []
+    where: dict[str, list[int]] = {}  # places of the open elements of a name in the stack
+    scopes: list[int] = []            # places of those that stop a search for an element to close
     pieces: list[str] = []
     hidden: list[_Hidden] = []
+    n_broken = 0                      # the first ones of ``hidden`` that are broken
     links, linked, foreign = 0, 0, 0
 
     def put(said: list[str], linked_: int, depth: int) -> None:
         text = " ".join("".join(said).split())
         if text:
-            out.append(Block(text, [t for _, tokens in stack[:depth] for t in tokens], min(linked_, len(text))))
+            out.append(Block(text, stack[depth - 1][1] if depth else root, min(linked_, len(text))))
 
     def flush() -> None:
-        nonlocal pieces, linked
-        new = next((h for h in hidden if not h.broken), None)
-        if new is None:
+        nonlocal pieces, linked, n_broken
+        if n_broken == len(hidden):
             put(pieces, linked, len(stack))
         else:
             # The text before the outermost is a block, the text in it is not; it is no part of later paths.
+            new = hidden[n_broken]
             put(new.pieces, new.linked, new.depth)
-            for h in hidden:
+            shown = set()
+            for h in hidden[n_broken:]:
                 h.broken = True
-                stack[h.depth] = (stack[h.depth][0], [])
+                shown.add(h.depth)
+            n_broken = len(hidden)
+            for k in range(new.depth, len(stack)):
+                stack[k] = (stack[k][0], Node(stack[k - 1][1] if k else root, [] if k in shown else stack[k][1].tokens))
         pieces, linked = [], 0
 
     def cut(depth: int, own: bool) -> None:
         """Drop the stack from ``depth`` on; ``own`` if the end tag of the element there does it."""
-        nonlocal pieces, links, linked, foreign
+        nonlocal pieces, links, linked, foreign, n_broken
         while hidden and hidden[-1].depth >= depth:
             h = hidden.pop()
             closed = own and h.depth == depth
@@ -107,9 +138,13 @@ def blocks(page: str | None) -> list[Block]:
                 del out[h.n_out:]
             if closed or not h.broken:
                 pieces, linked = h.pieces, h.linked
+        n_broken = min(n_broken, len(hidden))
         for tag_, _ in stack[depth:]:
             links -= tag_ == "a"
             foreign = max(0, foreign - (tag_ in FOREIGN))
+            where[tag_].pop()
+        while scopes and scopes[-1] >= depth:
+            scopes.pop()
         del stack[depth:]
 
     def say(raw: str) -> None:
@@ -132,13 +167,10 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != tag:
-                depth -= 1
             if tag in BREAKING:
                 flush()
-            if depth >= 0:
-                cut(depth, True)
+            if where.get(tag):
+                cut(where[tag][-1], True)
             continue
         attributes = m[3] or m[6] or ""
         if (foreign or tag in FOREIGN) and attributes.endswith("/"):
@@ -157,18 +189,17 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BREAKING:
             flush()
             foreign = 0
-            closing = CLOSES.get(tag)
-            for k in range(len(stack) - 1, -1, -1) if closing else ():
-                if stack[k][0] in closing:
-                    cut(k, False)
-                    break
-                if stack[k][0] in SCOPES or stack[k][0] in HIDDEN:
-                    break
+            k = max((where[c][-1] for c in CLOSES.get(tag, ()) if where.get(c)), default=-1)
+            if k >= 0 and k >= (scopes[-1] if scopes else 0):
+                cut(k, False)
         if tag not in VOID:
             if tag in HIDDEN:
                 hidden.append(_Hidden(len(stack), len(out), pieces, linked))
                 pieces, linked = [], 0
-            stack.append((tag, path_tokens(tag, attributes)))
+            where.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES or tag in HIDDEN:
+                scopes.append(len(stack))
+            stack.append((tag, Node(stack[-1][1] if stack else root, path_tokens(tag, attributes))))
             links += tag == "a"
             foreign += tag in FOREIGN
     flush()
@@ -186,11 +217,12 @@ def _slot(token: str) -> int:
     return _slots[token]
 
 
-def vectors(sequence: list[Block]) -> np.ndarray:
-    """A row of N_INPUTS numbers for each block."""
+def vectors(sequence: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row of N_INPUTS numbers for each block; the blocks are those from ``first`` on of a page of ``total``."""
     n = len(sequence)
-    cells = [i * N_PATH + _slot(t) for i, b in enumerate(sequence) for t in b.path]
-    path = np.minimum(np.bincount(np.array(cells, dtype=np.int64), minlength=n * N_PATH).reshape(n, N_PATH), 1)
+    total = n if total is None else total
+    slots = np.frombuffer(b"".join(b.node.slots.to_bytes(N_PATH // 8, "little") for b in sequence), dtype=np.uint8)
+    path = np.unpackbits(slots.reshape(n, N_PATH // 8), axis=1, bitorder="little")
     words, counts = hashed_words([b.text for b in sequence])
     at = np.repeat(np.arange(n), counts) * N_WORDS + (words >> np.uint64(40)).astype(np.int64) % N_WORDS
     bag = np.bincount(at, minlength=n * N_WORDS).reshape(n, N_WORDS) / np.sqrt(np.maximum(counts, 1))[:, None]
@@ -198,5 +230,5 @@ def vectors(sequence: list[Block]) -> np.ndarray:
     numbers = np.column_stack([
         np.log1p(size) / 8, np.array([b.linked for b in sequence]) / size, np.log1p(counts) / 6,
         np.array([b.text[-1] in ".!?:;\"'" for b in sequence], dtype=np.float64),
-        np.array([len(b.path) for b in sequence]) / 10, np.arange(n) / max(1, n - 1)])
+        np.array([b.node.depth for b in sequence]) / 10, (first + np.arange(n)) / max(1, total - 1)])
     return np.hstack([path, bag * 0.3, numbers]).astype(np.float32)
