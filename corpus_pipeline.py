@@ -33,16 +33,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of each component the document with the smallest id stays (of rows without an id, or with
-    the same, the one with the smallest text hash)."""
+    """Operator 9 with the shingles of 4 words and 4 bits of its contract: of each component the document with the smallest
+    id stays (of rows without an id, or with the same, the one with the smallest text hash; of rows that agree in
+    both, the first in the order of all columns)."""
     key = _free(docs, "text_key")
     keyed = docs.withColumn(key, text_hash())
     found = simhash.near_duplicates(docs.select("doc_id", "text"), keep_hash=True)
     first = Window.partitionBy("component_id", "root").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
     stays = found.withColumn("n", F.row_number().over(first)).filter("n = 1").select(
         F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    return keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["kept_id"]) & keyed[key].eqNullSafe(stays["kept_hash"])).dropDuplicates(
-        ["kept_id", "kept_hash"]).select(*docs.columns)
+    kept = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["kept_id"]) & keyed[key].eqNullSafe(stays["kept_hash"]))
+    turn, same = _free(docs, "turn"), Window.partitionBy("kept_id", "kept_hash").orderBy(*(keyed[c] for c in docs.columns))
+    return kept.withColumn(turn, F.row_number().over(same)).filter(F.col(turn) == 1).select(*(keyed[c] for c in docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
