@@ -43,3 +43,13 @@ def test_empty_and_clashing_names(spark, make, tmp_path):
     for _, fn in pipeline.STAGES[:-1]:
         docs = fn(spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in docs.collect()} <= {1}
+
+
+def test_of_repeated_rows_the_first_stays_whatever_the_partitioning(make, tmp_path, spark):
+    data = [(7, "one two three four five", lang, source, n) for lang, source, n in (("en", "b", 2), ("en", "a", 3), (None, "a", 9), ("en", "a", 1))]
+    data += [(8, "six seven eight nine ten", "en", None, None), (8, "six seven eight nine ten", "en", "z", 1)]
+    want = {(7, None, "a", 9), (8, "en", None, None)}
+    for n in (1, 5):
+        docs = make(data, DOCS, extra=False).repartition(n, "n_chars")
+        kept = pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+        assert {(r["doc_id"], r["lang"], r["source"], r["n_chars"]) for r in kept} == want and len(kept) == 2
