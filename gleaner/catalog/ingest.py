@@ -372,18 +372,30 @@ def snk_incremental(spark, sf):
     return aggregates.value_counts(_ingest(spark, sf, "parquet"), "product_id")
 
 
-@query("st_dedup", with_views("r1", f"""
+_DEDUP_SQL = with_views("r1", f"""
 SELECT review_id, l_suppkey FROM r1
-QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY l_suppkey % 2 = 0, {', '.join(ORDER)}) = 1"""))
-def st_dedup(spark, sf):
+QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY l_suppkey % 2 = 0, {', '.join(ORDER)}) = 1""")
+
+
+def _dedup(spark, sf, run):
     landing, out, check = (scratch_path(spark, n) for n in ("landing", "unique", "progress"))
     rows = r1(spark, sf)
     # Both drops hold rows of all years.
     for _ in _land_in_two(rows, F.col("l_suppkey") % 2 == 0, landing, "parquet"):
-        incremental.dedup(incremental.file_stream(spark, landing, rows.schema, "parquet"), out, check, order_columns())
+        run(incremental.file_stream(spark, landing, rows.schema, "parquet"), out, check, order_columns())
     return spark.read.parquet(out).select("review_id", "l_suppkey")
 
 
+@query("st_dedup", _DEDUP_SQL)
+def st_dedup(spark, sf):
+    return _dedup(spark, sf, incremental.dedup)
+
+
+@query("st_dedup_indexed", _DEDUP_SQL)
+def st_dedup_indexed(spark, sf):
+    return _dedup(spark, sf, incremental.dedup_indexed)
+
+
 @query("st_monthly_refresh", MONTHLY_SQL)
 def st_monthly_refresh(spark, sf):
     landing, store, check = (scratch_path(spark, n) for n in ("landing", "partials", "progress"))

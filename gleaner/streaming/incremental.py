@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gleaner.functions import dates
 from gleaner.functions.scores import label_score
@@ -79,6 +79,48 @@ def dedup(stream: DataFrame, out: str, checkpoint: str, order: list, key: str =
     return stream.sparkSession.read.parquet(out)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def dedup_indexed(stream: DataFrame, out: str, checkpoint: str, order: list[Column], key: str = "review_id") -> list[dict]:
+    """Append rows with ids not seen before, whatever their date, looking up only the ids of the batch.
+
+    The ids of all batches are the state of a streaming aggregate, kept by RocksDB beside the executors and
+    checkpointed as changes: a batch reads its own rows and the state of its own ids, however long the history is (``dedup`` reads
+    all earlier ids). The state holds the first row of each id. Within a batch the first row in the ascending
+    ``order`` stays, of equal ones the smallest in all columns; all rows without an id count as one. Returns the progress of
+    each batch.
+
+    A row is new if the first and the last batch that brought its id are the same, so a clock that is set back
+    adds no row twice.
+    """
+    spark = stream.sparkSession
+    _numbered(spark, out, checkpoint)
+    one = F.struct(F.current_timestamp().alias("at"), *[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*stream.columns).alias("row"))
+    first = stream.select(F.col(key).alias("_id"), one.alias("one")).groupBy("_id").agg(F.min("one").alias("one"), F.max("one.at").alias("last"))
+    new = first.filter(F.col("one.at") == F.col("last")).select("one.row.*")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{BATCH_COLUMN}={batch_id}")
+
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        run = (new.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).start())
+        run.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return [_progress(p) for p in run.recentProgress if p["stateOperators"]]
+
+
+def _progress(progress) -> dict:
+    """Rows read, ids in the state and ids touched by a batch."""
+    state = progress["stateOperators"][0]
+    return {"batch": progress["batchId"], "rows": progress["numInputRows"], "ids": state["numRowsTotal"], "touched": state["numRowsUpdated"]}
+
+
 def refresh_monthly(stream: DataFrame, store: str, checkpoint: str) -> None:
     """Add the partial sums of each micro-batch to ``store``.
 
