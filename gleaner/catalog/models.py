@@ -6,9 +6,10 @@ topics are the four languages of the documents, which SQL can recompute.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gleaner import constants as K
+from gleaner import constants as K, schemas
 from gleaner.catalog.registry import query, r6, rounded
 from gleaner.catalog.reviews import METRIC_SQL, REPORT_SQL
 from gleaner.catalog.texts import DOCS_SQL, cleaned, corpus, tokens_sql, words_sql
@@ -18,6 +19,7 @@ from gleaner.operators import coherence, explorer, filters, scoring, topic_em, t
 from gleaner.plans import jobs
 from gleaner.session import scratch_path
 from gleaner.sources.sinks import write_stage
+from gleaner.sources.tables import local_table
 
 CLASS_SQL = ("CAST(pred_idx AS INTEGER) AS pred_idx, pred, round(prob_negative, 6) AS prob_negative, "
              "round(prob_neutral, 6) AS prob_neutral, round(prob_positive, 6) AS prob_positive, "
@@ -286,6 +288,32 @@ def tm_topic_distance(spark, sf):
     return rounded(explorer.topic_distance(lang_phi(lang_docs(spark, sf)), 4), "js_divergence")
 
 
+@query("tm_topic_map", with_views("r2", LANG_SQL + """
+, pairs AS (SELECT a.topic AS topic_a, b.topic AS topic_b FROM tops a, tops b),
+side AS (
+  SELECT topic_a, topic_b, t.term, coalesce(p.weight, 0) AS p, coalesce(q.weight, 0) AS q
+  FROM pairs CROSS JOIN (SELECT DISTINCT term FROM phi) t
+  LEFT JOIN phi p ON p.topic = topic_a AND p.term = t.term LEFT JOIN phi q ON q.topic = topic_b AND q.term = t.term),
+sq AS (
+  SELECT topic_a, topic_b, power(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+               + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2, 2) AS d FROM side GROUP BY 1, 2)
+SELECT CAST(topic_a AS INTEGER) AS topic_a, CAST(topic_b AS INTEGER) AS topic_b,
+       round(-0.5 * (d - avg(d) OVER (PARTITION BY topic_a) - avg(d) OVER (PARTITION BY topic_b) + avg(d) OVER ()), 6) + 0.0 AS gram,
+       true AS leading_axes FROM sq"""))
+def tm_topic_map(spark, sf):
+    """The inner products that the map is made from, and whether its axes are their two leading eigenvectors."""
+    docs = lang_docs(spark, sf)
+    phi, k = lang_phi(docs), 4
+    distance = explorer.topic_distance(phi, k)
+    points = explorer.topic_map(distance, explorer.topic_order(explorer.topic_mass_of(docs)), k).orderBy("topic").toPandas()
+    gram = explorer.gram_matrix(explorer.distance_matrix(distance, k))
+    axes = points[["x", "y"]].to_numpy()
+    values = (axes * axes).sum(axis=0)
+    leading = bool(np.allclose(gram @ axes, axes * values, atol=1e-9) and values[0] >= values[1] > 0 and np.trace(gram) - values.sum() <= 2 * values[1])
+    rows = [(a, b, float(gram[a, b]), leading) for a in range(k) for b in range(k)]
+    return rounded(local_table(spark, rows, schemas.struct(topic_a="int", topic_b="int", gram="double", leading_axes="boolean")), "gram")
+
+
 @query("tm_coherence_cv", with_views("r2", LANG_SQL + """
 , top AS (
   SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM phi

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K, schemas
 from gleaner.catalog.registry import query, r6, rounded
-from gleaner.catalog.views import hits, order_columns, r1, r1s, with_views
+from gleaner.catalog.views import hits, order_columns, r1, r1s, table, with_views
 from gleaner.functions import dates, scores
-from gleaner.operators import aggregates, filters, joins, metrics, ranking, sampling, temporal
+from gleaner.operators import aggregates, filters, joins, metrics, ranking, sampling, selection, temporal
+from gleaner.session import scratch_path
 from gleaner.sources import requests, sinks
+from gleaner.sources.tables import local_table
 
 
 # --- scans, sinks, projections ------------------------------------------------------------------
@@ -495,6 +497,31 @@ def win_stratified_sample(spark, sf):
         "rating", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query("win_sample_sketch", with_views("r1", """
+, keyed AS (
+  SELECT *, md5(concat('42:', l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey)) AS h FROM r1
+  WHERE rating IS NOT NULL)
+SELECT rating, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM keyed
+QUALIFY row_number() OVER (PARTITION BY rating ORDER BY h, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) <= 1000"""))
+def win_sample_sketch(spark, sf):
+    """The same sample from the stored sketches of three drops."""
+    key, store = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), scratch_path(spark, "sketch")
+    rows = r1(spark, sf, rating=True)
+    for batch in range(3):
+        sampling.add_to_sketch(rows.filter(F.col("l_suppkey") % 3 == batch), store, batch, key, tie_break=order_columns())
+    return sampling.read_sketch(spark, store, tie_break=order_columns()).select(
+        "rating", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("agg_exact_quantiles", """
+SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0])::DOUBLE AS share,
+       round(unnest(quantile_cont(l_extendedprice, [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0])), 6) AS value FROM lineitem""")
+def agg_exact_quantiles(spark, sf):
+    found = selection.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0])
+    return rounded(local_table(spark, list(found.items()), schemas.struct(share="double", value="double")), "value")
+
+
 @query("win_topic_exemplars", with_views("r1s", """
 SELECT dominant_topic, CAST(rank AS INTEGER) AS rank, l_orderkey, l_linenumber,
        round(topic_probability, 6) AS topic_probability, topic_size FROM (

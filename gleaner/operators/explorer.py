@@ -5,10 +5,12 @@ phi is (topic, term_id, term, weight); theta is (doc key, topic, p). Both are lo
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner import constants as K
+from gleaner import constants as K, schemas
 from gleaner.operators.ranking import rank_rows, top_n_per_group
+from gleaner.sources.tables import local_table
 
 
 def topic_mass(theta: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
@@ -147,3 +149,37 @@ def write_explorer(tables: dict[str, DataFrame], path: str) -> None:
     """One JSON folder per table, for a viewer to load."""
     for name, table in tables.items():
         table.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def gram_matrix(distance: np.ndarray) -> np.ndarray:
+    """Inner products of points that have these distances, seen from their centre."""
+    squared = distance * distance
+    return -0.5 * (squared - squared.mean(axis=0) - squared.mean(axis=1)[:, None] + squared.mean())
+
+
+def classical_scaling(gram: np.ndarray, axes: int = 2) -> np.ndarray:
+    """Coordinates whose inner products come nearest to ``gram``: its leading eigenvectors times the roots of their
+    eigenvalues. The largest coordinate of an axis is positive; an axis without extent is 0."""
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values, kind="stable")[:axes]
+    out = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
+    largest = np.abs(out.round(9)).argmax(axis=0)
+    out = out * np.where(out[largest, np.arange(out.shape[1])] < 0, -1, 1)
+    return np.hstack([out, np.zeros((len(gram), axes - out.shape[1]))])
+
+
+def topic_map(distance: DataFrame, order: DataFrame, k: int) -> DataFrame:
+    """(topic, x, y, proportion): a plane in which near topics have similar words. ``distance`` as ``topic_distance`` gives it; the
+    driver holds K x K numbers."""
+    d = distance_matrix(distance, k)
+    at = classical_scaling(gram_matrix(d))
+    points = local_table(distance.sparkSession, [(t, float(x), float(y)) for t, (x, y) in enumerate(at)], schemas.struct(topic="int", x="double", y="double"))
+    return points.join(order.select("topic", "proportion"), "topic")
+
+
+def distance_matrix(distance: DataFrame, k: int) -> np.ndarray:
+    """The K x K distances, 0 where the table has none."""
+    d = np.zeros((k, k))
+    for r in distance.collect():  # k * (k - 1) / 2 rows
+        d[r["topic_a"], r["topic_b"]] = d[r["topic_b"], r["topic_a"]] = r["js_divergence"]
+    return d

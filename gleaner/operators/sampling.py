@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gleaner import constants as K
 from gleaner.operators.ranking import top_n_per_group
@@ -40,3 +40,29 @@ def stratified_sample(df: DataFrame, key: Column, n: int = K.SAMPLES_PER_STAR,
     if shuffle:
         picked = picked.orderBy(F.md5(F.concat(F.lit("order:"), F.col("_hash"))))
     return picked.drop("_hash", "_range")
+
+
+def sample_sketch(df: DataFrame, key: Column, n: int = K.SAMPLES_PER_STAR, stratum: str = "rating", seed: int = K.SEED,
+                  tie_break: list | None = None) -> DataFrame:
+    """The rows that a sample of ``n`` per stratum could take from ``df``, with their hash: at most ``n`` per stratum.
+
+    Sketches of parts of a table merge to the sketch of the table, so new rows are read once and old ones never again.
+    """
+    picked = stratified_sample(df, key, n, stratum, seed, tie_break)
+    return picked.withColumn("sample_hash", sample_hash(key, seed))
+
+
+def merge_sketches(sketches: DataFrame, n: int = K.SAMPLES_PER_STAR, stratum: str = "rating", tie_break: list | None = None) -> DataFrame:
+    """The sketch of the whole from the rows of all sketches; without ``sample_hash`` it is the sample. ``n`` at most that of each."""
+    return top_n_per_group(sketches, [stratum], [F.col("sample_hash"), *(tie_break or [])], n)
+
+
+def add_to_sketch(df: DataFrame, store: str, batch: int, key: Column, n: int = K.SAMPLES_PER_STAR, stratum: str = "rating",
+                  seed: int = K.SEED, tie_break: list | None = None) -> None:
+    """Store the sketch of one batch of new rows; a repeated batch replaces its own."""
+    sample_sketch(df, key, n, stratum, seed, tie_break).write.mode("overwrite").parquet(f"{store}/batch={batch}")
+
+
+def read_sketch(spark: SparkSession, store: str, n: int = K.SAMPLES_PER_STAR, stratum: str = "rating", tie_break: list | None = None) -> DataFrame:
+    """The sample of all batches: exactly min(n, size) rows of each stratum."""
+    return merge_sketches(spark.read.parquet(store), n, stratum, tie_break).drop("sample_hash", "batch")
