@@ -104,9 +104,7 @@ def find_topics(spark: SparkSession, args) -> None:
 
 
 def temporal(spark: SparkSession, args) -> None:
-    events = tables.event_table(spark)
-    if args.events:
-        events = csv_files.read_csv(spark, args.events, schemas.EVENTS)
+    events = csv_files.read_csv(spark, args.events, schemas.EVENTS) if args.events else tables.event_table(spark, [])
     docs = spark.read.parquet(args.topics) if args.topics else None
     _write_all(jobs.temporal_reports(spark.read.parquet(f"{args.reviews}/reviews"), events, docs, titles=_labels(args)), args.out)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from gleaner import schemas
+from gleaner import constants as K, schemas
 from gleaner.catalog.registry import query, rounded
 from gleaner.catalog.reviews import MONTHLY_SQL
 from gleaner.catalog.views import ORDER, hits, order_columns, r1, r1s, r2, table, with_views
@@ -70,14 +70,17 @@ def src_search_stop(spark, sf):
     return requests.keep_until_short_page(pages, 8).select("category_keyword", "page", "n")
 
 
-PLAN_SQL = """
-SELECT product_uid, category_keyword, cap, CAST(o AS INTEGER) AS "offset", least(8, cap - CAST(o AS INTEGER)) AS "limit"
-FROM (SELECT *, unnest(range(0, cap, 8)) AS o FROM (
-  SELECT *, CAST(least(20, review_count) AS INTEGER) AS cap FROM {0}) WHERE cap > 0)"""
+def plan_sql(source: str, most: int, size: int) -> str:
+    return f"""
+SELECT product_uid, category_keyword, cap, CAST(o AS INTEGER) AS "offset", least({size}, cap - CAST(o AS INTEGER)) AS "limit"
+FROM (SELECT *, unnest(range(0, cap, {size})) AS o FROM (
+  SELECT *, CAST(least({most}, review_count) AS INTEGER) AS cap FROM {source}) WHERE cap > 0)"""
+
+
 PLAN_COLUMNS = ["product_uid", "category_keyword", "cap", "offset", "limit"]
 
 
-@query("src_harvest_plan", with_views("p", PLAN_SQL.format("p")))
+@query("src_harvest_plan", with_views("p", plan_sql("p", 20, 8)))
 def src_harvest_plan(spark, sf):
     return requests.harvest_plan(hits(spark, sf), 20, 8).select(*PLAN_COLUMNS)
 
@@ -85,10 +88,10 @@ def src_harvest_plan(spark, sf):
 @query("pipe_harvest", with_views("p r1", """
 , todo AS (SELECT * FROM p WHERE review_count >= 5 AND NOT EXISTS (
   SELECT 1 FROM r1 WHERE submission_time < TIMESTAMP '1995-04-01'
-    AND replace(product_id, '-P', '') = CAST(product_uid AS VARCHAR)))""" + PLAN_SQL.format("todo")))
+    AND replace(product_id, '-P', '') = CAST(product_uid AS VARCHAR)))""" + plan_sql("todo", K.MAX_REVIEWS_PER_PRODUCT, K.REVIEW_REQUEST_SIZE)))
 def pipe_harvest(spark, sf):
     done = r1(spark, sf).filter(F.col("submission_time") < F.lit("1995-04-01").cast("timestamp_ntz"))
-    return jobs.harvest(hits(spark, sf), done, 20, 5, 8).select(*PLAN_COLUMNS)
+    return jobs.harvest(hits(spark, sf), done).select(*PLAN_COLUMNS)
 
 
 # --- landed JSON --------------------------------------------------------------------------------

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from gleaner import constants as K, schemas
 from gleaner.catalog.registry import query, r6, rounded
-from gleaner.catalog.views import hits, order_columns, r1, r1s, table, with_views
+from gleaner.catalog.texts import words_sql
+from gleaner.catalog.views import events, hits, order_columns, r1, r1s, table, with_views
 from gleaner.functions import dates, scores
+from gleaner.functions.text import raw_tokens
 from gleaner.operators import aggregates, filters, joins, metrics, ranking, sampling, selection, temporal
 from gleaner.session import scratch_path
 from gleaner.sources import requests, sinks
-from gleaner.sources.tables import local_table
+from gleaner.sources.tables import keyword_table, label_table, local_table
 
 
 # --- scans, sinks, projections ------------------------------------------------------------------
@@ -552,10 +554,25 @@ def set_distinct(spark, sf):
     return products.distinct().unionByName(stars.distinct())
 
 
-@query("src_const_tables", with_views("r1s", """
-SELECT pred_idx, pred AS label, CAST(any_value(label_score) AS INTEGER) AS label_score, count(*) AS n
-FROM r1s GROUP BY 1, 2"""))
+_KEYWORD_SQL = ", ".join(f"({i}, '{w}')" for i, w in enumerate(K.CATEGORY_KEYWORDS))
+
+
+@query("src_const_tables", with_views("r1s ev", f"""
+, kw(pos, word) AS (VALUES {_KEYWORD_SQL}),
+seen AS (SELECT doc_id, unnest(list_distinct({words_sql('text')})) AS word FROM documents)
+SELECT 'label' AS kind, pred AS name, pred_idx AS place, CAST(any_value(label_score) AS INTEGER) AS score, count(*) AS n FROM r1s GROUP BY 2, 3
+UNION ALL SELECT 'keyword', kw.word, pos, NULL, count(doc_id) FROM kw LEFT JOIN seen USING (word) GROUP BY 2, 3
+UNION ALL SELECT 'event', event_label, NULL, NULL, count(review_id) FROM ev LEFT JOIN r1 ON CAST(submission_time AS DATE) = event_date GROUP BY 2"""))
 def src_const_tables(spark, sf):
-    from gleaner.sources.tables import label_table
+    """Each constant table joined with rows that use it: classes, documents with a keyword, reviews on the day of an event."""
     counts = r1s(spark, sf).groupBy("pred_idx").agg(F.count(F.lit(1)).alias("n"))
-    return label_table(spark).join(counts, "pred_idx").select("pred_idx", "label", "label_score", "n")
+    labels = label_table(spark).join(counts, "pred_idx").select(
+        F.lit("label").alias("kind"), F.col("label").alias("name"), F.col("pred_idx").alias("place"), F.col("label_score").alias("score"), "n")
+    words = table(spark, sf, "documents").select(F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("category_keyword"))
+    seen = words.join(keyword_table(spark), "category_keyword").groupBy("category_keyword").agg(F.count(F.lit(1)).alias("n"))
+    keywords = keyword_table(spark).join(seen, "category_keyword", "left").select(
+        F.lit("keyword"), "category_keyword", "kw_pos", F.lit(None).cast("int"), F.coalesce("n", F.lit(0).cast("bigint")))
+    days = r1(spark, sf).groupBy(F.to_date("submission_time").alias("event_date")).agg(F.count(F.lit(1)).alias("n"))
+    dated = events(spark).join(days, "event_date", "left").select(
+        F.lit("event"), "event_label", F.lit(None).cast("int"), F.lit(None).cast("int"), F.coalesce("n", F.lit(0).cast("bigint")))
+    return labels.union(keywords).union(dated)

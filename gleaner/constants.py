@@ -56,17 +56,6 @@ CATEGORY_KEYWORDS = [
     "washing powder", "toilet paper", "shampoo",
 ]
 
-# --- fixed values: events (date, label, type, colour); labels leave out retailer names -------------
-EVENTS = [
-    ("2023-03-31", "UK food inflation peaks (19.1%)", "macro", "#D32F2F"),
-    ("2023-04-11", "Loyalty prices launch", "retail", "#F06C00"),
-    ("2023-08-24", "Price match expansion (400+)", "retail", "#F06C00"),
-    ("2024-03-16", "IT outage", "retail", "#D32F2F"),
-    ("2024-05-31", "Food inflation normalises (1.7%)", "macro", "#2E7D32"),
-    ("2024-09-21", "Loyalty prices reach 5,000 products", "retail", "#F06C00"),
-    ("2024-11-05", "Price match in local stores", "retail", "#F06C00"),
-]
-
 # --- fixed values: CSV cells that mean "missing" ----------------------------------------------------
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

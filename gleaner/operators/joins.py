@@ -32,6 +32,10 @@ def attach_keyword(reviews: DataFrame, products: DataFrame,
     return reviews.drop("category_keyword").join(lookup, "product_id")
 
 
+#: Event dates that may become literals of a filter.
+MOST_DATES = 200
+
+
 def event_days(events: DataFrame, days: int = K.EVENT_WINDOW_DAYS) -> DataFrame:
     """Each event unrolled to the days of its window: a range join becomes an equality on days."""
     return (events.withColumn("_offset", F.explode(F.sequence(F.lit(-days), F.lit(days - 1))))
@@ -44,9 +48,15 @@ def in_any_window(reviews: DataFrame, events: DataFrame, days: int = K.EVENT_WIN
     """Reviews whose day lies in the window of some event, as literal ranges on the time column (and on a
     ``year_month`` column of strings), so that files outside are not read.
 
-    The event dates, a short list written by hand, are fetched; windows that overlap become one range.
+    Dates are fetched, windows that overlap become one range. Beyond ``MOST_DATES`` different dates nothing is
+    fetched and the filter is a join with the days of all windows.
     """
-    dates = sorted({r[0] for r in events.select(F.to_date("event_date")).collect() if r[0] is not None})
+    day = F.to_date("event_date")
+    fetched = events.select(day.alias("d")).filter("d IS NOT NULL").distinct().limit(MOST_DATES + 1).collect()
+    if len(fetched) > MOST_DATES:
+        near = event_days(events, days).select("_day").distinct()
+        return reviews.withColumn("_day", F.to_date(time)).join(near, "_day", "left_semi").select(*reviews.columns)
+    dates = sorted(r["d"] for r in fetched)
     ranges: list[list[dt.date]] = []
     for date in dates:
         low, high = date - dt.timedelta(days=days), date + dt.timedelta(days=days)

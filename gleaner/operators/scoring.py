@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleaner import constants as K
 from gleaner.functions import scores
 from gleaner.functions.text import raw_tokens
+from gleaner.session import scratch_path
+from gleaner.sources.sinks import write_stage
 
 Predict = Callable[[list[str], int], "list[list[float]]"]
 
@@ -62,16 +64,24 @@ def score_with_model(df: DataFrame, text: str, loader: Callable[[], Predict],
     return add_class_columns(scored, *z, with_score=with_score).drop("_logits")
 
 
+#: Terms of a lexicon that may be sent to all tasks, and their longest size: about 30 MB at most.
+SMALL_LEXICON, LONGEST_TERM = 200_000, 100
+
+
 def lexicon_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, scale: float = 1.0) -> DataFrame:
     """Scores from a term table (term, w_negative, w_neutral, w_positive).
 
-    Logits are the mean weights over all words of the text. Words are counted per document before they
-    meet the lexicon, so no single token is sent to its term; a lexicon too big to broadcast is met
-    by a sort-merge join with skew splitting.
+    Logits are the mean weights over all words of the text. A lexicon of at most ``SMALL_LEXICON`` terms is sent to the
+    tasks, where the words of a text meet it in place: one short row per text is shuffled. A larger one is met
+    by words counted per document, so that no single token is sent to its term.
     """
-    words = df.select(key, F.explode_outer(raw_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(
-        F.count("term").alias("_times"))
-    weights = words.join(lexicon, "term", "left")
+    words = df.select(key, F.explode_outer(raw_tokens(F.col(text))).alias("term"))
+    stored = write_stage(lexicon, scratch_path(df.sparkSession, "lexicon"))
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("term")).alias("longest")).first()
+    if size["n"] <= SMALL_LEXICON and (size["longest"] or 0) <= LONGEST_TERM:
+        weights = words.withColumn("_times", F.col("term").isNotNull().cast("int")).join(F.broadcast(stored), "term", "left")
+    else:
+        weights = words.groupBy(key, "term").agg(F.count("term").alias("_times")).join(stored, "term", "left")
     sums = weights.groupBy(key).agg(F.sum("_times").alias("_n"), *[
         F.sum(F.coalesce(F.col(f"w_{c}"), F.lit(0)) * F.col("_times")).alias(f"_{c}") for c in K.LABELS])
     z = [F.coalesce(F.try_divide(F.col(f"_{c}") * scale, F.col("_n")), F.lit(0.0)) for c in K.LABELS]
@@ -125,4 +135,5 @@ def classify(df: DataFrame, model, text: str = "full_text") -> DataFrame:
 
 
 def _with_tokens(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_tokens", raw_tokens(F.col(text)))
+    """Tokens of the texts, unless the caller has stored them."""
+    return df if "_tokens" in df.columns else df.withColumn("_tokens", raw_tokens(F.col(text)))

@@ -25,8 +25,8 @@ def keyword_table(spark: SparkSession, extra_keywords=()) -> DataFrame:
     return local_table(spark, rows, schemas.struct(kw_pos="int", category_keyword="string"))
 
 
-def event_table(spark: SparkSession, events=K.EVENTS) -> DataFrame:
-    """Events as (date, label, type, colour); dates are ISO strings."""
+def event_table(spark: SparkSession, events) -> DataFrame:
+    """The caller's events as (date, label, type, colour); dates are ISO strings."""
     rows = [(dt.date.fromisoformat(d), label, kind, color) for d, label, kind, color in events]
     return local_table(spark, rows, schemas.EVENTS)
 

@@ -60,7 +60,9 @@ def test_all_stages(spark, base):
     run("topics", "--reviews", f"{base}/scored", "--out", f"{base}/topics", "--k", "2,3", "--threshold", "0.5", "--min-df", "2")
     assert spark.read.parquet(f"{base}/topics/topics_out").count() == 120
     assert csv("topics/coherence").count() == 2
-    run("temporal", "--reviews", f"{base}/scored", "--topics", f"{base}/topics/topics_out", "--out", f"{base}/temporal")
+    with open(f"{base}/events.csv", "w") as f:
+        f.write("event_date,event_label,event_type,color\n2024-03-16,outage,retail,\n2024-05-31,later,macro,\n")
+    run("temporal", "--reviews", f"{base}/scored", "--topics", f"{base}/topics/topics_out", "--out", f"{base}/temporal", "--events", f"{base}/events.csv")
     assert csv("temporal/event_impact").count() == 1 and csv("temporal/topic_month").count() in (2, 3)
     assert [r["review_count"] for r in csv("temporal/monthly").collect()] == ["160"]
     run("explorer", "--topics", f"{base}/topics", "--out", f"{base}/explorer")

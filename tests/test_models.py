@@ -325,3 +325,11 @@ def test_registry_is_consistent():
     names, sql = set(entry.queries()), set(entry.oracle_sql())
     assert sql <= names and len(names) >= 130
     assert all(itertools.chain([entry.oracle_sql()[n].strip() for n in sql]))
+
+
+def test_large_lexicon_scores_as_a_small_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(w for w in ("good", "bad", "fine", "the") if (i + len(w)) % 3)) for i in range(20)] + [(30, None), (31, "")], "id int, t string")
+    lex = spark.createDataFrame([("good", 0.0, 0.0, 1.0), ("bad", 1.0, 0.0, 0.0), ("fine", 0.0, 1.0, 0.0)], "term string, w_negative double, w_neutral double, w_positive double")
+    small = sorted(map(tuple, scoring.lexicon_score(docs, "id", "t", lex, 3.0).collect()))
+    monkeypatch.setattr(scoring, "SMALL_LEXICON", 2)
+    assert sorted(map(tuple, scoring.lexicon_score(docs, "id", "t", lex, 3.0).collect())) == small and len(small) == 22

@@ -267,3 +267,17 @@ def test_event_windows_are_pushed_to_the_scan(spark, tmp_path):
     assert near.count() == (dt.date(2024, 5, 1) - dt.date(2024, 2, 15)).days + 60
     assert temporal.event_impact(df, events, min_reviews=30).count() == 3
     assert joins.in_any_window(df, events.limit(0)).count() == 0
+
+
+def test_many_event_dates_are_joined_not_listed(spark, rows, monkeypatch):
+    """Ten thousand dates: no literal of the filter names one, and the rows are those of the short list's path."""
+    first = dt.date(2000, 1, 1)
+    events = tables.event_table(spark, [((first + dt.timedelta(days=3 * i)).isoformat(), f"e{i}", "", "") for i in range(10_000)])
+    df = spark.createDataFrame([(dt.datetime(1999, 12, 1), 1), (dt.datetime(1999, 12, 2, 5), 2), (dt.datetime(2050, 1, 1), 3), (dt.datetime(2090, 1, 1), 4), (None, 5)],
+                               "submission_time timestamp, n int")
+    near = joins.in_any_window(df, events)
+    assert "LeftSemi" in near._jdf.queryExecution().optimizedPlan().toString() and rows(near, "n") == [(2,), (3,)]
+    few = events.filter("event_label IN ('e0', 'e6000')")
+    listed = rows(joins.in_any_window(df, few), "n")
+    monkeypatch.setattr(joins, "MOST_DATES", 1)
+    assert rows(joins.in_any_window(df, few), "n") == listed
