@@ -27,6 +27,8 @@ from gleaner.llm.words import hashed_words
 
 #: Texts of one block of items, in bytes; blocks are handed to every task in turn.
 ITEM_BLOCK_BYTES = 4 << 20
+#: Stretches whose words are counted at a time.
+STRETCHES = 1 << 16
 
 INDEX = ("segment string, doc_ids array<bigint>, text_hashes array<bigint>, n_words array<int>, "
          "terms binary, counts binary, positions binary")
@@ -131,40 +133,68 @@ def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[Segment]:
             yield Segment(row)
 
 
-def _phrases_of(segment: Segment, items: list[tuple[str, np.ndarray]], window: int) -> Iterator[pd.DataFrame]:
-    for item_id, words in items:
-        size = min(window, len(words))
-        if not size:
-            continue
-        terms, counts = segment.find(words)
-        spread = np.lib.stride_tricks.sliding_window_view
-        starts = [segment.phrase(terms[s:s + size], counts[s:s + size])
-                  for s in np.flatnonzero(spread(counts, size).min(axis=1) > 0)]
-        places = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+class Items:
+    """The words of a block of items one after the other, and the windows of each item."""
+
+    def __init__(self, ids: list[str], words: np.ndarray, counts: np.ndarray, window: int) -> None:
+        self.ids, self.words = ids, words
+        self.first = np.cumsum(counts) - counts
+        self.sizes = np.minimum(window, counts)
+        n = np.where(counts > 0, counts - self.sizes + 1, 0)
+        self.of = np.repeat(np.arange(len(ids)), n)  # the item of each window, and where it starts
+        self.starts = np.repeat(self.first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.lengths = counts
+        parts = [np.unique(words[f:f + c]) for f, c in zip(self.first, counts)]
+        self.n_distinct = np.array([len(p) for p in parts], dtype=np.int64)
+        self.distinct = np.concatenate(parts) if parts else words[:0]
+
+
+def _phrases_of(segment: Segment, items: Items) -> Iterator[pd.DataFrame]:
+    if not len(items.of):
+        return
+    terms, counts = segment.find(items.words)
+    present = np.append(0, np.cumsum(counts > 0))
+    size = items.sizes[items.of]
+    # Only windows whose words all occur in the segment are looked up.
+    whole = np.flatnonzero(present[items.starts + size] - present[items.starts] == size)
+    for mine in np.split(whole, np.flatnonzero(np.diff(items.of[whole])) + 1) if len(whole) else ():
+        item = items.of[mine[0]]
+        size = int(items.sizes[item])
+        places = np.unique(np.concatenate([segment.phrase(terms[s:s + size], counts[s:s + size]) for s in items.starts[mine]]))
         if not len(places):
             continue
         ords, at = segment.document(places)
         # Windows that overlap or touch are one span.
         new = np.flatnonzero((np.diff(ords, prepend=-1) != 0) | (np.diff(at, prepend=at[0] - size - 1) > size))
         last = np.append(new[1:], len(at)) - 1
-        yield segment.rows(ords[new], item_id, {"start": at[new].astype(np.int32),
-                                                "length": (at[last] + size - at[new]).astype(np.int32)})
-
-
-def _near_of(segment: Segment, items: list[tuple[str, np.ndarray]], given: int | None, share: float) -> Iterator[pd.DataFrame]:
-    for item_id, words in items:
-        span = max(40, 2 * len(words)) if given is None else given
-        words = np.unique(words)
-        need = int(np.ceil(share * len(words)))
-        terms, counts = segment.find(words)
-        order = np.argsort(counts, kind="stable")
-        if not need or (counts > 0).sum() < need:
-            continue
-        # A stretch with enough words holds one of the rarest, so only stretches around those are tried.
-        seeds = [segment.postings(terms[k]) for k in order[: len(words) - need + 1] if counts[k]]
-        if not seeds:
-            continue
-        tried = np.unique((np.concatenate(seeds)[:, None] - np.arange(span)[None, :]).ravel())
+        yield segment.rows(ords[new], items.ids[item], {"start": at[new].astype(np.int32),
+                                                        "length": (at[last] + size - at[new]).astype(np.int32)})
+
+
+def _near_of(segment: Segment, items: Items, given: int | None, share: float) -> Iterator[pd.DataFrame]:
+    terms, counts = segment.find(items.distinct)
+    ends = np.cumsum(items.n_distinct)
+    there = np.append(0, np.cumsum(counts > 0))
+    need = np.ceil(share * items.n_distinct - 1e-9).astype(np.int64)
+    for item in np.flatnonzero((need > 0) & (there[ends] - there[ends - items.n_distinct] >= need)):
+        own = slice(ends[item] - items.n_distinct[item], ends[item])
+        span = max(40, 2 * int(items.lengths[item])) if given is None else given
+        yield from _near(segment, items.ids[item], terms[own], counts[own], int(need[item]), span)
+
+
+def _near(segment: Segment, item_id: str, terms: np.ndarray, counts: np.ndarray, need: int, span: int) -> Iterator[pd.DataFrame]:
+    n, least = len(terms), -(-need // 2)
+    # Of the n - need + least rarest words a stretch with enough words holds at least ``least``.
+    rare = np.argsort(counts, kind="stable")[:n - need + least]
+    merged = np.sort(np.concatenate([segment.postings(terms[k]) for k in rare if counts[k]] or [np.zeros(0, np.int32)])).astype(np.int64)
+    if len(merged) < least:
+        return
+    seeds = merged[:len(merged) - least + 1]
+    seeds = np.unique(seeds[merged[least - 1:] - seeds < span])
+    hits = []
+    for lo in range(0, len(seeds), max(1, STRETCHES // span)):
+        some = seeds[lo:lo + max(1, STRETCHES // span)]
+        tried = np.unique((some[:, None] - np.arange(span)[None, :]).ravel())
         ords, at = segment.document(np.maximum(tried, 0))
         inside = (tried >= 0) & (at >= 0)
         tried, ords = tried[inside], ords[inside]
@@ -173,20 +203,22 @@ def _near_of(segment: Segment, items: list[tuple[str, np.ndarray]], given: int |
         for k in np.flatnonzero(counts > 0):
             posted = segment.postings(terms[k])
             found += np.searchsorted(posted, np.minimum(tried + span, border)) > np.searchsorted(posted, tried)
-        hit = np.flatnonzero(found >= need)
-        if not len(hit):
-            continue
-        # One row for each run of neighbouring stretches: its first with the most words.
-        tried, ords, found = tried[hit], ords[hit], found[hit]
-        run = np.cumsum((np.diff(tried, prepend=tried[0]) > 1) | (np.diff(ords, prepend=ords[0]) != 0))
-        best = pd.DataFrame({"run": run, "less": -found, "at": np.arange(len(run))}).sort_values(
-            ["run", "less", "at"]).drop_duplicates("run")["at"].to_numpy()
-        starts = segment.document(tried[best])[1]
-        yield segment.rows(ords[best], item_id, {
-            "start": starts.astype(np.int32), "n_found": found[best], "n_distinct": np.int32(len(words))})
-
-
-def _search(index: DataFrame, items: DataFrame, schema: str, match) -> DataFrame:
+        good = found >= need
+        hits.append((tried[good], ords[good], found[good]))
+    if not sum(len(h[0]) for h in hits):
+        return
+    tried, ords, found = (np.concatenate(x) for x in zip(*hits))
+    tried, once = np.unique(tried, return_index=True)
+    ords, found = ords[once], found[once]
+    # One row for each run of neighbouring stretches: its first with the most words.
+    run = np.cumsum((np.diff(tried, prepend=tried[0]) > 1) | (np.diff(ords, prepend=ords[0]) != 0))
+    best = pd.DataFrame({"run": run, "less": -found, "at": np.arange(len(run))}).sort_values(
+        ["run", "less", "at"]).drop_duplicates("run")["at"].to_numpy()
+    starts = segment.document(tried[best])[1]
+    yield segment.rows(ords[best], item_id, {"start": starts.astype(np.int32), "n_found": found[best], "n_distinct": np.int32(n)})
+
+
+def _search(index: DataFrame, items: DataFrame, schema: str, match, window: int = 1) -> DataFrame:
     """Union over blocks of items; a block is read by the driver and never larger than its bound
     (but for a single item that is). ``item_id`` and ``text`` are read."""
     spark = index.sparkSession
@@ -198,7 +230,7 @@ def _search(index: DataFrame, items: DataFrame, schema: str, match) -> DataFrame
     for block in range(n_blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
         words, counts = hashed_words([r["text"] for r in mine])
-        sent = spark.sparkContext.broadcast(list(zip([r["item_id"] for r in mine], np.split(words, np.cumsum(counts)[:-1]))) if mine else [])
+        sent = spark.sparkContext.broadcast(Items([r["item_id"] for r in mine], words, np.asarray(counts, dtype=np.int64), window))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for segment in _opened(batches):
@@ -213,12 +245,13 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10) -> Data
     """Spans of document words covered by occurrences of ``window`` consecutive item words (the whole
     item where it has fewer): one row for each longest chain of overlapping or touching windows of
     an item. ``start`` counts words from 0."""
-    return _search(index, items, PHRASES, lambda segment, block: _phrases_of(segment, block, window))
+    return _search(index, items, PHRASES, _phrases_of, window)
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, span: int | None = None, share: float = 0.8) -> DataFrame:
-    """Stretches of at most ``span`` document words (twice the item's words, 40 at least, if not given) that hold at least ``share`` of an item's distinct
-    words in any order: of each run of neighbouring stretches the first that holds the most."""
+    """Stretches of at most ``span`` document words (twice the item's words, 40 at least, if not given) that hold at
+    least ``share`` of an item's distinct words in any order: of each run of neighbouring stretches the first that
+    holds the most."""
     return _search(index, items, PROXIMITY, lambda segment, block: _near_of(segment, block, span, share))
 
 
@@ -238,14 +271,18 @@ def covered_words(spans: str = "spans") -> F.col:
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["n"].cast("bigint"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, near: bool = False) -> DataFrame:
     """One row for each document: doc_id, text_hash, n_words, n_hit (words under any match), item_ids
-    (sorted as strings), contaminated."""
+    (sorted as strings), contaminated; with ``near`` also near_ids, the items most of whose words stand close together."""
     index = build_index(docs)
     hits = phrase_matches(index, items, window).groupBy("segment", "ord").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
         covered_words(F.collect_list(F.struct("start", "length"))).alias("n_hit"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    return indexed_documents(index).join(hits, ["segment", "ord"], "left").select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    found = indexed_documents(index).join(hits, ["segment", "ord"], "left")
+    if near:
+        close = proximity_matches(index, items).groupBy("segment", "ord").agg(F.array_sort(F.collect_set("item_id")).alias("near_ids"))
+        found = found.join(close, ["segment", "ord"], "left")
+    ids = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return found.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), ids("item_ids"), (n_hit > 0).alias("contaminated"),
+                        *([ids("near_ids")] if near else []))

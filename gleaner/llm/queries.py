@@ -31,9 +31,25 @@ covered AS (
 matched AS (
   SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+, needs AS (
+  SELECT row_number() OVER () AS i, item_id, len(list_distinct(w)) AS n, greatest(40, 2 * len(w)) AS span, list_distinct(w) AS d
+  FROM (SELECT DISTINCT item_id, w FROM items WHERE len(w) > 0)),
+item_words AS (SELECT i, unnest(d) AS word FROM needs),
+places AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
+held AS (SELECT DISTINCT r, word FROM places),
+pairs AS (
+  SELECT r, i FROM held JOIN item_words USING (word) GROUP BY r, i
+  HAVING count(*) >= (SELECT ceil(0.8 * n - 1e-9) FROM needs WHERE needs.i = item_words.i)),
+close_by AS (
+  SELECT r, i, span, n, word, p FROM pairs JOIN needs USING (i) JOIN item_words USING (i) JOIN places USING (r, word)),
+stretches AS (
+  SELECT a.r, a.i, a.p, a.n, count(DISTINCT b.word) AS found FROM close_by a
+  JOIN close_by b ON a.r = b.r AND a.i = b.i AND b.p >= a.p AND b.p < a.p + a.span GROUP BY a.r, a.i, a.p, a.n),
+near_items AS (
+  SELECT r, count(DISTINCT item_id) AS n_near_items FROM stretches JOIN needs USING (i) WHERE found >= ceil(0.8 * stretches.n - 1e-9) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN covered USING (r) LEFT JOIN matched USING (r)"""
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN matched USING (r) LEFT JOIN near_items USING (r)"""
 
 
 @query("op1_neighbours")
@@ -45,9 +61,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontamination", _OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents", "doc_id", "text"),
-                                          table(spark, sf_dir, "benchmark", "item_id", "text"))
+                                          table(spark, sf_dir, "benchmark", "item_id", "text"), near=True)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
-                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+                        F.size("near_ids").cast("bigint").alias("n_near_items"))
 
 
 @query("op3_mixing")

@@ -87,3 +87,32 @@ def test_pack_round_trip():
     assert d._unpack(d._pack(v), np.int32).tolist() == v.tolist()
     u = np.array([1, 2**63, 2**64 - 1], dtype=np.uint64)
     assert d._unpack(d._pack(u), np.uint64).tolist() == u.tolist()
+
+
+def test_proximity_equals_brute_force(make):
+    import random
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary[:rng.choice([5, 20, 60])], k=rng.randint(1, 18)))) for i in range(30)] + [(40, ""), (41, None)]
+    texts = []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.choice([0, 3, 40, 200]))
+        if i % 3 == 0:
+            planted = items[i % 30][1].split()
+            rng.shuffle(planted)
+            at = rng.randint(0, len(words))
+            words[at:at] = planted
+        texts.append((i, " ".join(words)))
+    docs = make([doc(i, t) for i, t in texts], DOCS).repartition(3)
+    for span, share in ((None, 0.8), (12, 0.9), (7, 0.5)):
+        got = {(r["doc_id"], r["item_id"]) for r in d.proximity_matches(d.build_index(docs), make(items, "item_id long, text string"), span, share).collect()}
+        want = set()
+        for i, t in texts:
+            words = t.split()
+            for item, text in items:
+                own = set((text or "").split())
+                width = span or max(40, 2 * len((text or "").split()))
+                need = -(-len(own) * round(share * 10) // 10)
+                if own and any(len(own & set(words[s:s + width])) >= need for s in range(len(words))):
+                    want.add((i, str(item)))
+        assert got == want and len(want) > 10
