@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.llm.common import stage, text_hash
 from gleaner.llm.components import connected_components
 
-#: Fingerprints of one subtree at the level where tasks take over.
-SUBTREE = 16384
+#: Fingerprints of one subtree at the level where tasks take over, and the most levels above it. Beyond that many levels
+#: subtrees grow instead, so a fingerprint meets at most a fixed number of others' subtrees (280 of 2,048) and what
+#: is shuffled grows with the number of fingerprints: about 2 KB for each.
+SUBTREE, MOST_BITS = 16384, 11
 #: Node pairs whose subtrees have at most this many pairs of fingerprints are compared directly.
 LEAF_PAIRS = 64
 #: Node pairs walked at a time.
@@ -151,16 +153,16 @@ def join_tries(left: np.ndarray, right: np.ndarray | None, budget: int) -> tuple
     return every[tied], every[forest.root[tied]]
 
 
-def _subtrees(prefix_bits: int):
-    """Sorted runs of one prefix, at most SUBTREE long, from sorted partitions."""
+def _subtrees(prefix_bits: int, longest: int):
+    """Sorted runs of one prefix, at most ``longest`` long, from sorted partitions."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, number = np.zeros(0, dtype=np.uint64), 0
         for b in batches:
             held = np.concatenate([held, b["fp"].to_numpy(dtype=np.int64).view(np.uint64)])
             while len(held):
                 prefix = held >> np.uint64(64 - prefix_bits)
-                n = min(SUBTREE, int(np.searchsorted(prefix, prefix[0], side="right")))
-                if n == len(held) and n < SUBTREE:
+                n = min(longest, int(np.searchsorted(prefix, prefix[0], side="right")))
+                if n == len(held) and n < longest:
                     break  # the next batch may go on with it
                 yield pd.DataFrame({"prefix": [int(prefix[0])], "part": [f"{b['part'].iloc[0]}-{number}"],
                                     "fps": [held[:n].tobytes()]})
@@ -175,18 +177,7 @@ def _subtrees(prefix_bits: int):
 def fingerprint_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
     """``u``, ``v``: links of fingerprints that differ in at most ``budget`` bits, as a forest from each
     pair of subtrees; any two linked fingerprints are in one component of these edges."""
-    n = distinct.count()
-    bits = max(1, math.ceil(math.log2(max(2, n / SUBTREE))))
-    # The sign bit turned over, the order of longs is that of unsigned numbers.
-    ordered = distinct.select("fp").repartitionByRange(F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions(
-        F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))).withColumn("part", F.spark_partition_id())
-    trees = stage(ordered.mapInPandas(_subtrees(bits), "prefix bigint, part string, fps binary"), "subtrees")
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda m: F.bit_count(m) <= budget)
-    left = trees.select(F.col("part").alias("left_part"), F.col("fps").alias("left_fps"), "prefix",
-                        F.explode(masks).alias("mask")).withColumn(
-        "other", F.col("prefix").bitwiseXOR(F.col("mask").cast("bigint"))).filter("other >= prefix").drop("prefix")
-    pairs = left.join(trees.select(F.col("prefix").alias("other"), "part", "fps"), "other").filter(
-        (F.col("mask") != 0) | (F.col("left_part") <= F.col("part")))
+    pairs = _subtree_pairs(distinct, budget)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -198,6 +189,23 @@ def fingerprint_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
     return pairs.select("left_part", "left_fps", "part", "fps").mapInPandas(run, "u bigint, v bigint")
 
 
+def _subtree_pairs(distinct: DataFrame, budget: int) -> DataFrame:
+    """left_part, left_fps, part, fps: all pairs of subtrees whose prefixes differ in few enough bits."""
+    n = distinct.count()
+    bits = min(MOST_BITS, max(1, math.ceil(math.log2(max(2, n / SUBTREE)))))
+    longest = max(SUBTREE, 2 * n >> bits)
+    # The sign bit turned over, the order of longs is that of unsigned numbers.
+    ordered = distinct.select("fp").repartitionByRange(F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions(
+        F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))).withColumn("part", F.spark_partition_id())
+    trees = stage(ordered.mapInPandas(_subtrees(bits, longest), "prefix bigint, part string, fps binary"), "subtrees")
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda m: F.bit_count(m) <= budget)
+    left = trees.select(F.col("part").alias("left_part"), F.col("fps").alias("left_fps"), "prefix",
+                        F.explode(masks).alias("mask")).withColumn(
+        "other", F.col("prefix").bitwiseXOR(F.col("mask").cast("bigint"))).filter("other >= prefix").drop("prefix")
+    return left.join(trees.select(F.col("prefix").alias("other"), "part", "fps"), "other").filter(
+        (F.col("mask") != 0) | (F.col("left_part") <= F.col("part")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, seed: int = 42, keep_hash: bool = False) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (the smallest id of the component) of every row; with
     ``keep_hash`` also ``text_hash`` and ``root`` (a fingerprint that names the component)."""

@@ -77,3 +77,51 @@ def test_components_of_chains_and_stars(spark):
     root = lambda x: got.get(x, x)
     assert len({root(x) for x in range(41)}) == 1 and len({root(x) for x in range(100, 180)}) == 1
     assert root(0) != root(100) and 500 not in got
+
+
+def test_subtrees_grow_so_that_the_shuffle_stays_in_proportion(spark, monkeypatch):
+    """Bytes of all subtree pairs a fingerprint: with ever more levels they grow with the input, with bounded ones they do not."""
+    monkeypatch.setattr(simhash, "SUBTREE", 16)
+    rng = np.random.default_rng(6)
+
+    def bytes_each(n):
+        fps = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+        return simhash._subtree_pairs(df, 4).selectExpr("sum(length(left_fps) + length(fps))").first()[0] / len(fps)
+
+    monkeypatch.setattr(simhash, "MOST_BITS", 6)
+    small, large = bytes_each(2_000), bytes_each(16_000)
+    assert large < 1.3 * small
+    monkeypatch.setattr(simhash, "MOST_BITS", 60)
+    assert bytes_each(16_000) > 1.8 * small
+
+
+def test_bounded_levels_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    fps = {int(b) for b in base}
+    for b in base[:80]:
+        for _ in range(3):
+            x = int(b)
+            for bit in rng.choice(64, rng.integers(1, 6), replace=False):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    values = np.array(sorted(fps), dtype=np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
+
+    def groups():
+        root = {int(v): int(v) for v in values.view(np.int64)}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for r in simhash.fingerprint_links(df, 4).collect():
+            a, b = top(r["u"]), top(r["v"])
+            root[max(a, b)] = min(a, b)
+        return sorted(sorted(k for k in root if top(k) == t) for t in {top(k) for k in root})
+
+    want = groups()
+    monkeypatch.setattr(simhash, "SUBTREE", 8)
+    monkeypatch.setattr(simhash, "MOST_BITS", 3)
+    assert groups() == want and max(map(len, want)) >= 4
