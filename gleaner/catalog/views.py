@@ -26,7 +26,7 @@ EVENT_ROWS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. The text tables come in one row group each, so their rows are dealt out."""
+    """A given table. Text tables that come in fewer parts than there are cores are dealt out."""
     texts = name in ("documents", "pages")
     return read_table(spark, f"{sf_dir}/{name}.parquet", spark.sparkContext.defaultParallelism if texts else None)
 

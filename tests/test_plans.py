@@ -49,3 +49,17 @@ def test_ranked_queries_limit_groups_before_the_shuffle(plans, name):
 def test_texts_are_tokenised_once(plans):
     assert plans["flt_min_tokens"].optimizedPlan().toString().count("regexp_extract_all") <= 2
     assert plans["agg_doc_freq"].optimizedPlan().toString().count("regexp_extract_all") == 2  # the total reuses the shuffle
+
+
+def test_text_tables_are_dealt_out_only_when_their_scan_is_narrow(spark, tmp_path):
+    from gleaner.sources.scan import read_table
+    rows = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', 50) AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(12).write.parquet(str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        plan = lambda name: read_table(spark, str(tmp_path / name), 8)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan("one") and "Exchange" not in plan("many")
+        assert read_table(spark, str(tmp_path / "one")).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
