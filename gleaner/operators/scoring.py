@@ -64,22 +64,22 @@ def score_with_model(df: DataFrame, text: str, loader: Callable[[], Predict],
     return add_class_columns(scored, *z, with_score=with_score).drop("_logits")
 
 
-#: Terms of a lexicon that may be sent to all tasks, and their longest size: about 30 MB at most.
+#: Terms of a lexicon that Spark will send to all tasks, and their longest size: some MB when stored.
 SMALL_LEXICON, LONGEST_TERM = 200_000, 100
 
 
 def lexicon_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, scale: float = 1.0) -> DataFrame:
     """Scores from a term table (term, w_negative, w_neutral, w_positive).
 
-    Logits are the mean weights over all words of the text. A lexicon of at most ``SMALL_LEXICON`` terms is sent to the
-    tasks, where the words of a text meet it in place: one short row per text is shuffled. A larger one is met
-    by words counted per document, so that no single token is sent to its term.
+    Logits are the mean weights over all words of the text. A lexicon of at most ``SMALL_LEXICON`` terms is stored, so that Spark
+    knows its size and sends it to the tasks, where the words of a text meet it in place: one short row per text is
+    shuffled. A larger one is met by words counted per document, so that no single token is sent to its term.
     """
     words = df.select(key, F.explode_outer(raw_tokens(F.col(text))).alias("term"))
     stored = write_stage(lexicon, scratch_path(df.sparkSession, "lexicon"))
     size = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("term")).alias("longest")).first()
     if size["n"] <= SMALL_LEXICON and (size["longest"] or 0) <= LONGEST_TERM:
-        weights = words.withColumn("_times", F.col("term").isNotNull().cast("int")).join(F.broadcast(stored), "term", "left")
+        weights = words.withColumn("_times", F.col("term").isNotNull().cast("int")).join(stored, "term", "left")
     else:
         weights = words.groupBy(key, "term").agg(F.count("term").alias("_times")).join(stored, "term", "left")
     sums = weights.groupBy(key).agg(F.sum("_times").alias("_n"), *[

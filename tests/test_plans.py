@@ -8,7 +8,8 @@ SF = "/root/testdata/sf0.001"
 # These run jobs while they are built (writers, streams, model fits); their parts are covered by other names.
 EAGER = {n for n in QUERIES if n.startswith(("st_", "snk_csv", "snk_incremental", "src_reviews_csv", "src_products_csv"))} | {
     "ml_text_classifier", "pipe_validate", "tm_coherence_cv", "tm_fit_lda", "tm_select_k", "tm_top_words", "tm_doc_topics",
-    "pipe_topics", "pipe_explorer", "tm_explorer_export"}
+    "pipe_topics", "pipe_explorer", "tm_explorer_export", "tm_em_step", "tm_fit_learned", "tm_topic_map", "agg_exact_quantiles",
+    "win_sample_sketch", "src_paged_search"}
 
 
 @pytest.fixture(scope="module")
