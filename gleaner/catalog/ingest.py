@@ -369,6 +369,18 @@ def st_incremental_ingest(spark, sf):
     return _ingest(spark, sf, "json")
 
 
+@query("snk_committed", with_views("r1", REVIEWS_SQL))
+def snk_committed(spark, sf):
+    """Two batches, and the remains of a third whose writer was killed before its end."""
+    landing, out, check = (scratch_path(spark, n) for n in ("landing", "reviews", "progress"))
+    schema = responses.with_keyword(schemas.REVIEW_RESPONSE)
+    for _ in _land_in_two(review_responses(spark, sf), F.col("category_keyword") < "M", landing, "parquet"):
+        incremental.ingest(spark, landing, schema, responses.flatten_reviews, out, check, "parquet")
+    first = incremental.read_committed(spark, out).filter("ingest_batch = 0").drop("ingest_batch")
+    first.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/ingest_batch=99")
+    return incremental.read_committed(spark, out).drop("ingest_batch")
+
+
 @query("snk_incremental", with_views("r1", f"""
 SELECT product_id, count(*) AS n FROM ({REVIEWS_SQL}) GROUP BY 1"""))
 def snk_incremental(spark, sf):

@@ -40,11 +40,12 @@ def add_class_columns(df: DataFrame, z0: Column, z1: Column, z2: Column,
 
 def score_with_model(df: DataFrame, text: str, loader: Callable[[], Predict],
                      batch_size: int = K.SCORE_BATCH, max_tokens: int = K.MAX_MODEL_TOKENS,
-                     with_score: bool = True) -> DataFrame:
+                     with_score: bool = True, by_length: bool = True) -> DataFrame:
     """Batched three-class inference with the caller's model.
 
     ``loader()`` runs once per task and returns ``predict(texts, max_tokens) -> logits``, one row
-    of three per text. Only the text column travels to Python (Arrow batches); Spark itself puts
+    of three per text. A model pads a batch to its longest text, so with ``by_length`` texts of like length share one
+    (``padding_report`` tells what that saves). Only the text column travels to Python (Arrow batches); Spark itself puts
     each result back on its row. Filter before scoring: Spark cannot push filters through it.
     """
 
@@ -53,9 +54,12 @@ def score_with_model(df: DataFrame, text: str, loader: Callable[[], Predict],
         predict = loader()
         for texts in batches:
             values = texts.fillna("").astype(str).tolist()
-            rows = []
+            order = length_order(values, max_tokens) if by_length else list(range(len(values)))
+            rows: list = [None] * len(values)
             for start in range(0, len(values), batch_size):
-                rows.extend(predict(values[start:start + batch_size], max_tokens))
+                mine = order[start:start + batch_size]
+                for i, row in zip(mine, predict([values[i] for i in mine], max_tokens), strict=True):
+                    rows[i] = row
             yield pd.DataFrame(rows, columns=["neg", "neu", "pos"], dtype="float64")
 
     # Without this, each of the three fields would call the model again.
@@ -64,6 +68,26 @@ def score_with_model(df: DataFrame, text: str, loader: Callable[[], Predict],
     return add_class_columns(scored, *z, with_score=with_score).drop("_logits")
 
 
+def length_order(texts: list[str], max_tokens: int) -> list[int]:
+    """Places of the texts, shortest first; as far as a model reads them, in words."""
+    lengths = [min(len(t.split()), max_tokens) for t in texts]
+    return sorted(range(len(texts)), key=lengths.__getitem__)
+
+
+def padding_report(df: DataFrame, text: str, batch_size: int = K.SCORE_BATCH, max_tokens: int = K.MAX_MODEL_TOKENS) -> DataFrame:
+    """(words, plain, by_length): words that are read, and cells of the model's batches with texts as they come and by length."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            values = b[text].fillna("").astype(str).tolist()
+            n = [min(len(t.split()), max_tokens) for t in values]
+            cells = [sum(len(part) * max(n[i] for i in part) for part in (order[s:s + batch_size] for s in range(0, len(n), batch_size)))
+                     for order in (list(range(len(n))), length_order(values, max_tokens))]
+            yield pd.DataFrame({"words": [sum(n)], "plain": [cells[0]], "by_length": [cells[1]]})
+
+    parts = df.select(text).mapInPandas(count, "words bigint, plain bigint, by_length bigint")
+    return parts.agg(*[F.sum(c).alias(c) for c in ("words", "plain", "by_length")])
+
+
 #: Terms of a lexicon that Spark will send to all tasks, and their longest size: some MB when stored.
 SMALL_LEXICON, LONGEST_TERM = 200_000, 100
 

@@ -56,6 +56,21 @@ def run_batches(stream: DataFrame, out: str, checkpoint: str,
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def read_committed(spark: SparkSession, out: str) -> DataFrame:
+    """The batches of ``out`` that were written to their end, as Spark's marker in the folder of each says.
+
+    A batch that is being written, or whose writer was killed, is not seen; its retry replaces the folder and sets the
+    marker. So a killed and a repeated batch leave the same rows as one clean run.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().toString() for f in files.listStatus(where) if f.isDirectory()]  # one per batch
+    done = [n for n in names if path_exists(spark, f"{n}/_SUCCESS")]
+    if not done:
+        raise ValueError(f"{out} has no finished batch")
+    return spark.read.option("basePath", out).parquet(*done)
+
+
 def ingest(spark: SparkSession, source: str, schema: T.StructType, flatten: Callable[[DataFrame], DataFrame],
            out: str, checkpoint: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
     """Flatten newly landed responses into the table at ``out`` and return that table; its column

@@ -51,3 +51,18 @@ def test_the_provider_setting_is_put_back(drops, spark):
     before = spark.conf.get(incremental._PROVIDER)
     drops([("a", 1, "t")])
     assert spark.conf.get(incremental._PROVIDER) == before
+
+
+def test_only_finished_batches_are_read(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = lambda *ids: spark.createDataFrame([(i, 1, "t") for i in ids], SCHEMA)
+    rows("a", "b").write.parquet(f"{out}/ingest_batch=0")
+    rows("c", "half").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/ingest_batch=1")
+    read = lambda: sorted((r["review_id"], r["ingest_batch"]) for r in incremental.read_committed(spark, out).collect())
+    assert read() == [("a", 0), ("b", 0)]
+    for _ in range(2):  # the retry, and one more
+        rows("c", "d").write.mode("overwrite").parquet(f"{out}/ingest_batch=1")
+        assert read() == [("a", 0), ("b", 0), ("c", 1), ("d", 1)]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no finished batch"):
+        incremental.read_committed(spark, str(tmp_path / "none"))

@@ -333,3 +333,17 @@ def test_large_lexicon_scores_as_a_small_one(spark, monkeypatch):
     small = sorted(map(tuple, scoring.lexicon_score(docs, "id", "t", lex, 3.0).collect()))
     monkeypatch.setattr(scoring, "SMALL_LEXICON", 2)
     assert sorted(map(tuple, scoring.lexicon_score(docs, "id", "t", lex, 3.0).collect())) == small and len(small) == 22
+
+
+def test_batches_by_length_pad_less_and_score_the_same(spark):
+    def loader():
+        def predict(texts, max_tokens):
+            return [[float(len(t)), float(t.count("a")), float(len(t.split()[:max_tokens]))] for t in texts]
+        return predict
+
+    docs = spark.createDataFrame([(i, None if i % 50 == 7 else "a b " * (i * 7919 % 211)) for i in range(500)], "id int, t string").repartition(3)
+    scored = lambda by_length: sorted(map(tuple, scoring.score_with_model(docs, "t", loader, 16, 128, by_length=by_length).collect()), key=lambda r: r[0])
+    assert scored(True) == scored(False)
+    row = scoring.padding_report(docs, "t", 16, 128).first()
+    assert row["words"] <= row["by_length"] < 1.1 * row["words"] < row["plain"]
+    assert scoring.length_order(["a b c", "", "a " * 9, "a b"], 2) == [1, 0, 2, 3]
