@@ -29,30 +29,34 @@ from gleaner.llm.common import stage
 # Forms of address by gender, and given names that are recognised without one.
 _MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος")
 _FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία")
+#: Forms of address of either gender: the name that follows tells, by the list below or its last letter.
+_EITHER = ("Dr", "Prof", "Doctor", "Professor")
 _MALE_GIVEN = ("James John Robert Michael William David Richard Thomas Charles Daniel Matthew Peter Paul Hans Klaus Jürgen Pierre Jean "
                "Jacques Carlos José Juan Luis Иван Сергей Алексей Дмитрий Γιώργος Νίκος").split()
 _FEMALE_GIVEN = ("Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Anna Emily Laura Julia Petra Sabine Ursula Marie Sophie "
                  "Claire María Carmen Lucía Анна Елена Ольга Мария Ελένη Μαρία").split()
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: What follows such a word in prose: one small English word.
+_PROSE = r"[a-z]{1,14}(?:[\s.,;!?]|$)"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 
 #: Kinds and what their mentions look like, tried in this order at each place of a text.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": rf"(?<![A-Za-z])(?=[pPsStTaA])(?:{_SECRET})[^\s\"',;=:]{{5,}}[^\s\"',;=:.]",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z])(?=[pPsStTaA])(?:{_SECRET})(?!{_PROSE})[^\s\"',;=:]{{5,}}[^\s\"',;=:.]",
+    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[opsu]_|glpat-|xox[abp]-|sk-(?:live-|test-|proj-)?)(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{16,255})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     # An address behind a number is no group of it.
     "card": rf"(?<![\w.,+-])\d(?:(?:[ -](?!(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)))?\d){{12,18}}(?![\w])",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "ip": rf"(?<![\w.])(?<![vV]ersion )(?<![rR]elease )(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     # A group that goes on with a point and a digit belongs to an address, not to the number before it.
     "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\w])"
              r"|(?<![\w+])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{1,4}(?:[ -]?\d{2,4}(?!\d*\.\d)){1,4}(?![\w])"
              r"|(?<![\w+])\+\d{1,3}(?:\.\d{2,4}){2,4}(?![\w])"
              r"|(?<![\w])\(\d{3}\) ?\d{3}-\d{4}(?![\w])|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(_MALE + _FEMALE)})\.?\s{_NAME}|(?:{'|'.join(_MALE_GIVEN + _FEMALE_GIVEN)})(?=\s{_NAME}))(?:\s{_NAME}){{0,2}}(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(_MALE + _FEMALE + _EITHER)})\.?\s{_NAME}|(?:{'|'.join(_MALE_GIVEN + _FEMALE_GIVEN)})(?=\s{_NAME}))(?:\s{_NAME}){{0,2}}(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Kinds that are checked after they are found, and what may stand between their groups.
@@ -153,7 +157,8 @@ def _proposal(key: str) -> Column:
     n = F.length(c)
     tail = lambda k: F.substring(c, F.lit(k + 1), n)
     domain = F.substring_index(c, "@", -1)
-    top = F.substring_index(c, ".", -1)
+    # The last label, or two where the second last only says what kind of holder the country's names have.
+    top = F.regexp_extract(domain, r"\.((?:co|com|org|net|ac|gov|edu)\.[a-z]{2}|[A-Za-z]{2,24})$", 1)
     card = F.concat(F.substring(c, 1, 1), _same_class(F.substring(c, F.lit(2), n - 2), g))
     bban = _same_class(tail(4), g)
     country = F.substring(c, 1, 2)
@@ -162,20 +167,26 @@ def _proposal(key: str) -> Column:
     number = F.substring(c, ahead + 1, n)
     first = (2 + _byte(g, F.lit(62)) % 8).cast("string")
     octet = lambda i: ((_byte(g, F.lit(2 * i)) * 256 + _byte(g, F.lit(2 * i + 1))) % 254 + 1).cast("string")
+    # Private and loopback addresses stay so, and others become others (first numbers 11 to 110), while there is room.
+    near = F.regexp_extract(c, r"^(10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 1)
+    rest = F.slice(F.array(octet(0), octet(1), octet(2), octet(3)), F.size(F.split(near, r"\.")) + 1, 4)
+    far = F.concat_ws(".", (11 + _byte(g, F.lit(40)) % 100).cast("string"), octet(1), octet(2), octet(3))
+    address = F.when((near != "") & (turn < 8), F.concat_ws(".", near, F.array_join(rest, "."))).otherwise(far)
     local = F.substring_index(c, "@", 1)
     # Later proposals of addresses and secrets are longer, by letters that a hexadecimal value may hold.
     more = _hexadecimal(F.repeat(F.lit("x"), F.floor(turn / 4).cast("int")), F.sha2(g, 256))
     email = F.concat(_same_class(local, g), more, F.lit("@"), _same_class(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), g, 31), top)
+    head = F.regexp_extract(c, r"^(?:AKIA|ASIA|gh[opsu]_|glpat-|xox[abp]-|sk-(?:live-|test-|proj-)?)", 0)
     script = F.substring_index(kind, "/", -1)
     word = F.lit(None).cast("string")
     for k in _ENDS:
         word = F.when(kind.startswith(k), _made_up(k, g, turn)).otherwise(word)
     word = F.when(script == "cyrillic", F.translate(word, _LATIN, _CYRILLIC)).when(script == "greek", F.translate(word, _LATIN, _GREEK)).otherwise(word)
-    return F.when(kind == "email", email).when(kind == "key", F.concat(F.substring(c, 1, 4), _same_class(tail(4), g))).when(
+    return F.when(kind == "email", email).when(kind == "key", F.concat(head, _same_class(F.substring(c, F.length(head) + 1, n), g))).when(
         kind == "secret", F.concat(F.when(c.rlike("^[0-9a-f]+$"), _hexadecimal(c, g)).otherwise(_same_class(c, g, scripts=True)), more)).when(
         kind == "iban", F.concat(country, check, bban)).when(
         kind == "card", F.concat(card, F.pmod(10 - F.pmod(_luhn(F.concat(card, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))).when(
-        kind == "ip", F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))).when(
+        kind == "ip", address).when(
         kind == "phone", F.concat(F.substring(c, F.lit(1), ahead), first, _same_class(F.substring(number, F.lit(2), F.length(number)), g))).when(
         kind == "ssn", _same_class(c, g)).otherwise(word)
 
@@ -248,8 +259,10 @@ def _parts(mention: Column) -> Column:
     none = F.array().cast("array<struct<kind:string,canonical:string>>")
     words = F.split(mention, r"\s")
     address = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
-    titled = address.isin(*_MALE, *_FEMALE)
-    female = address.isin(*_FEMALE, *_FEMALE_GIVEN)
+    titled = address.isin(*_MALE, *_FEMALE, *_EITHER)
+    given = F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    female = address.isin(*_FEMALE, *_FEMALE_GIVEN) | (
+        address.isin(*_EITHER) & ~given.isin(*_MALE_GIVEN) & (given.isin(*_FEMALE_GIVEN) | given.rlike("[aаα]$")))
     named = F.when(titled, F.slice(words, 2, 9)).otherwise(words)
     script = F.when(mention.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(mention.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
     # The last word is the surname, those before are given names.

@@ -127,3 +127,26 @@ def test_rows_columns_and_empty(make):
     assert rows.columns == [*df.columns, "n_replaced", "kinds"]
     assert len({r["text"] for r in rows.collect()}) == 1 and rows.count() == 3
     assert surrogates.pseudonymise(make([], DOCS), KEY).collect() == []
+
+
+def test_prose_and_versions_stay(make):
+    texts = ["Password: required for entry", "token: economy of words", "The secret = patience.", "In version 1.2.3.4 and release 2.0.0.1 it was mended."]
+    got = run(make, texts)
+    assert [got[i]["text"] for i in range(len(texts))] == texts
+    for text, value in (("password: hunter2x", "hunter2x"), ("secret=Tr0ub4dor&3", "Tr0ub4dor"), ("token: \"a8f5f167f44f4964\"", "a8f5f167f44f4964")):
+        assert value not in run(make, [text])[0]["text"]
+
+
+def test_vendor_keys_titles_address_classes_and_country_suffixes(make):
+    texts = ["ghp_abcdEFGH1234ijklMNOP5678qrstUVWX9012 here", "sk-live-4eC39HqLyjWDarjtT1zdp7dc too", "Dr. Alicia Johnson met Prof. Kafka and Dr Boris Petrov.",
+             "hosts 10.0.0.1, 192.168.7.9, 172.20.1.1, 127.0.0.1 and 8.8.8.8", "write to ann.lee@shop7.example.co.uk today", "glpat- and sk-only are none"]
+    got = {i: r["text"] for i, r in run(make, texts).items()}
+    assert re.fullmatch(r"ghp_[a-z]{4}[A-Z]{4}\d{4}[a-z]{4}[A-Z]{4}\d{4}[a-z]{4}[A-Z]{4}\d{4} here", got[0]) and got[0] != texts[0]
+    assert re.fullmatch(r"sk-live-\w{24} too", got[1]) and got[1] != texts[1]
+    assert re.fullmatch(r"Dr\. [A-Z][a-z]+a [A-Z][a-z]+ met Prof\. [A-Z][a-z]+ and Dr [A-Z][a-z]+[nrslt] [A-Z][a-z]+\.", got[2])
+    assert not re.search("Alicia|Johnson|Kafka|Boris|Petrov", got[2])
+    a, b, c, d, e = re.findall(r"\d+\.\d+\.\d+\.\d+", got[3])
+    assert a.startswith("10.") and b.startswith("192.168.") and c.startswith("172.20.") and d.startswith("127.")
+    assert 11 <= int(e.split(".")[0]) <= 110 and {a, b, c, d, e}.isdisjoint(re.findall(r"\d+\.\d+\.\d+\.\d+", texts[3]))
+    assert re.fullmatch(r"write to [a-z]{3}\.[a-z]{3}@[a-z]{4}\d\.[a-z]{7}\.co\.uk today", got[4]) and got[4] != texts[4]
+    assert got[5] == texts[5]
