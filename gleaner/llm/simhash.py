@@ -193,7 +193,7 @@ def _subtree_pairs(distinct: DataFrame, budget: int) -> DataFrame:
     """left_part, left_fps, part, fps: all pairs of subtrees whose prefixes differ in few enough bits."""
     n = distinct.count()
     bits = min(MOST_BITS, max(1, math.ceil(math.log2(max(2, n / SUBTREE)))))
-    longest = max(SUBTREE, 2 * n >> bits)
+    longest = SUBTREE if bits < MOST_BITS else max(SUBTREE, 2 * n >> bits)
     # The sign bit turned over, the order of longs is that of unsigned numbers.
     ordered = distinct.select("fp").repartitionByRange(F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions(
         F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))).withColumn("part", F.spark_partition_id())
