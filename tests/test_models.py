@@ -347,3 +347,23 @@ def test_batches_by_length_pad_less_and_score_the_same(spark):
     row = scoring.padding_report(docs, "t", 16, 128).first()
     assert row["words"] <= row["by_length"] < 1.1 * row["words"] < row["plain"]
     assert scoring.length_order(["a b c", "", "a " * 9, "a b"], 2) == [1, 0, 2, 3]
+
+
+def test_window_masks_are_counted_in_batches_of_documents(spark, rows):
+    """Short, long, empty and null documents; no window runs over the end of a document, and no array function per token."""
+    docs = [["a", "x", "b"], [], None, ["x"] * 3 + ["a", "b"] * 2, ["b"]]
+    df = spark.createDataFrame([(d,) for d in docs], "tokens array<string>").coalesce(1)
+    masks = coherence.window_masks(df, {0: ["a", "b"], 3: ["b"]}, window=3)
+    want = {}
+    for d in docs:
+        for i in range(max(1, len(d) - 2) if d else 0):
+            for topic, ws in ((0, ["a", "b"]), (3, ["b"])):
+                key = topic, sum(1 << j for j, w in enumerate(ws) if w in d[i:i + 3])
+                want[key] = want.get(key, 0) + 1
+    assert rows(masks) == sorted(((t, m, n) for (t, m), n in want.items()), key=repr)
+    assert "zip_with" not in masks._jdf.queryExecution().toString()
+
+
+def test_slices_hold_whole_documents(monkeypatch):
+    monkeypatch.setattr(coherence, "SLICE_TOKENS", 5)
+    assert list(coherence._slices(coherence.np.array([0, 9, 9, 11, 14, 15]))) == [(0, 1), (1, 4), (4, 5)]
