@@ -146,15 +146,32 @@ def pipe_discover(spark, sf):
     return jobs.discover(search_responses(spark, sf))["products"]
 
 
-def landed_fetch(path, keys, body="body"):
-    """A fetch function over landed responses: the stored body for the asked keys, or that of a page without hits."""
+#: Neighbouring pages of a search that share a folder, so that a request reads one small folder however many pages there are.
+FOLDER_PAGES = 50
+
+
+def land_pages(pages, path):
+    """Write search pages (category_keyword, page, body) where ``landed_fetch`` finds them; returns the keywords and pages."""
+    folders = {"keyword_md5": F.md5("category_keyword"), "folder": F.floor(F.col("page") / FOLDER_PAGES)}
+    return sinks.write_stage(pages.withColumns(folders), path, list(folders)).select("category_keyword", "page")
+
+
+def landed_fetch(path):
+    """A fetch function over landed search pages: the stored body of the asked page, or that of a page without hits."""
     def fetch(request):
+        import hashlib
+
         import pyarrow.dataset as ds
-        cond = None
-        for k in keys:
-            one = ds.field(k) == request[k]
-            cond = one if cond is None else cond & one
-        found = ds.dataset(path, format="parquet").to_table(columns=[body], filter=cond).column(0).to_pylist()
+        keyword, page = request["category_keyword"], request["page"]
+        if keyword is None:
+            return "{}"
+        folder = f"{path}/keyword_md5={hashlib.md5(keyword.encode()).hexdigest()}/folder={page // FOLDER_PAGES}"
+        try:
+            found = ds.dataset(folder, format="parquet")
+        except FileNotFoundError:
+            return "{}"
+        cond = (ds.field("category_keyword") == keyword) & (ds.field("page") == page)
+        found = found.to_table(columns=["body"], filter=cond).column(0).to_pylist()
         return found[0] if found else "{}"
     return fetch
 
@@ -174,11 +191,10 @@ def src_paged_search(spark, sf):
     pages = p.withColumn("rn", rank).groupBy("category_keyword", (F.floor(F.col("rn") / 60) + 1).cast("int").alias("page")).agg(
         F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("rn", product.alias("p")))), lambda x: x["p"]).alias("products"))).alias("body"))
     path = scratch_path(spark, "landed-search")
-    pages.coalesce(1).write.parquet(path)
-    landed = spark.read.parquet(path)
+    landed = land_pages(pages, path)
     last = landed.agg(F.max("page")).first()[0] or 0
     plan = requests.search_plan(landed.select("category_keyword").distinct(), last + 3)
-    asked = sinks.write_stage(paged.search_pages(plan, landed_fetch(path, ["category_keyword", "page"])), scratch_path(spark, "pages"))
+    asked = sinks.write_stage(paged.search_pages(plan, landed_fetch(path)), scratch_path(spark, "pages"))
     return responses.flatten_search(paged.search_responses(asked), ["page"])
 
 

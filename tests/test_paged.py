@@ -100,3 +100,21 @@ def test_empty_plan_and_answers_that_are_no_json(spark, tmp_path):
     one = requests.search_plan(spark.createDataFrame([("tea",)], "category_keyword string"), 2, 3)
     row, = paged.search_pages(one, fetcher(tmp_path, ["page"]), attempts=1).collect()
     assert row["error"].startswith("JSONDecodeError") and row["response"] is None
+
+
+def test_landed_pages_are_read_from_small_folders(spark, tmp_path, monkeypatch):
+    """A request reads the neighbours of its page, not all pages that landed."""
+    import glob
+
+    from gleaner.catalog import ingest
+
+    monkeypatch.setattr(ingest, "FOLDER_PAGES", 2)
+    rows = [(k, p, json.dumps({"products": [f"{k}{p}"]})) for k in ("a b/ü", "c") for p in range(1, 8)] + [(None, 1, "{}")]
+    landed = ingest.land_pages(spark.createDataFrame(rows, "category_keyword string, page int, body string"), str(tmp_path / "pages"))
+    assert landed.count() == 15
+    folders = glob.glob(str(tmp_path / "pages/*/*"))
+    assert max(spark.read.parquet(f).count() for f in folders) == 2
+    fetch = ingest.landed_fetch(str(tmp_path / "pages"))
+    for k, p, body in rows[:-1]:
+        assert fetch({"category_keyword": k, "page": p}) == body
+    assert [fetch({"category_keyword": k, "page": p}) for k, p in (("c", 8), ("c", 50), ("d", 1), (None, 1))] == ["{}"] * 4
