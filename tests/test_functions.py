@@ -149,3 +149,12 @@ def test_confident_negative_at_the_threshold(spark):
     df = spark.createDataFrame([("negative", 0.8), ("negative", 0.81), ("positive", 0.9), (None, 0.9)], "p string, c double")
     count = lambda strict: df.filter(scores.is_confident_negative(F.col("p"), F.col("c"), strict=strict)).count()
     assert (count(False), count(True)) == (2, 1)
+
+
+def test_patterns_run_only_on_texts_that_hold_their_words(spark):
+    rows = ["see http://a.b/c now", "www.x cannot", "wannabe gonna gimme5", "a WWW. http", "plain", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").coalesce(1)
+    got = df.select(tx.strip_urls(F.col("t")), tx.split_joined(F.col("t")))
+    want = df.select(F.regexp_replace("t", tx._URL, " "), F.regexp_replace("t", tx._JOINED, "$1 "))
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    assert "contains" in got._jdf.queryExecution().toString().lower()
