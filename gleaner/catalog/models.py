@@ -195,8 +195,10 @@ def lang_phi(docs):
 
 
 def lang_freq(spark, sf):
-    docs = lang_docs(spark, sf)
-    return explorer.term_frequency(lang_phi(docs), explorer.topic_mass_of(docs))
+    """Read several times by each query, so the documents' terms are counted once and stored."""
+    docs = _stored_lang_docs(spark, sf)
+    phi = write_stage(lang_phi(docs), scratch_path(spark, "language-terms"))
+    return explorer.term_frequency(phi, explorer.topic_mass_of(docs))
 
 
 @query("win_top_terms", with_views("r2", LANG_SQL + """
