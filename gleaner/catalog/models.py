@@ -583,7 +583,8 @@ def _explorer_lines(tables_):
 
 def _lang_explorer(spark, sf):
     docs = _stored_lang_docs(spark, sf)
-    return jobs.explorer_tables(docs, {"phi": lang_phi(docs), "k": 4}, digits=9)
+    phi = write_stage(lang_phi(docs), scratch_path(spark, "language-terms"))
+    return jobs.explorer_tables(docs, {"phi": phi, "k": 4}, digits=9)
 
 
 @query("pipe_explorer", with_views("r2", LANG_SQL + EXPLORER_SQL))
