@@ -10,7 +10,9 @@ from gleaner.catalog.views import r2, table, with_views
 from gleaner.functions import text as tx
 from gleaner.operators import aggregates, filters, vocabulary
 from gleaner.plans import jobs
+from gleaner.session import scratch_path
 from gleaner.sources import responses
+from gleaner.sources.sinks import write_stage
 
 
 def order():
@@ -268,7 +270,7 @@ def agg_doc_freq(spark, sf):
 @query("agg_bow", with_views("r2", DOCS_SQL + """
 SELECT seq, term, count(*) AS n FROM words WHERE term IN (SELECT term FROM vocab) GROUP BY 1, 2"""))
 def agg_bow(spark, sf):
-    docs = corpus(spark, sf)
+    docs = write_stage(corpus(spark, sf), scratch_path(spark, "corpus"))  # read for the vocabulary and for the bags
     return vocabulary.bag_of_words(docs, vocabulary.vocabulary(docs), "seq")
 
 
