@@ -303,7 +303,8 @@ FROM d LEFT JOIN (SELECT p.seq, p.pos, l.lemma FROM placed p JOIN lemmas l USING
 def fn_lemmatize_lexicon(spark, sf):
     # The corpus vocabulary is the lexicon: a plural is reduced when its singular also occurs.
     kept = tx.drop_short_and_stop(tx.raw_tokens(F.col("text")), K.stopword_set())
-    docs = r2(spark, sf).select("seq", kept.alias("tokens"))
+    # Read for the lexicon, for the distinct words and for the texts.
+    docs = write_stage(r2(spark, sf).select("seq", kept.alias("tokens")), scratch_path(spark, "tokens"))
     lexicon = docs.select(F.explode("tokens").alias("word")).distinct()
     return vocabulary.lemmatize_with_lexicon(docs, lexicon, "seq").select(
         "seq", F.concat_ws(" ", "tokens").alias("words"))
