@@ -31,16 +31,16 @@ def append_csv(df: DataFrame, path: str, batch: int | None = None) -> None:
         _csv(df.write.mode("overwrite")).csv(f"{path}/{BATCH_COLUMN}={batch}")
 
 
-def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """Write a stage as Parquet and return it as read back, which also cuts the lineage.
 
     With ``partition_by`` the rows of a partition value meet first, large values split by size, so that not
     every task writes a file for every value.
     """
     if partition_by:
-        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path, compression=compression)
     else:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

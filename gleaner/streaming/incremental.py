@@ -50,7 +50,7 @@ def run_batches(stream: DataFrame, out: str, checkpoint: str,
             if path_exists(spark, out):
                 earlier = batch.sparkSession.read.option("basePath", out).parquet(out).filter(F.col(BATCH_COLUMN) < batch_id)
             rows = prepare(batch, earlier)
-        rows.write.mode("overwrite").parquet(f"{out}/{BATCH_COLUMN}={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{out}/{BATCH_COLUMN}={batch_id}", compression="zstd")
 
     (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
