@@ -31,7 +31,7 @@ def append_csv(df: DataFrame, path: str, batch: int | None = None) -> None:
         _csv(df.write.mode("overwrite")).csv(f"{path}/{BATCH_COLUMN}={batch}")
 
 
-def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
+def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write a stage as Parquet and return it as read back, which also cuts the lineage.
 
     With ``partition_by`` the rows of a partition value meet first, large values split by size, so that not
