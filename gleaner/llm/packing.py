@@ -11,9 +11,10 @@ Ranks come from prefix sums over groups of about GROUP_ROWS pieces of one length
 pieces share is many groups. Pieces are dealt to the groups by the number they got when they were stored, so
 copies are spread, too.
 
-Tokens: a text is cut before a space that follows a word (there the vocabulary's pattern never joins), each different part
-of a slice is encoded once, and the parts' ids are put together again. Special tokens' names in a text are ordinary
-text. The end mark ``end_id`` follows every document.
+Tokens: a text is cut where the vocabulary's pattern never joins (before a space that follows a word, between a letter and a
+punctuation mark, around a line break between two words), each different part of a slice is encoded once, and the parts' ids
+are put together again. A worker holds the ids of up to HELD_PARTS parts for its later slices. Special tokens' names in a text
+are ordinary text. The end mark ``end_id`` follows every document.
 
 Defined results: a null or empty text is the end mark alone; a document longer than ``capacity`` is cut, its first
 piece taking the remainder; rows that repeat (or have no id) are rows of their own; ties in rank go by id, start and stored
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -38,13 +40,16 @@ CAPACITY = 1024
 #: Pieces of one length that are ranked together, about.
 GROUP_ROWS = 1000
 
-#: Bytes of the texts that are encoded together, about: the larger, the fewer words are encoded twice.
-SLICE_BYTES = 8 << 20
+#: Bytes of the texts that are encoded together, about.
+SLICE_BYTES = 6 << 20
 #: Words that are encoded as one text.
 JOINED = 10_000
+#: Parts whose ids a worker holds, and their longest size in bytes: some 20 MB.
+HELD_PARTS, LONGEST_HELD = 400_000, 32
 
 _loaded: dict[int, object] = {}
 _spaces: dict[int, np.ndarray] = {}
+_held: dict[int, tuple] = {}
 
 
 def _tokenizer(vocabulary: str):
@@ -56,6 +61,7 @@ def _tokenizer(vocabulary: str):
 
         _loaded.clear()
         _spaces.clear()
+        _held.clear()
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True
         _loaded[key] = tokenizer
@@ -64,19 +70,51 @@ def _tokenizer(vocabulary: str):
 
 def _encode_parts(tokenizer, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, where each part's ids start, their number). Words with one space in front are encoded as one text, which is a
-    good deal faster than one by one: a token that starts with a space starts the next word."""
+    good deal faster than one by one: a token that starts with a space starts the next word. So are words of ASCII letters
+    without a space, with a line break behind each, which is a token of its own."""
     words = [i for i, p in enumerate(parts) if p[0] == " " and p.split() == [p[1:]]]
     ids = np.concatenate([np.zeros(0, dtype=np.uint32)] + [
         np.array(tokenizer.encode_batch_fast(["".join([parts[i] for i in words[lo:lo + JOINED]])], add_special_tokens=False)[0].ids, dtype=np.uint32)
         for lo in range(0, len(words), JOINED)])
     first = np.flatnonzero(_space_starts(tokenizer)[ids])
-    others = sorted(set(range(len(parts))) - set(words))
+    bare = [i for i, p in enumerate(parts) if p.isascii() and p.isalpha()]
+    broken = np.concatenate([np.zeros(0, dtype=np.uint32)] + [
+        np.array(tokenizer.encode_batch_fast(["".join([parts[i] + "\n" for i in bare[lo:lo + JOINED]])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        for lo in range(0, len(bare), JOINED)])
+    ends = np.flatnonzero(broken == broken[-1]) if bare else np.zeros(0, dtype=np.int64)
+    others = sorted(set(range(len(parts))) - set(words) - set(bare))
     found = [e.ids for e in tokenizer.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)]
     starts, lengths = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
     starts[words], lengths[words] = first, np.diff(np.append(first, len(ids)))
+    after = np.append(-1, ends)[:-1] + 1 if bare else ends
+    starts[bare], lengths[bare] = len(ids) + after, ends - after
     size = np.array([len(f) for f in found], dtype=np.int64)
-    starts[others], lengths[others] = len(ids) + np.cumsum(size) - size, size
-    return np.append(ids, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))), starts, lengths
+    starts[others], lengths[others] = len(ids) + len(broken) + np.cumsum(size) - size, size
+    return np.concatenate([ids, broken, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))]), starts, lengths
+
+
+def _ids_of(tokenizer, parts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_encode_parts``, but parts that the worker holds are looked up."""
+    owner, words, ids, starts, lengths = _held.get(id(tokenizer), (None,) * 5)
+    if owner is not tokenizer:
+        words, ids, starts, lengths = pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = pc.index_in(parts, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    new = np.flatnonzero(at < 0)
+    fresh = parts.take(pa.array(new))
+    found, first, size = _encode_parts(tokenizer, [p.decode() for p in fresh.to_pylist()])
+    all_starts, all_lengths = np.append(starts, len(ids) + first), np.append(lengths, size)
+    at[new] = len(words) + np.arange(len(new))
+    all_ids = np.append(ids, found)
+    short = np.asarray(pc.binary_length(fresh)) <= LONGEST_HELD
+    more = np.flatnonzero(short)[:max(HELD_PARTS - len(words), 0)]
+    if len(more):
+        n = size[more]
+        before = np.cumsum(n) - n
+        own = found[np.arange(int(n.sum())) + np.repeat(first[more] - before, n)]
+        _held.clear()
+        _held[id(tokenizer)] = (tokenizer, pa.concat_arrays([words, fresh.take(pa.array(more))]), np.append(ids, own),
+                                np.append(starts, len(ids) + before), np.append(lengths, n))
+    return all_ids, all_starts[at], all_lengths[at]
 
 
 def _space_starts(tokenizer) -> np.ndarray:
@@ -103,6 +141,13 @@ def encode(tokenizer, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray
     cut = np.zeros(len(raw) + 1, dtype=bool)
     if len(raw) > 2:
         cut[1:-2] = (raw[1:-1] == 0x20) & (plain[:-2] | (raw[:-2] >= 0x80) & plain[2:])
+        letter = ((raw | 0x20) >= 0x61) & ((raw | 0x20) <= 0x7A)
+        mark = plain & ~letter & ((raw < 0x30) | (raw > 0x39))
+        cut[1:-1] |= letter[:-1] & mark[1:]
+        # A single line break behind a visible ASCII character, and what is visible ASCII behind that.
+        broken = plain[:-1] & (raw[1:] == 0x0A)
+        cut[1:-1] |= broken
+        cut[2:-1] |= broken[:-1] & plain[2:]
     ends = np.cumsum(sizes)
     cut[np.maximum(ends - 1, 0)] = False  # what stands behind a last space is another text
     cut[ends - sizes] = cut[ends] = True
@@ -113,7 +158,7 @@ def encode(tokenizer, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray
     parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
     coded = parts.dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)
-    flat, starts, lengths = _encode_parts(tokenizer, [p.decode() for p in coded.dictionary.to_pylist()])
+    flat, starts, lengths = _ids_of(tokenizer, coded.dictionary)
     n = lengths[which]
     before = np.cumsum(n) - n
     ids = flat[np.arange(int(n.sum())) + np.repeat(starts[which] - before, n)]

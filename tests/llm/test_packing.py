@@ -32,6 +32,29 @@ def test_encode_equals_whole_texts(tokenizer):
     assert counts.tolist() == [0, 0, 1, 1]
 
 
+def test_parts_of_earlier_slices_are_not_encoded_again(monkeypatch, tokenizer):
+    """What a worker holds gives the same ids, also at the cuts around marks and line breaks; a slice that comes again needs no encoding."""
+    asked = []
+    plain = packing._encode_parts
+    monkeypatch.setattr(packing, "_encode_parts", lambda t, parts: asked.append(len(parts)) or plain(t, parts))
+    rng = random.Random(5)
+    bits = ["Word", "don't", "it'so", "'", "'re", ",", ".", ".\n", "\n", "\n\n", "\r\n", " ", "a", " the", "7", "-", "x_y", "l\u00e4nge", "e\u0301", ".\u0301", "\u8bed"]
+    for held in (packing.HELD_PARTS, 20):
+        packing._held.clear()
+        monkeypatch.setattr(packing, "HELD_PARTS", held)
+        for _ in range(300):
+            texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 4))]
+            ids, counts = packing.encode(tokenizer, [t.encode() for t in texts])
+            want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w], texts
+        assert len(packing._held[id(tokenizer)][1]) <= held
+    packing._held.clear()
+    monkeypatch.setattr(packing, "HELD_PARTS", 1000)
+    first = packing.encode(tokenizer, [b"Some words, some more.\nAnd a line", b"words"])
+    again = packing.encode(tokenizer, [b"Some words, some more.\nAnd a line", b"words"])
+    assert asked[-2] > 0 and asked[-1] == 0 and all((x == y).all() for x, y in zip(first, again))
+
+
 def best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
