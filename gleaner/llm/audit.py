@@ -4,7 +4,7 @@
 of its own. The words of all shards are dealt by a checksum to groups of a bounded number of words; each group
 numbers its words once for the whole corpus and answers every shard with the numbers of its words, so that
 words travel once, joined to one string per shard and group. A shard lists a word once, so frequent words make no hot
-group. A row's sum is its number of words, its number of nonzero entries the number of distinct words.
+group. Shards and their answers meet one shard at a time. A row's sum is its number of words, its number of nonzero entries the number of distinct words.
 
 ``audit`` says for every order of the filters what each of them removes. Copies of a text are found by its hash of
 256 bits; rows with equal id and hash are one row with a count before any shuffle by a key that may be hot. What
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.llm.common import slices, stage
+from gleaner.llm.common import slices, small_batches, stage
 
 #: Bytes of text for each group of the dictionary.
 GROUP_BYTES = 16 << 20
@@ -76,9 +76,9 @@ def _shards(docs: DataFrame, carry: list[str], groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts = b.column("__text").cast(pa.binary()).to_pylist()
-            for lo, hi in slices([len(t or b"") for t in texts]):
-                words, group, ends, columns, counts = _count_words(texts[lo:hi], groups)
+            texts = b.column("__text").cast(pa.binary())
+            for lo, hi in slices(pc.binary_length(texts).fill_null(0).to_pylist()):
+                words, group, ends, columns, counts = _count_words(texts.slice(lo, hi - lo).to_pylist(), groups)
                 rows = pa.StructArray.from_arrays([b.column(c).slice(lo, hi - lo) for c in carry], carry)
                 first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
                 parts = [b" ".join(words[i:j]) for i, j in zip(first, np.append(first[1:], len(words)))]
@@ -111,50 +111,40 @@ def _number(table: pa.Table) -> pa.Table:
         "joined": pa.array([None] * table.num_rows + [words], pa.string())})
 
 
+def _renumber(shard: pa.Table, answers: pa.Table) -> pa.Table:
+    """A shard with the numbers of its words and its rows' sums; ``answers``: group, numbers."""
+    known = answers.sort_by("group").column("numbers").combine_chunks().flatten().to_numpy() if answers.num_rows else np.zeros(0, dtype=np.int64)
+    ends, columns, counts = (shard.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ends", "columns", "counts"))
+    sums = np.diff(np.append(0, np.cumsum(counts, dtype=np.int64))[ends])
+    return shard.select(["shard", "rows", "ends"]).append_column("columns", _one(known[columns])).append_column(
+        "counts", shard.column("counts")).append_column("sums", _one(sums))
+
+
 def term_matrix(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """(shards, dictionary) of ``text``. A shard: shard, rows (array of the carried columns), ends (of the rows in the
-    following arrays, after a 0), columns (global word numbers), counts. Dictionary: word, column."""
+    following arrays, after a 0), columns (global word numbers), counts, sums (of the counts of each row). Dictionary: word,
+    column."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    local = stage(_shards(docs, carry, 1 + size // GROUP_BYTES), "matrix-local")
+    with small_batches(docs.sparkSession):
+        local = stage(_shards(docs, carry, 1 + size // GROUP_BYTES), "matrix-local", wide=True)
     asked = local.select("shard", F.inline("words"))
-    told = stage(asked.groupBy("group").applyInArrow(_number, "shard bigint, `group` int, numbers array<bigint>, joined string"), "matrix-numbers")
+    told = stage(asked.groupBy("group").applyInArrow(_number, "shard bigint, `group` int, numbers array<bigint>, joined string"), "matrix-numbers", wide=True)
     words = told.filter("shard IS NULL").select(
         F.posexplode(F.split("joined", " ")).alias("k", "word"), "group")
     dictionary = words.select("word", F.shiftleft(F.col("group").cast("bigint"), 32).bitwiseOR(F.col("k").cast("bigint")).alias("column"))
-    # As long as the vocabulary of one shard.
-    numbers = told.filter("shard IS NOT NULL").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("group", "numbers"))).alias("known"))
-    shards = local.drop("words").join(numbers.select("shard", F.flatten("known.numbers").alias("known")), "shard", "left")
-
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                columns = row.column("columns").flatten().to_numpy()
-                named = row.column("known").flatten().to_numpy()[columns] if len(columns) else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(row.column(c) for c in ("shard", "rows", "ends")), _one(named), row.column("counts")],
-                    ["shard", "rows", "ends", "columns", "counts"])
-
+    # A worker holds one shard and its answers; both sides are sorted by the shard, which spills, and never collected.
+    answers = told.filter("shard IS NOT NULL").select("shard", "group", "numbers")
     rows = local.schema["rows"].dataType.simpleString()
-    return shards.mapInArrow(renumber, f"shard bigint, rows {rows}, ends array<int>, columns array<bigint>, counts array<int>"), dictionary
+    shards = local.drop("words").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        _renumber, f"shard bigint, rows {rows}, ends array<int>, columns array<bigint>, counts array<int>, sums array<bigint>")
+    return shards, dictionary
 
 
 def row_counts(shards: DataFrame) -> DataFrame:
     """The carried columns of each document with n_words (its row's sum) and n_distinct (its nonzero entries)."""
-    fields = shards.schema["rows"].dataType.elementType.fields
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                ends, counts = (b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in ("ends", "counts"))
-                sums = np.append(0, np.cumsum(counts))
-                rows = b.column("rows").slice(k, 1).flatten()
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.flatten(), pa.array(np.diff(sums[ends]), pa.int64()), pa.array(np.diff(ends), pa.int64())],
-                    [*(f.name for f in fields), "n_words", "n_distinct"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return shards.select("rows", "ends", "counts").mapInArrow(run, f"{kinds}, n_words bigint, n_distinct bigint")
+    each = F.transform("rows", lambda row, i: F.struct(
+        row.alias("row"), F.get("sums", i).alias("n_words"), (F.get("ends", i + 1) - F.get("ends", i)).cast("bigint").alias("n_distinct")))
+    return shards.select(F.inline(each)).select("row.*", "n_words", "n_distinct")
 
 
 def _bit(name: str) -> int:

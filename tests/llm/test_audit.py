@@ -2,12 +2,14 @@ import random
 import re
 from collections import Counter
 from itertools import permutations
+from pathlib import Path
 
 import duckdb
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
-from gleaner.llm import audit, queries
+from gleaner.llm import audit, common, queries
 from tests.llm.conftest import DOCS
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -96,3 +98,25 @@ def test_empty_tables(make):
     assert audit.audit(make([], DOCS), make([], LABELS)).collect() == []
     rows = audit.audit(make([(1, "a b", "en", "s", 1)], DOCS), make([], LABELS)).toPandas()
     assert len(rows) == 600 and isinstance(rows, pd.DataFrame) and set(rows["kept"]) == {0, 1}
+
+
+def test_wide_stages_have_small_row_groups_and_batches(spark):
+    made = spark.range(24, numPartitions=1).selectExpr("id", "transform(sequence(1, 500000), x -> xxhash64(id, x)) AS v")  # 4 MB each
+    stored = common.stage(made, "wide", wide=True)
+    files = [Path(f.removeprefix("file:")) for f in stored.inputFiles()]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in groups) == 24 == stored.count()
+    assert max(m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)) < 2 * common.WIDE_BYTES
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with common.small_batches(spark):
+        assert spark.conf.get(key) == str(common.WIDE_BYTES)
+    assert spark.conf.get(key) == before
+
+
+def test_answers_of_a_shard_are_not_collected_in_the_jvm(make):
+    docs = make([(i, f"a b{i % 7}") for i in range(50)], "doc_id long, text string", extra=False).repartition(3)
+    rows = audit.row_counts(audit.term_matrix(docs, ["doc_id"])[0])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan and "MapInArrow" not in plan
+    assert sorted((r["doc_id"], r["n_words"], r["n_distinct"]) for r in rows.collect()) == [(i, 2, 2) for i in range(50)]
