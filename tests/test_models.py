@@ -4,6 +4,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,3 +368,39 @@ def test_window_masks_are_counted_in_batches_of_documents(spark, rows):
 def test_slices_hold_whole_documents(monkeypatch):
     monkeypatch.setattr(coherence, "SLICE_TOKENS", 5)
     assert list(coherence._slices(coherence.np.array([0, 9, 9, 11, 14, 15]))) == [(0, 1), (1, 4), (4, 5)]
+
+
+def test_lda_in_numpy_equals_spark_ml(spark, monkeypatch):
+    """Bound and shares of a model are those that Spark ML finds for it, and documents are estimated without its loop over rows."""
+    rng = np.random.default_rng(3)
+    themes = [["cable", "plug", "charger"], ["soup", "bread", "sugar"], ["shirt", "sleeve", "collar"]]
+    rows = [(i, [str(rng.choice(themes[i % 3 if rng.random() > 0.1 else rng.integers(3)])) for _ in range(rng.integers(0, 25))]) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, []), (901, ["unknown"])], "id int, tokens array<string>").repartition(4)
+    vectors = vocabulary.vectorise(docs, [t for ts in themes for t in ts]).select("id", "features").persist()
+    monkeypatch.setattr(topics.LDA, "_fit", lambda *a: pytest.fail("fitted row by row"))
+    fit = topics.fit_lda(vectors, 3)
+    assert abs(topics.log_likelihood(fit, vectors) - fit.logLikelihood(vectors)) < 0.05
+    own = {r["id"]: r["theta"] for r in topics.doc_topics(fit, vectors).collect()}
+    want = {r["id"]: r["topicDistribution"].toArray() for r in fit.transform(vectors).collect()}
+    alpha = fit.estimatedDocConcentration().toArray()
+    assert own.keys() == want.keys()
+    for i, theta in want.items():
+        assert np.allclose(own[i], theta if theta.sum() else alpha / alpha.sum(), atol=0.01)
+    again = topics.fit_lda(vectors.repartition(7), 3)  # documents are dealt out otherwise
+    assert np.allclose(again.topicsMatrix().toArray(), fit.topicsMatrix().toArray(), rtol=1e-6)
+    best = {frozenset(np.argsort(column)[-3:] // 3) for column in fit.topicsMatrix().toArray().T}
+    assert best == {frozenset([0]), frozenset([1]), frozenset([2])}
+    vectors.unpersist()
+
+
+def test_lda_of_dense_vectors_and_without_words(spark):
+    from pyspark.ml.linalg import Vectors
+
+    sparse = spark.createDataFrame([(Vectors.sparse(3, {0: 2.0, 1: 1.0}),), (Vectors.sparse(3, {2: 4.0}),)], ["features"])
+    dense = spark.createDataFrame([(Vectors.dense(2.0, 1.0, 0.0),), (Vectors.dense(0.0, 0.0, 4.0),)], ["features"])
+    a, b = (topics.fit_lda(df, 2, passes=3).topicsMatrix().toArray() for df in (sparse, dense))
+    assert np.allclose(a, b)
+    empty = spark.createDataFrame([(Vectors.sparse(3, {}),)], ["features"])
+    assert topics.fit_lda(empty, 2).topicsMatrix().toArray().shape == (3, 2)
+    with pytest.raises(ValueError):
+        topics.fit_lda(empty.limit(0), 2)
