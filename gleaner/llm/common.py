@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.session import scratch_path
+from gleaner.session import WIDE_BYTES, WIDE_ROWS, scratch_path, small_batches  # noqa: F401
 
 #: Texts are handled in Python in slices of about this many bytes (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -19,10 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-#: Bytes of a row group of stages with wide rows, and of a batch of texts that is sent to a Python worker.
-WIDE_BYTES = 16 << 20
-
-
 def stage(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: it is computed once, survives lost
     executors, and the folder goes when the session ends.
@@ -32,30 +27,13 @@ def stage(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    limits = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(WIDE_BYTES)} if wide else {}
-    df.write.options(**limits).parquet(path)
+    df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While a stage of whole texts is written, a batch holds ``WIDE_BYTES`` at most (or one row), less where the session says so."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    set_before = spark.conf.get(key, None)
-    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(set_before) if set_before else -1
-    if 0 < held <= WIDE_BYTES:
-        yield
-        return
-    spark.conf.set(key, str(WIDE_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, set_before) if set_before else spark.conf.unset(key)
-
-
 def text_hash(column: str = "text") -> Column:
     """64-bit hash of a text; null for null."""
     return F.when(F.col(column).isNotNull(), F.xxhash64(column))
